@@ -317,8 +317,18 @@ def _score(batches: Iterator[pa.RecordBatch], words: dict, starts: dict, weights
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array(f.sum(axis=1))], names=["doc_id", "score", "matched"])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, matched (weight of matched clauses) of each row."""
+def _keep(batches: Iterator[pa.RecordBatch], model: Model, below: float) -> Iterator[pa.RecordBatch]:
+    lexicon = model.lexicon()
+    for batch in batches:
+        if batch.num_rows:
+            f = np.array([clause_features(t.as_py(), lexicon) for t in batch.column("text")])
+            yield batch.filter(pa.array(model.scores(f) < below))
+
+
+def score(docs: DataFrame, model: Model, keep_below: float | None = None) -> DataFrame:
+    """doc_id, score, matched (weight of matched clauses) of each row; or the rows themselves that score below a bound."""
+    if keep_below is not None:
+        return docs.mapInArrow(lambda it: _keep(it, model, keep_below), docs.schema)
     kind = docs.schema["doc_id"].dataType.simpleString()
     w, s, c, b = model.words, model.starts, model.weights, model.bias
     return docs.select("doc_id", "text").mapInArrow(lambda it: _score(it, w, s, c, b), f"doc_id {kind}, score double, matched double")
