@@ -6,8 +6,10 @@ from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 # --- one prediction ---
 
@@ -177,9 +179,6 @@ def word_error_edits(p: str, r: str) -> int:
 
 def translation_edit_rate(df: DataFrame, prediction: str, reference: str) -> DataFrame:
     """Corpus edit rate in percent of reference words; edits without block shifts (an upper bound of the rate with them)."""
-    import pandas as pd
-    from pyspark.sql.types import LongType
-
     @F.pandas_udf(LongType())
     def edits(p: pd.Series, r: pd.Series) -> pd.Series:
         return pd.Series([word_error_edits(x, y) for x, y in zip(p, r, strict=True)])
