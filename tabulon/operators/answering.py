@@ -171,3 +171,28 @@ def patched(old: DataFrame, new: DataFrame, table: str = "table_id", order: str
 
 def number_like(c: Column) -> Column:
     return is_number(c)
+
+
+def sql_answer(df: DataFrame, text: str, table: str | None = None) -> str:
+    """First cell of a model-written query over one table, '' if it doesn't run or gives no row.
+
+    The text is cut at its first `;` or code fence; `table` (or `df`) is the frame's name in it.
+    """
+    import re
+
+    from pyspark.errors import PySparkException
+
+    text = re.split(r";|```", text)[0].strip()
+    if not re.match(r"(?i)select\b", text):
+        return ""
+    name = f"_answer_{abs(hash(text))}"
+    text = re.sub(rf'(?i)(\bfrom\s+)[`"]?{re.escape(table or "df")}[`"]?(?=\s|$)', rf"\g<1>{name}", text)
+    text = re.sub(r'"([^"]*)"', r"`\1`", text)
+    df.createOrReplaceTempView(name)
+    try:
+        row = df.sparkSession.sql(text).first()
+        return "" if row is None or row[0] is None else str(row[0])
+    except PySparkException:
+        return ""
+    finally:
+        df.sparkSession.catalog.dropTempView(name)

@@ -112,3 +112,10 @@ def test_quality(spark):
     new = spark.createDataFrame([("a", 10), ("b", 11), ("b", 12), ("b", 13)], "table_id string, qid int")
     got = sorted(r.qid for r in Q.patched(old, new).collect())
     assert got == [10, 11, 12]
+
+
+def test_model_written_sql(spark):
+    df = spark.createDataFrame([(1, "x"), (5, "y")], "`a b` int, t string")
+    assert Q.sql_answer(df, 'SELECT max("a b") FROM df WHERE t = \'y\'; drop table x') == "5"
+    assert Q.sql_answer(df, "select t from my_table where `a b` = 1 ```", "my_table") == "x"
+    assert Q.sql_answer(df, "select nothing from df") == "" and Q.sql_answer(df, "drop table df") == "" and Q.sql_answer(df, "select t from df where 1 = 0") == ""
