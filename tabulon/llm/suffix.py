@@ -55,7 +55,7 @@ class Repeats:
     symbol: int = 25
     hot: int = 20_000
     hot_windows: int = 4
-    chunk: int = 1 << 20
+    chunk: int = 1 << 19
     flush: int = 1 << 20
     shard_mb: int = 32
 
@@ -422,7 +422,7 @@ def covered(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     free_shuffles(spark)
     open_runs = met.where("kind > 0")
     size = int(open_runs.agg(F.coalesce(F.sum(F.col("n") + p.length), F.lit(0))).first()[0])
-    parts2 = max(64, -(-size // (6 << 20)))
+    parts2 = max(64, -(-size // (2 << 20)))
     todo = open_runs.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "dq", "n", "key", "kind")).alias("todo"))
     texts = docs.join(todo, "doc_id").select("doc_id", "text", "todo").mapInArrow(lambda it: _contexts(it, p, parts2), _BLOBS)
     late = written(texts.repartition(parts2, "part").sortWithinPartitions("part", "kind").mapInArrow(lambda it: _settled(it, p), _FOUND), "repeats-settled")
@@ -458,7 +458,7 @@ def _cut(raw: bytes, cuts, length: int) -> tuple[bytes, int, int]:
 def _digest(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, cuts in zip(batch.column("text"), batch.column("cuts"), strict=True):
+        for text, cuts in zip(batch.column("text"), batch.column("__cuts"), strict=True):
             raw = (text.as_py() or "").encode()
             kept, removed, n = _cut(raw, cuts if cuts.is_valid else None, length)
             out.append((len(raw), removed, n, hashlib.sha256(kept).hexdigest()))
@@ -469,10 +469,10 @@ def _digest(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 def _kept(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, cuts in zip(batch.column("text"), batch.column("cuts"), strict=True):
+        for text, cuts in zip(batch.column("text"), batch.column("__cuts"), strict=True):
             out.append(text.as_py() if not cuts.is_valid else _cut((text.as_py() or "").encode(), cuts, length)[0].decode(errors="ignore"))
         i = batch.schema.get_field_index("text")
-        yield batch.set_column(i, "text", pa.array(out, pa.string())).drop_columns(["cuts"])
+        yield batch.set_column(i, "text", pa.array(out, pa.string())).drop_columns(["__cuts"])
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -486,7 +486,7 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
 def _with_cuts(docs: DataFrame, p: Repeats) -> tuple[DataFrame, str]:
     docs, key = _keyed(docs)
     found = covered(docs.select(F.col(key).cast("long").alias("doc_id"), "text"), p)
-    cuts = found.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("lo", "n")).alias("cuts"))
+    cuts = found.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("lo", "n")).alias("__cuts"))
     return docs.join(cuts, F.col(key).cast("long") == F.col("__doc"), "left").drop("__doc"), key
 
 
@@ -494,11 +494,11 @@ def repeat_digests(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
     joined, _ = _with_cuts(docs.select("doc_id", "text"), p)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.select("doc_id", "text", "cuts").mapInArrow(lambda it: _digest(it, p.length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select("doc_id", "text", "__cuts").mapInArrow(lambda it: _digest(it, p.length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     """The input's rows and columns, repeated strings cut from `text` (a character cut in half goes)."""
     joined, key = _with_cuts(docs, p)
-    out = joined.select(*docs.columns, "cuts")
+    out = joined.select(*(joined[c] for c in docs.columns), "__cuts")
     return out.mapInArrow(lambda it: _kept(it, p.length), docs.schema)
