@@ -35,9 +35,10 @@ SCHEDULE = "source string, phases array<struct<phase:int,first:long,n:long,start
 class Mix:
     block_rows: int = 16
     cycle: int = 4096
-    blocks_a_bucket: int = 1024
+    blocks_a_bucket: int = 64
     temper: float = 0.5
     max_sources: int = 50_000
+    broadcast_sources: int = 10_000
     seed: int = 7
 
 
@@ -120,13 +121,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, p: Mix = Mix()
         raise ValueError(f"more than {p.max_sources} sources; raise max_sources")
     weights = {s: n**p.temper for s, n in counted.items()} if weights is None else weights
     spread = p.block_rows * p.blocks_a_bucket
-    # at most max_sources rows of two numbers; Spark broadcasts them if they are small enough
-    buckets = spark.createDataFrame([(s, -(-n // spread)) for s, n in counted.items()], "source string, buckets long")
+    # counted above: few sources are broadcast, so that a hot source isn't shuffled to one task; many are joined by a shuffle
+    small = F.broadcast if len(counted) <= p.broadcast_sources else lambda x: x
+    buckets = small(spark.createDataFrame([(s, -(-n // spread)) for s, n in counted.items()], "source string, buckets long"))
     dealt = rows.join(buckets, "source").withColumn("h", F.xxhash64(F.lit(p.seed), "doc_id")).withColumn("bucket", F.pmod("h", "buckets"))
     by = dealt.groupBy("source", "bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(p.block_rows)).alias("blocks"))
     total = {r[0]: r[1] for r in by.groupBy("source").agg(F.sum("blocks")).collect()}
     plan, pattern = phases(total, weights, p.cycle)
-    schedule = spark.createDataFrame([(s, v) for s, v in plan.items()], SCHEDULE)
+    schedule = small(spark.createDataFrame([(s, v) for s, v in plan.items()], SCHEDULE))
     cycle = spark.createDataFrame(pattern, "phase int, source string, turn long, at long")
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = by.select("source", "bucket", F.coalesce(F.sum("blocks").over(before), F.lit(0)).alias("before"))
