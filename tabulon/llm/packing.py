@@ -50,7 +50,7 @@ class Packing:
 class IdCache(dict):
     """Chunk of text to its ids (little-endian 32-bit), two generations of at most `most` chunks."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 200_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer

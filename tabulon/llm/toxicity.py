@@ -151,7 +151,7 @@ def grammar() -> tuple[list[list[int]], list[list]]:
 class Lexicon(dict):
     """Token to code (symbol, plus 16 where a clause ends after it), worked out once a token."""
 
-    def __init__(self, words: dict[str, int], starts: dict[str, int], most: int = 300_000):
+    def __init__(self, words: dict[str, int], starts: dict[str, int], most: int = 150_000):
         super().__init__()
         self.words, self.starts, self.most = words, starts, most
         self.lengths = sorted({len(x) for x in starts})
