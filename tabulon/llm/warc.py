@@ -9,7 +9,7 @@ here too; a record never leaves its task and a stream is read record by record.
 
 Defined results: a null URL is the target URI `urn:unknown`, a null or empty page is a response of empty
 body (its conversion has length 0); broken HTTP heads count as body; unknown charsets are read as UTF-8
-with replacement. Responses of other types than text get a metadata record only. Repeated rows give
+with replacement. Missing end tags of hidden elements: see `_hidden`. Responses of other types than text get a metadata record only. Repeated rows give
 repeated records of equal ids; an empty table gives an empty result. Other columns aren't read.
 """
 
@@ -33,14 +33,15 @@ from .common import slices
 VERSION = "WARC/1.1"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "tabulon:warc")
 #: Elements whose content isn't text, and elements that end a line. Fixed values.
-_HIDDEN = "script|style|noscript|template|svg|head"
+_HIDDEN = "script|style|noscript|template|svg"
 _BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
 _CHARSET = re.compile(rb"""<meta[^>]{0,200}charset\s*=\s*["']?\s*([A-Za-z0-9_:.-]+)""", re.I)
 _LANG = re.compile(r"""<html\b[^>]*\blang\s*=\s*["']?([A-Za-z0-9-]+)""", re.I)
 _LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_DROP = re.compile(rf"<!--.*?(?:-->|\Z)|<({_HIDDEN})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_MARK = re.compile(rf"<!--|<(/?)({_HIDDEN}|title|head|body)(?=[\s/>])[^>]*>", re.I)
+_ENDS = {"script": re.compile(r"</script\s*>|\Z", re.I), "style": re.compile(r"</style\s*>|\Z", re.I), "title": re.compile(r"</title\s*>|(?=</head\s*>|<body[\s/>])|\Z", re.I)}
 _TAG = re.compile(rf"<(/?)({_BLOCKS})\b[^>]*>|</?[A-Za-z!?][^>]*>", re.I)
 _BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
 _LINES = re.compile(r" ?\n[ \n]*")
@@ -138,9 +139,54 @@ def decoded(body: bytes, content_type: str) -> tuple[str, str]:
         return body.decode("utf-8", "replace"), "utf-8"
 
 
+def _hidden(page: str) -> list[tuple[int, int]]:
+    """Spans of comments, hidden elements and the head's title, in order; spans inside others come too.
+
+    A comment, script or style that isn't closed runs to the end. Others that aren't hide nothing, and
+    `<x .../>` is empty. A head needs no end tag: what shows in it (stray text, body elements) is text.
+    """
+    out, at, head = [], 0, False
+    opened: list[tuple[str, int]] = []
+    depth = dict.fromkeys(_HIDDEN.split("|"), 0)
+    while m := _MARK.search(page, at):
+        at, name = m.end(), (m[2] or "").lower()
+        if not name:
+            end = page.find("-->", at)
+            at = len(page) if end < 0 else end + 3
+            out.append((m.start(), at))
+        elif name in ("head", "body"):
+            head = name == "head" and not m[1] and not m[0].endswith("/>")
+        elif m[1]:
+            if depth.get(name):
+                inner = ""
+                while inner != name:
+                    inner, start = opened.pop()
+                    depth[inner] -= 1
+                out.append((start, at))
+        elif m[0].endswith("/>"):
+            continue
+        elif name in ("script", "style") or name == "title" and head:
+            end = _ENDS[name].search(page, at)
+            if name != "title" or end.start() < len(page):
+                at = end.end()
+                out.append((m.start(), at))
+            else:
+                head = False
+        elif name != "title":
+            opened.append((name, m.start()))
+            depth[name] += 1
+    return sorted(out)
+
+
 def visible_text(page: str) -> str:
     """Text outside hidden elements and comments, a line for each block, entities resolved."""
-    text = _TAG.sub(lambda m: "\n" if m[2] else "", _DROP.sub(" ", page).replace("\n", " "))
+    parts, at = [], 0
+    for start, end in _hidden(page):
+        if end > at:
+            parts.append(page[at : max(at, start)])
+            at = end
+    parts.append(page[at:])
+    text = _TAG.sub(lambda m: "\n" if m[2] else "", " ".join(parts).replace("\n", " "))
     return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(text))).strip()
 
 

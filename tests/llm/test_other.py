@@ -210,6 +210,24 @@ def test_warc_records():
         list(warc.read_records(warc.to_bytes(source)[:-40]))
 
 
+def test_warc_text_without_end_tags():
+    text = warc.visible_text
+    assert text("<html><head><title>t</title><body><p>all of this page</p>") == "all of this page"
+    assert text("<head><meta charset=utf-8><title>t<p></title><script>'<p>no'</script><p>one<p>two") == "one\ntwo"
+    assert text("<head><title>t</title>words only") == "words only"
+    assert text("<head><title>t</head><body>a<svg><title>no</title></svg>b") == "a b"
+    for x in ("svg", "noscript", "template", "script", "style"):
+        assert text(f"<p>a<{x}/>b</p><{x}>no</{x}><p>c</p>") == "ab\nc"
+    for x in ("svg", "noscript", "template"):
+        assert text(f"<p>a<{x}>b</p><p>c</p>") == "ab\nc"
+        assert text(f"<p>a<{x}>b</p><{x}>no</{x}><p>c</p>") == "ab\nc"
+        assert text(f"a<{x}>no<{x}>no</{x}>no</{x}>b") == "a b"
+        assert text(f"a<{x}-y>b</{x}-y>c") == "abc"
+    assert text("a<svg><template>no</svg>b</template>c") == "a bc"
+    for x in ("<script>", "<style>", "<!--"):
+        assert text(f"<p>a</p>{x}no<p>no") == "a"
+
+
 def test_warc_frames(spark, tmp_path):
     ship(spark)
     df = spark.createDataFrame([(1, "http://a.com/", PAGE), (2, None, None), (3, "u", ""), (1, "http://a.com/", PAGE)], "page_id long, url string, html string").withColumn("block", F.lit("clash"))
