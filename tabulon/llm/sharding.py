@@ -23,8 +23,9 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import asdict, dataclass
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -153,21 +154,31 @@ class ShardTable:
         return self.commit(self._shards(name, df.schema), schema=df.schema.json())
 
     def append_arrivals(self, df: DataFrame, arrival: str) -> list[Manifest]:
-        """Arrivals that a column numbers, written in one pass; a commit for each value, in order."""
+        """Arrivals that a column numbers or names, written in one pass; a commit for each value, in order.
+
+        Nothing is committed unless the files found hold as many rows as were written.
+        """
         name = uuid.uuid4().hex
         folder = f"{self.root}/data/{name}"
-        df.withColumn("__arrival", F.col(arrival)).write.partitionBy("__arrival").option("compression", "zstd").parquet(folder)
+        seen = Observation()
+        df.withColumn("__arrival", F.col(arrival)).observe(seen, F.count(F.lit(1)).alias("rows")).write.partitionBy("__arrival").option("compression", "zstd").parquet(folder)
         by: dict[str, list[Shard]] = {}
         counts = self._counts_by_path(folder, df.schema)
         for p, n in self._files(folder):
             value, file = p.split("/")[-2:]
-            by.setdefault(value, []).append(Shard(p, n, counts.get(f"{value}/{file}", 0), self.tiers.tier(n)))
+            if f"{value}/{file}" not in counts:
+                raise RuntimeError(f"no row count of {p}")
+            by.setdefault(value, []).append(Shard(p, n, counts[f"{value}/{file}"], self.tiers.tier(n)))
+        written, found = seen.get["rows"], sum(s.rows for v in by.values() for s in v)
+        if written != found:
+            raise RuntimeError(f"arrivals of {written} rows gave files of {found}")
         order = sorted(by, key=lambda v: (len(v), v))
-        return [self.commit([s for s in by[v] if s.rows], schema=df.schema.json()) for v in order] or [self.commit([], schema=df.schema.json())]
+        return [self.commit(by[v], schema=df.schema.json()) for v in order] or [self.commit([], schema=df.schema.json())]
 
     def _counts_by_path(self, folder: str, schema: StructType) -> dict[str, int]:
+        """Rows by folder and file name, as `_files` gives them: _metadata.file_path is URL-encoded."""
         df = self.spark.read.schema(schema).parquet(folder).select(F.col("_metadata.file_path").alias("p"))
-        return {"/".join(r[0].split("/")[-2:]): r[1] for r in df.groupBy("p").count().toLocalIterator()}
+        return {unquote("/".join(r[0].split("/")[-2:])): r[1] for r in df.groupBy("p").count().toLocalIterator()}
 
     def groups(self, m: Manifest) -> list[list[Shard]]:
         """Runs to merge: within a tier, shards put together up to the target."""

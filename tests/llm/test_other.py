@@ -269,6 +269,30 @@ def test_shards(spark):
     assert t.commit([Shard("data/x/part-0", 5, 0, 0)]).version == newest.version + 1
 
 
+def test_arrivals_of_any_name(spark, monkeypatch):
+    names = ["a b", "2024-01-01 00:00:00", "x%3Ay", "50%", "a+b", "é/ü?#", "{a,b}*[c]", "a=b", "", None, "7"]
+    df = spark.createDataFrame([(i, names[i % len(names)]) for i in range(110)], "doc_id long, arrival string")
+    t = ShardTable(spark, new_path(spark, "shards-names"))
+    assert len(t.append_arrivals(df.repartition(2), "arrival")) == len(names) - 1  # '' and null are one
+    rows = lambda: sorted((r.doc_id, r.arrival or "") for r in t.read().collect())
+    want = sorted((i, names[i % len(names)] or "") for i in range(110))
+    assert rows() == want and sum(s.rows for s in t.load().shards) == 110
+    t.compact()
+    t.vacuum()
+    assert rows() == want
+    t.append_arrivals(df.limit(0), "arrival")
+    assert rows() == want
+    version = t.load().version
+    counts = ShardTable._counts_by_path
+    monkeypatch.setattr(ShardTable, "_counts_by_path", lambda *a: {})
+    with pytest.raises(RuntimeError):
+        t.append_arrivals(df, "arrival")
+    monkeypatch.setattr(ShardTable, "_counts_by_path", lambda *a: {k: n - 1 for k, n in counts(*a).items()})
+    with pytest.raises(RuntimeError):
+        t.append_arrivals(df, "arrival")
+    assert t.load().version == version
+
+
 def test_tiers():
     t = Tiers(target_bytes=64, least_bytes=1, fanout=4)
     assert [t.tier(s) for s in (0, 1, 3, 4, 15, 16, 63, 64, 1000)] == [0, 1, 1, 2, 2, 3, 3, 3, 3]
