@@ -45,8 +45,10 @@ SEED = {
     NEGATION: "not no never isn't aren't wasn't don't doesn't cannot neither nor nicht kein keine jamais pas nunca".split(),
     REPORT: "said says called wrote quoted quote reported claimed alleged according told sagte schrieb dit dijo".split(),
 }
-_STRIP = re.compile(r"^\W+|\W+$")
-_WORD = re.compile(r"\w+")
+#: One word rule for learning and scoring: letters, digits and _; `n't` stays with its word. Scoring also
+#: takes clause marks, but not . and : between digits.
+_WORD = re.compile(r"\w+(?:(?<=n)'t\b)?")
+_TOKEN = re.compile(rf"{_WORD.pattern}|[!?;\n]|[.:](?!(?<=\d[.:])\d)")
 #: Marked symbols that leave the cascade: plain, targeted, negated, reported insult; the same for threats.
 FEATURES = ("insult", "insult_targeted", "insult_negated", "insult_reported", "threat", "threat_targeted", "threat_negated", "threat_reported")
 
@@ -149,7 +151,7 @@ def grammar() -> tuple[list[list[int]], list[list]]:
 
 
 class Lexicon(dict):
-    """Token to code (symbol, plus 16 where a clause ends after it), worked out once a token."""
+    """Word or clause mark to code (symbol, plus 16 where a clause ends after it), worked out once a token."""
 
     def __init__(self, words: dict[str, int], starts: dict[str, int], most: int = 150_000):
         super().__init__()
@@ -159,13 +161,12 @@ class Lexicon(dict):
     def __missing__(self, token: str) -> int:
         if len(self) >= self.most:
             self.clear()
-        word = _STRIP.sub("", token)
-        code = self.words.get(word, OTHER)
+        code = self.words.get(token, OTHER)
         for n in self.lengths if code == OTHER else ():
-            if len(word) >= n and (hit := self.starts.get(word[:n])):
+            if len(token) >= n and (hit := self.starts.get(token[:n])):
                 code = hit
                 break
-        self[token] = code = code | (16 if token[-1:] in ".!?;:\n" else 0)
+        self[token] = code = code | (16 if token in ".!?;:\n" else 0)
         return code
 
 
@@ -175,7 +176,7 @@ _HIT = re.compile(rb"[\x02-\x05\x12-\x15]")
 def clause_features(text: str | None, lexicon: Lexicon) -> list[float]:
     """Sum over clauses of the strongest match of each feature; few clauses hold a match, so only those are run."""
     out = [0.0] * len(FEATURES)
-    codes = bytes(map(lexicon.__getitem__, text.lower().replace("\n", "\n ").split(" "))) if text else b""
+    codes = bytes(map(lexicon.__getitem__, _TOKEN.findall(text.lower()))) if text else b""
     at, hit = 0, _HIT.search(codes)
     if not hit:
         return out

@@ -41,6 +41,23 @@ def test_grammar_marks_clauses():
     assert marked([T.REPORT, T.OTHER, T.THREAT])[0][0] == "threat_reported"
 
 
+def test_words_are_found_between_any_marks():
+    model = toxicity.learn([])
+    lexicon = model.lexicon()
+    found = lambda t: {f: v for f, v in zip(toxicity.FEATURES, toxicity.clause_features(t, lexicon), strict=True) if v}
+    plain = found("you are an idiot")
+    assert plain == {"insult_targeted": 1.0}
+    for gap in ("\t", "\u00a0", "\u2003", "\u3000", "\r", "\u200b", ",", "/", "-", " - ", "\u2014", "'", '"'):
+        assert found(gap.join("you are an idiot".split())) == plain, repr(gap)
+    for t in ("such\u00a0idiot\u00a0moron", "go,idiot,go", "(idiot)", "l'idiot", "idiot's"):
+        assert found(t) == {"insult": 1.0}
+    assert found("idiot.moron") == found("idiot!\"moron") == found("idiot\nmoron") == {"insult": 2.0}
+    assert found("you 3.5 idiot") == found("you 12:30 idiot") == {"insult_targeted": 1.0}
+    assert found("you.Idiot") == found("you.\" idiot") == {"insult": 1.0}
+    assert found("isn't an idiot") == found("isn't\tan\tidiot") == {"insult_negated": 1.0}
+    assert found("") == found(" \t\n") == found("...") == found("you are fine") == {}
+
+
 def test_model_learns_and_generalises(spark):
     ship(spark)
     rng = random.Random(1)
