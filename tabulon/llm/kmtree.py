@@ -5,7 +5,8 @@ node splits in `branch` clusters until a leaf stands for few sample rows. Then e
 leaf. A query walks the tree through a priority queue of branches, nearest centre first, and so lists
 leaves in the order in which they should be visited. The number of visits is calibrated: for
 `calibrate` queries, brute force over all vectors gives the truth, and visits widen until the recall
-reaches `recall`; if no smaller number does, all leaves are visited.
+reaches `recall`; if no smaller number does, all leaves are visited. A query whose leaves
+hold fewer than k rows besides itself goes on to further leaves until they hold k.
 
 A leaf is searched in blocks of at most `block_rows` vectors, so a leaf that holds a third of all rows
 (one frequent vector, say) is many tasks; each block gives each query at most k candidates, ordered by
@@ -104,12 +105,15 @@ class Tree:
                     todo.append((child, part))
         return out
 
-    def best_bins(self, q: np.ndarray, most: int) -> list[int]:
-        """Leaves in best-bin-first order: descend to the nearest child, queue its siblings."""
+    def best_bins(self, q: np.ndarray, most: int, held: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """Leaves in best-bin-first order: descend to the nearest child, queue its siblings.
+
+        `most` leaves, and more until they hold `least` rows (`held`: rows of each leaf).
+        """
         if not self.centres:
             return [0]
-        queue, out, n = [(0.0, 0, 0)], [], 1
-        while queue and len(out) < most:
+        queue, out, n, rows = [(0.0, 0, 0)], [], 1, 0
+        while queue and (len(out) < most or rows < least):
             _, _, node = heapq.heappop(queue)
             while node >= 0:
                 d = ((self.centres[node] - q) ** 2).sum(axis=1)
@@ -120,6 +124,7 @@ class Tree:
                         n += 1
                 node = self.children[node][near]
             out.append(-1 - node)
+            rows += (held or {}).get(-1 - node, 0)
         return out
 
 
@@ -141,9 +146,9 @@ def _assign(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(tree.leaf_of(_matrix(batch.column("v"))), pa.int64())], names=["vec_id", "v", "leaf"])
 
 
-def _visits(batches: Iterator[pa.RecordBatch], tree: Tree, most: int) -> Iterator[pa.RecordBatch]:
+def _visits(batches: Iterator[pa.RecordBatch], tree: Tree, most: int, held: dict[int, int], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bins = [tree.best_bins(q, most) for q in _matrix(batch.column("v"))]
+        bins = [tree.best_bins(q, most, held, least) for q in _matrix(batch.column("v"))]
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(bins, pa.list_(pa.int64()))], names=["query_id", "q", "bins"])
 
 
@@ -206,9 +211,11 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_column: str = "vec_id",
     queries = placed.where(is_query).select("vec_id", "v")
     most, _ = calibrated(placed, queries, tree, p)
     # leaves in blocks of bounded size: counts by leaf, then a hash deals a leaf's rows
-    sizes = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(p.block_rows)).alias("blocks"))
+    sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).select("leaf", "n", F.ceil(F.col("n") / F.lit(p.block_rows)).alias("blocks"))
+    held = {r["leaf"]: r["n"] for r in sizes.select("leaf", "n").collect()}  # no more leaves than sample rows
+    sizes = sizes.drop("n")
     blocks = placed.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block"), "vec_id", "v")
-    visits = queries.mapInArrow(lambda it: _visits(it, tree, most), "query_id long, q array<double>, bins array<long>").select("query_id", "q", F.explode("bins").alias("leaf"))
+    visits = queries.mapInArrow(lambda it: _visits(it, tree, most, held, p.k + 1), "query_id long, q array<double>, bins array<long>").select("query_id", "q", F.explode("bins").alias("leaf"))
     visits = visits.join(sizes, "leaf").select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "query_id", "q")
     found = blocks.groupBy("leaf", "block").cogroup(visits.groupBy("leaf", "block")).applyInArrow(lambda a, b: _search(a, b, p.k), _FOUND)
     return _ranked(found, p.k).withColumn("rank", F.col("rank").cast("int"))

@@ -204,6 +204,20 @@ def test_search_recall_and_edges(spark):
     assert [r["rank"] for r in sorted(few, key=lambda r: r["rank"])] == [1, 2]
 
 
+def test_search_gives_outliers_all_their_candidates(spark):
+    ship(spark)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.repeat(rng.normal(size=(20, 4)), 100, axis=0), 1000 + 100 * rng.normal(size=(6, 4))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = kmtree.nearest_neighbours(df, "vec_id % 50 = 0 or vec_id = 2001", p=kmtree.Search(leaf_rows=2, recall=0.9)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, []).append(r["rank"])
+    assert set(by) == {*range(0, 2001, 50), 2001} and all(sorted(v) == list(range(1, 11)) for v in by.values())
+    few = kmtree.nearest_neighbours(df.where("vec_id >= 1996"), "vec_id = 2001", p=kmtree.Search(leaf_rows=2)).collect()
+    assert {r.vec_id for r in few} == {*range(1996, 2006)} - {2001}
+
+
 # --- WARC ---
 
 PAGE = "<!DOCTYPE html><html lang='fr'><head><title>A &amp; b</title><style>p{}</style></head><body><!-- no --><script>var t='</p>';</script><h1>Head</h1><p>one <b>two</b><br>three &lt;x&gt;<a href='/l?a=1&amp;b=2'>link</a></body></html>"
