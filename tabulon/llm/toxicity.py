@@ -289,7 +289,11 @@ def learn(rows: list[tuple[str, int]], margin: float = 4.0, min_rate: float = 0.
 
 
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 3000, max_chars: int = 24_000_000) -> Model:
-    """Fit on a bounded sample of labelled rows: so many of each label, and so many characters in all."""
+    """Fit on a bounded sample of labelled rows: so many of each label, and so many characters in all.
+
+    Texts that pass the bound together are cut to a common length (max_chars halved until they fit); no row
+    is left out, and their scores are of the whole texts.
+    """
     y = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     pick = lambda v, n: y.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     ids = [r[0] for v, n in ((1, max_toxic), (0, max_clean)) for r in pick(v, n).select("doc_id").collect()]
@@ -298,12 +302,14 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean:
         return learn([])
     # at most max_toxic + max_clean ids: safe to broadcast
     found = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").join(y, "doc_id").where("text is not null").dropDuplicates(["doc_id"])
-    rows, total = [], 0
+    rows, total, share = [], 0, max_chars
     for r in found.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "toxic").toLocalIterator():
-        total += len(r[0])
-        if rows and total > max_chars:
-            break
-        rows.append((r[0], int(r[1] > 0)))
+        rows.append((r[0][:share], int(r[1] > 0)))
+        total += len(rows[-1][0])
+        while total > max_chars:
+            share //= 2
+            rows = [(t[:share], y) for t, y in rows]
+            total = sum(len(t) for t, _ in rows)
     return learn(rows)
 
 

@@ -58,6 +58,18 @@ def test_words_are_found_between_any_marks():
     assert found("") == found(" \t\n") == found("...") == found("you are fine") == {}
 
 
+def test_long_texts_leave_the_other_labelled_rows_in_the_fit(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "learn", lambda rows: rows)
+    rows = [(i, ("word " * 400 if i % 10 == 0 else f"text {i}"), "en", "s", 1) for i in range(50)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(50)], "doc_id long, quality int, toxic int")
+    got = toxicity.train(frame(spark, rows), labels, max_chars=3000)
+    assert len(got) == 50 and sum(y for _, y in got) == 25 and sum(len(t) for t, _ in got) <= 3000
+    assert {t for t, _ in got if t.startswith("text")} == {t for _, t, *_ in rows if t.startswith("text")}
+    assert {len(t) for t, _ in got if t.startswith("word")} == {375}
+    whole = toxicity.train(frame(spark, rows), labels)
+    assert sorted(t for t, _ in whole) == sorted(r[1] for r in rows)
+
+
 def test_model_learns_and_generalises(spark):
     ship(spark)
     rng = random.Random(1)
