@@ -47,7 +47,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixing schedule: files and rows follow the slots."""
+    """All documents, in the order of the mixing schedule: files and rows follow the slots.
+
+    This sets the order of the written files only. Packing places pieces by length and hash and doesn't
+    read that order, so the last stage gives the same rows with or without this one.
+    """
     ship(spark)
     order = mix(docs).select(F.col("doc_id").alias("__id"), "slot", "place").groupBy("__id").agg(F.min(F.struct("slot", "place")).alias("__at"))
     joined = docs.join(order.hint("merge"), docs["doc_id"].eqNullSafe(order["__id"]), "left")
