@@ -24,6 +24,9 @@ from __future__ import annotations
 
 import bisect
 import os
+import string
+import struct
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -48,24 +51,36 @@ class Packing:
 
 
 class IdCache(dict):
-    """Chunk of text to its ids (little-endian 32-bit), two generations of at most `most` chunks."""
+    """Chunk of text to its ids (little-endian 32-bit), two generations of at most `most` chunks.
 
-    def __init__(self, path: str, most: int = 200_000):
+    The pre-tokenizer ends a token where letters meet ASCII punctuation, so a word and the marks after it
+    are looked up apart. A word of lower-case letters in composed form is one pre-token that the
+    normaliser leaves as it is: it goes to the BPE model at once, as byte-level characters. All other
+    chunks take the whole encoder.
+    """
+
+    def __init__(self, path: str, most: int = 400_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.encode, self.most, self.old = Tokenizer.from_file(path).encode, most, {}
+        # the model is a part of the tokenizer, which has to live as long
+        self.tokenizer = Tokenizer.from_file(path)
+        self.encode, self.word, self.most, self.old = self.tokenizer.encode, self.tokenizer.model.tokenize, most, {}
         self[""] = b""
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
-            if chunk[-1] in ".," and chunk[:-1].isalpha():
-                ids = self[chunk[:-1]] + self[chunk[-1]]
-            elif (low := chunk.lower()) != chunk and low.isalpha() and chunk.isalpha() and "Σ" not in chunk:
-                ids = self[low]
-            else:
+            if chunk.isalpha():
+                if chunk.islower() and chunk == chunk.lower() and unicodedata.is_normalized("NFC", chunk):
+                    ids = [t.id for t in self.word(chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(_BYTE_LEVEL))]
+                    ids = struct.pack(f"<{len(ids)}I", *ids)
+                elif (low := chunk.lower()) != chunk and low.isalpha() and "Σ" not in chunk:
+                    ids = self[low]
+            elif (body := chunk.rstrip(string.punctuation)) != chunk and body.isalpha():
+                ids = self[body] + self[chunk[len(body) :]]
+            if ids is None:
                 ids = np.array(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= self.most:
             self.old = dict(self)
@@ -78,6 +93,16 @@ class IdCache(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+def _byte_level() -> dict[int, int]:
+    """Byte-level BPE writes printable bytes as themselves and the others as the characters from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+_BYTE_LEVEL = _byte_level()
+
+
 _CACHES: dict[str, IdCache] = {}
 
 
