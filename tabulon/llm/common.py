@@ -113,13 +113,21 @@ def frame_bytes(df: DataFrame, column: str) -> int:
 
 _SHIPPED: set[str] = set()
 
+#: Rows that hold whole texts go to Python in batches of so many bytes, where the session says nothing else.
+_BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, as a small zip through Spark's own file server; once per application."""
+    """Give executors this package, as a small zip through Spark's own file server; once per application.
+
+    Also bounds Arrow batches by bytes (a session setting), so that long texts don't add up to large batches.
+    """
     import tempfile
     import zipfile
     from pathlib import Path
 
+    if spark.conf.get(_BATCH_BYTES[0], None) is None:
+        spark.conf.set(*_BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

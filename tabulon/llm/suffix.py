@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, free_shuffles, mix64, odd_inverse, powers, utf8, written
+from .common import drop_written, free_shuffles, mix64, odd_inverse, powers, slices, utf8, written
 
 _BASE = 0xD1342543DE82EF95 | 1
 _INV = odd_inverse(_BASE)
@@ -56,8 +56,11 @@ class Repeats:
     hot: int = 20_000
     hot_windows: int = 4
     chunk: int = 1 << 19
-    flush: int = 1 << 20
+    flush: int = 1 << 19
     shard_mb: int = 32
+    #: Bytes of strings that one transform merge takes, and those that one task works through, merge after merge.
+    merge_bytes: int = 1 << 19
+    task_bytes: int = 1 << 23
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,20 +167,21 @@ def _shard(batches: Iterator[pa.RecordBatch], p: Repeats, parts: int) -> Iterato
 
     def send() -> Iterator[pa.RecordBatch]:
         doc, lo, dq, n, gram, whole = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         order, new, _ = _later(gram, whole, doc=doc, lo=lo)
         rep, rest = order[new], order[~new]
         yield _split((gram[rep] % np.uint64(parts)).astype(np.int32), 1, *(x[rep] for x in (doc, lo, dq, n, gram, whole)))
         if len(rest):
             yield _split((mix64(doc[rest].astype(np.uint64)) % np.uint64(parts)).astype(np.int32), 0, doc[rest], lo[rest], n[rest])
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "text", 4 << 20)):
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
         for row, lo, dq, n, gram, whole in runs(*utf8(batch.column("text")), p):
             held.append((ids[row], lo.astype(np.uint32), dq.astype(np.uint8), n.astype(np.uint8), gram, whole))
             count += len(row)
             if count >= p.flush:
                 yield from send()
-                held, count = [], 0
+                count = 0
     if held:
         yield from send()
 
@@ -270,7 +274,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], p: Repeats, parts: int) -> Iter
                     else:
                         early.append(held[before][1:4])
                         held[before] = (shared, doc, a, m, own)
-            if size >= 24 << 20:
+            if size >= 8 << 20:
                 yield send()
                 held, size, seen = [], 0, {}
             if len(early) >= 100_000:
@@ -422,10 +426,10 @@ def covered(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     free_shuffles(spark)
     open_runs = met.where("kind > 0")
     size = int(open_runs.agg(F.coalesce(F.sum(F.col("n") + p.length), F.lit(0))).first()[0])
-    parts2 = max(64, -(-size // (2 << 20)))
+    parts2, tasks2 = max(64, -(-size // p.merge_bytes)), max(64, -(-size // p.task_bytes))
     todo = open_runs.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "dq", "n", "key", "kind")).alias("todo"))
     texts = docs.join(todo, "doc_id").select("doc_id", "text", "todo").mapInArrow(lambda it: _contexts(it, p, parts2), _BLOBS)
-    late = written(texts.repartition(parts2, "part").sortWithinPartitions("part", "kind").mapInArrow(lambda it: _settled(it, p), _FOUND), "repeats-settled")
+    late = written(texts.repartition(tasks2, "part").sortWithinPartitions("part", "kind").mapInArrow(lambda it: _settled(it, p), _FOUND), "repeats-settled")
     del texts, todo
     free_shuffles(spark)
     return met.where("kind = 0").select("doc_id", "lo", "n").unionByName(late.select("doc_id", "lo", "n"))
