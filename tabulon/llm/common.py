@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 import numpy as np
@@ -10,15 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DEFAULT = "/tmp/tabulon-work"
+#: Work tables that are there: folder name to path.
+_MADE: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DEFAULT).rstrip("/")
+    """The folder that driver and executors share. Where the session names none, a local one if the master is local; else an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    return (named or _LOCAL_DEFAULT).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder for work tables; it goes when the driver ends, or by `drop_written` or `clean` before."""
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(clean, spark)
+    _MADE[path.rpartition("/")[2]] = path
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -35,16 +47,19 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def folder_of(df: DataFrame) -> str:
-    return df.inputFiles()[0].rpartition("/")[0]
-
-
 def drop_written(*dfs: DataFrame) -> None:
-    """Delete tables made by `written` that no plan reads any more."""
+    """Delete tables made by `written` that no plan reads any more; files from elsewhere are never touched."""
     for df in dfs:
-        files = df.inputFiles()
-        if files:
-            remove(df.sparkSession, files[0].rpartition("/")[0])
+        for folder in {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()} & _MADE.keys():
+            remove(df.sparkSession, _MADE.pop(folder))
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all work tables of this driver. Frames that operators returned can't be read after it."""
+    for path in list(_MADE.values()):
+        with contextlib.suppress(Exception):  # at the driver's end the JVM may be gone already
+            remove(spark, path)
+    _MADE.clear()
 
 
 def free_shuffles(spark: SparkSession) -> None:
