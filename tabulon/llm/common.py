@@ -70,6 +70,22 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def lean(stage):
+    """`stage` for mapInArrow; at a task's end the worker, which lives on, gives unused memory back to the system."""
+
+    def run(batches):
+        import ctypes
+
+        try:
+            yield from stage(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1) of a string column without decoding; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):

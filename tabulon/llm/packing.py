@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import lean, slices, written
 
 END_ID = 1
 
@@ -59,7 +59,7 @@ class IdCache(dict):
     chunks take the whole encoder.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -131,7 +131,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterato
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _cut(it, tokenizer, capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(lean(lambda it: _cut(it, tokenizer, capacity)), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 # --- planning, on counts by length ---
@@ -322,4 +322,4 @@ def pack(docs: DataFrame, tokenizer: str, p: Packing = Packing()) -> DataFrame:
     ranked = found.withColumn("row", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece"))).join(before, ["length", "bucket"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("row") - 1).alias("rank"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(lambda it: _place(it, segments), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(lambda it: _place(it, segments)), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, free_shuffles, mix64, odd_inverse, powers, slices, utf8, written
+from .common import drop_written, free_shuffles, lean, mix64, odd_inverse, powers, slices, utf8, written
 
 _BASE = 0xD1342543DE82EF95 | 1
 _INV = odd_inverse(_BASE)
@@ -420,16 +420,16 @@ def covered(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     docs = docs.select("doc_id", "text").where("text is not null and octet_length(text) >= %d" % p.length)
     total = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     parts = max(64, -(-total // (p.shard_mb << 20)))
-    sent = docs.mapInArrow(lambda it: _shard(it, p, parts), _BLOBS).repartition(parts, "part").sortWithinPartitions("part", "kind")
-    met = written(sent.mapInArrow(lambda it: _meet(it, p), _FOUND), "repeats-runs")
+    sent = docs.mapInArrow(lean(lambda it: _shard(it, p, parts)), _BLOBS).repartition(parts, "part").sortWithinPartitions("part", "kind")
+    met = written(sent.mapInArrow(lean(lambda it: _meet(it, p)), _FOUND), "repeats-runs")
     del sent
     free_shuffles(spark)
     open_runs = met.where("kind > 0")
     size = int(open_runs.agg(F.coalesce(F.sum(F.col("n") + p.length), F.lit(0))).first()[0])
     parts2, tasks2 = max(64, -(-size // p.merge_bytes)), max(64, -(-size // p.task_bytes))
     todo = open_runs.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "dq", "n", "key", "kind")).alias("todo"))
-    texts = docs.join(todo, "doc_id").select("doc_id", "text", "todo").mapInArrow(lambda it: _contexts(it, p, parts2), _BLOBS)
-    late = written(texts.repartition(tasks2, "part").sortWithinPartitions("part", "kind").mapInArrow(lambda it: _settled(it, p), _FOUND), "repeats-settled")
+    texts = docs.join(todo, "doc_id").select("doc_id", "text", "todo").mapInArrow(lean(lambda it: _contexts(it, p, parts2)), _BLOBS)
+    late = written(texts.repartition(tasks2, "part").sortWithinPartitions("part", "kind").mapInArrow(lean(lambda it: _settled(it, p)), _FOUND), "repeats-settled")
     del texts, todo
     free_shuffles(spark)
     return met.where("kind = 0").select("doc_id", "lo", "n").unionByName(late.select("doc_id", "lo", "n"))
@@ -498,11 +498,11 @@ def repeat_digests(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
     joined, _ = _with_cuts(docs.select("doc_id", "text"), p)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.select("doc_id", "text", "__cuts").mapInArrow(lambda it: _digest(it, p.length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select("doc_id", "text", "__cuts").mapInArrow(lean(lambda it: _digest(it, p.length)), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     """The input's rows and columns, repeated strings cut from `text` (a character cut in half goes)."""
     joined, key = _with_cuts(docs, p)
     out = joined.select(*(joined[c] for c in docs.columns), "__cuts")
-    return out.mapInArrow(lambda it: _kept(it, p.length), docs.schema)
+    return out.mapInArrow(lean(lambda it: _kept(it, p.length)), docs.schema)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import lean, mix64
 
 OTHER, END, WEAK, MID, STRONG, THREAT, TARGET, NEGATION, REPORT = range(9)
 #: Small seed lists; what labels show is added to them.
@@ -335,10 +335,10 @@ def _keep(batches: Iterator[pa.RecordBatch], model: Model, below: float) -> Iter
 def score(docs: DataFrame, model: Model, keep_below: float | None = None) -> DataFrame:
     """doc_id, score, matched (weight of matched clauses) of each row; or the rows themselves that score below a bound."""
     if keep_below is not None:
-        return docs.mapInArrow(lambda it: _keep(it, model, keep_below), docs.schema)
+        return docs.mapInArrow(lean(lambda it: _keep(it, model, keep_below)), docs.schema)
     kind = docs.schema["doc_id"].dataType.simpleString()
     w, s, c, b = model.words, model.starts, model.weights, model.bias
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _score(it, w, s, c, b), f"doc_id {kind}, score double, matched double")
+    return docs.select("doc_id", "text").mapInArrow(lean(lambda it: _score(it, w, s, c, b)), f"doc_id {kind}, score double, matched double")
 
 
 def held_out(doc_id="doc_id"):
