@@ -1,7 +1,10 @@
 """Source mixing and packing."""
 
+import heapq
+import math
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -12,32 +15,89 @@ from tabulon.llm.common import ship
 from tabulon.llm.queries import tokenizer_path
 
 
-def test_one_cycle_stays_below_a_block():
-    for weights in ({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1}, {f"s{i}": 1 + i * i for i in range(20)}, {"hot": 1000, "x": 1, "y": 1}):
-        q, cycle = mixing.quanta(weights, 256)
-        assert sum(q.values()) == cycle
-        order, seen = mixing.one_cycle(q, cycle), dict.fromkeys(q, 0)
-        for t, s in enumerate(order, 1):
-            seen[s] += 1
-            assert all(abs(n - t * q[k] / cycle) < 1 for k, n in seen.items())
-        assert seen == q
-
-
-def test_phases_place_every_block_once():
-    blocks, weights = {"a": 1000, "b": 37, "c": 5, "d": 0}, {"a": 1, "b": 5, "c": 2, "x": 9}
-    plan, pattern = mixing.phases(blocks, weights, 64)
-    at = {(k, s, i): slot for k, s, i, slot in pattern}
-    slots = []
-    for s, parts in plan.items():
-        assert sum(p[2] for p in parts) == blocks[s]
-        for phase, _, n, start, q, cycle in parts:
-            slots += [start + i // q * cycle + at[phase, s, i % q] for i in range(n)]
-    assert sorted(slots) == list(range(sum(blocks.values())))
+def simulated(n, w):
+    """Earliest deadline first from the first slot to the last, in exact fractions; and each source's curve by slot."""
+    n, w = list(n), [Fraction(x).limit_denominator(10**7) for x in w]
+    left, curve, t, turns = [Fraction(x) for x in n], [Fraction(0)] * len(n), Fraction(0), [[Fraction(0)] for _ in n]
+    times = [[] for _ in n]  # when each curve passes 1, 2, ...
+    total = sum(n)
+    while any(left):
+        rate = [x if m else 0 for x, m in zip(w, left, strict=True)]
+        rate = [x / sum(rate) for x in rate]
+        step = min(m / r for m, r in zip(left, rate, strict=True) if r)
+        for s, r in enumerate(rate):
+            while r and len(times[s]) < n[s] and (len(times[s]) + 1 - curve[s]) / r <= step:
+                times[s].append(t + (len(times[s]) + 1 - curve[s]) / r)
+            turns[s].append(r)
+            curve[s] += r * step
+            left[s] -= r * step
+        t += step
+    release = [[Fraction(0), *x][:-1] for x in times]
+    jobs = sorted((math.floor(r), math.ceil(d), s, i + 1) for s in range(len(n)) for i, (r, d) in enumerate(zip(release[s], times[s], strict=True)))
+    ready, at, out = [], 0, []
+    for slot in range(total):
+        while at < len(jobs) and jobs[at][0] <= slot:
+            heapq.heappush(ready, jobs[at][1:])
+            at += 1
+        d, s, i = heapq.heappop(ready)
+        assert slot < d
+        out.append((s, i))
+    return out, times
+
+
+def merged(n, w, length):
+    """All segments, one after another."""
+    c = mixing.Curves(np.arange(len(n)), np.array(n), np.array(w, float))
+    length = c.length(length)
+    parts = [x for k in range(-(-c.slots // length)) for x in c.segment(k, length)]
+    return c, *(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+@pytest.mark.parametrize("w", [[0.5, 0.3, 0.2], [1], [1, 3**0.5, 7**0.5], [1 + i * i for i in range(20)], [1000, 1, 1], [1, 1, 1, 1]])
+def test_first_segment_is_earliest_deadline_first(w):
+    n = [37 * (i + 1) for i in range(len(w))]
+    want, times = simulated(n, w)
+    _, source, block, slot, release, deadline = merged(n, w, sum(n))
+    assert slot.tolist() == list(range(sum(n)))
+    assert [(s, b) for s, b in zip(source.tolist(), block.tolist(), strict=True)] == want
+    for s, b, d in zip(source.tolist(), block.tolist(), deadline.tolist(), strict=True):
+        assert d == math.ceil(times[s][b - 1])
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_segments_meet_all_deadlines(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    k = int(rng.integers(1, 30))
+    n, w = rng.integers(1, 2000, k), rng.random(k) ** rng.integers(1, 4) + 0.05
+    monkeypatch.setattr(mixing, "_STRETCH", 50)
+    c, source, block, slot, release, deadline = merged(n, w, int(rng.integers(5, 60)))
+    assert (release <= slot).all() and (slot < deadline).all()
+    assert sorted(zip(source.tolist(), block.tolist(), strict=True)) == [(s, i + 1) for s in range(k) for i in range(n[s])]
+    got = np.zeros(k)
+    for t, s in enumerate(source, 1):
+        got[s] += 1
+        assert (np.abs(got - c.due(t)) < 1 + 1e-6).all()
+
+
+def test_irrational_weights_stay_below_a_block():
+    n, w = [22_000, 33_000, 55_000], np.array([1, 3**0.5, 7**0.5])
+    _, source, _, slot, _, _ = merged(n, w, 4096)
+    assert (np.diff(slot) == 1).all()
+    rows, share = 100_000, w / w.sum()
+    taken = np.cumsum(source[:rows, None] == np.arange(3), axis=0)
+    until = int((np.array(n) / share).min())  # as long as all three last
+    assert (np.abs(taken - np.arange(1, rows + 1)[:, None] * share)[:until] < 1 + 1e-6).all()
+
+
+def test_many_sources():
+    n = np.arange(5000) % 37 + 1
+    _, source, block, slot, release, deadline = merged(n, np.sqrt(n), 20_000)
+    assert (release <= slot).all() and (slot < deadline).all() and len(set(zip(source.tolist(), block.tolist(), strict=True))) == n.sum()
 
 
 def test_mix(spark):
     rows = [(i, "t", "en", "hot" if i % 3 else f"s{i % 5}", 1) for i in range(3000)] + [(9000, "t", "en", None, 1), (9001, "t", "en", "", 1), (None, "t", "en", "hot", 1)]
-    p = mixing.Mix(block_rows=4, blocks_a_bucket=8, cycle=128)
+    p = mixing.Mix(block_rows=4, blocks_a_bucket=8, segment=64)
     got = mixing.mix(clashing(spark, rows), p=p).collect()
     assert len(got) == len(rows) and {r.doc_id for r in got} == {r[0] for r in rows}
     assert len({r.block for r in got if r.source == "hot"}) >= 2000 // 4
