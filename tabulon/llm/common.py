@@ -137,6 +137,14 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)[:n]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with underscores put before it until no column of `df` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def frame_bytes(df: DataFrame, column: str) -> int:
     """Exact UTF-8 size of a column; nulls count nothing."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0])

@@ -323,3 +323,15 @@ def pack(docs: DataFrame, tokenizer: str, p: Packing = Packing()) -> DataFrame:
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("row") - 1).alias("rank"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return ranked.mapInArrow(lean(lambda it: _place(it, segments)), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+
+def in_order(packed: DataFrame, places: DataFrame) -> DataFrame:
+    """The same packing, its sequences numbered by the first place that a document of theirs has.
+
+    `places` gives (doc_id, place) with any sortable place; documents without one come first. Numbers rise
+    with the order and have gaps.
+    """
+    own = packed.join(places.groupBy(F.col("doc_id").alias("id")).agg(F.min("place").alias("place")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    first = own.groupBy("sequence_id").agg(F.min(F.struct(F.coalesce(F.col("place").isNotNull(), F.lit(False)).alias("known"), "place", "doc_id", "piece")).alias("first"))
+    ranked = written(first.repartitionByRange("first").sortWithinPartitions("first").select("sequence_id", F.monotonically_increasing_id().alias("number")), "pack-order")
+    return packed.join(ranked.hint("merge"), "sequence_id").select(*(F.col("number").alias(c) if c == "sequence_id" else F.col(c) for c in packed.columns))

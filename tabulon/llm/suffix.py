@@ -24,7 +24,8 @@ inside a shard before the shuffle; no such group meets in one task.
 
 Defined results: null and empty texts have 0 bytes; texts shorter than `length` keep all. If ids repeat
 or are null, rows are ordered by (doc_id, text) and each row is a document of its own (nulls first).
-An empty table gives an empty result. Only `doc_id` and `text` are read. Digests have 64 bits for
+An empty table gives an empty result. Only `doc_id` and `text` are read; `without_repeats` hands all other
+columns on, whatever their names. Digests have 64 bits for
 anchors, another 64 for runs, 64 a symbol; equality of strings rests on at least 128 bits.
 """
 
@@ -40,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, free_shuffles, lean, mix64, odd_inverse, powers, slices, utf8, written
+from .common import drop_written, free_shuffles, fresh, lean, mix64, odd_inverse, powers, slices, utf8, written
 
 _BASE = 0xD1342543DE82EF95 | 1
 _INV = odd_inverse(_BASE)
@@ -462,7 +463,7 @@ def _cut(raw: bytes, cuts, length: int) -> tuple[bytes, int, int]:
 def _digest(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, cuts in zip(batch.column("text"), batch.column("__cuts"), strict=True):
+        for text, cuts in zip(batch.column("text"), batch.column("cuts"), strict=True):
             raw = (text.as_py() or "").encode()
             kept, removed, n = _cut(raw, cuts if cuts.is_valid else None, length)
             out.append((len(raw), removed, n, hashlib.sha256(kept).hexdigest()))
@@ -470,13 +471,13 @@ def _digest(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _kept(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _kept(batches: Iterator[pa.RecordBatch], length: int, cuts_column: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, cuts in zip(batch.column("text"), batch.column("__cuts"), strict=True):
+        for text, cuts in zip(batch.column("text"), batch.column(cuts_column), strict=True):
             out.append(text.as_py() if not cuts.is_valid else _cut((text.as_py() or "").encode(), cuts, length)[0].decode(errors="ignore"))
         i = batch.schema.get_field_index("text")
-        yield batch.set_column(i, "text", pa.array(out, pa.string())).drop_columns(["__cuts"])
+        yield batch.set_column(i, "text", pa.array(out, pa.string())).drop_columns([cuts_column])
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -484,25 +485,28 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     n, known, some = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.count_distinct("doc_id")).first()
     if n == known == some:
         return docs, "doc_id"
-    return written(docs.orderBy("doc_id", "text").withColumn("__key", F.monotonically_increasing_id()), "repeats-keyed"), "__key"
+    key = fresh(docs, "key")
+    return written(docs.orderBy("doc_id", "text").withColumn(key, F.monotonically_increasing_id()), "repeats-keyed"), key
 
 
 def _with_cuts(docs: DataFrame, p: Repeats) -> tuple[DataFrame, str]:
-    docs, key = _keyed(docs)
-    found = covered(docs.select(F.col(key).cast("long").alias("doc_id"), "text"), p)
-    cuts = found.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("lo", "n")).alias("__cuts"))
-    return docs.join(cuts, F.col(key).cast("long") == F.col("__doc"), "left").drop("__doc"), key
+    """The rows, and the name of a new column that holds each one's runs of window starts."""
+    keyed, key = _keyed(docs)
+    found = covered(keyed.select(F.col(key).cast("long").alias("doc_id"), "text"), p)
+    doc, name = fresh(keyed, "doc"), fresh(keyed, "cuts")
+    cuts = found.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("lo", "n")).alias(name))
+    joined = keyed.join(cuts, F.col(key).cast("long") == F.col(doc), "left")
+    return joined.select(*(F.col(f"`{c}`") for c in (*docs.columns, name))), name
 
 
 def repeat_digests(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
-    joined, _ = _with_cuts(docs.select("doc_id", "text"), p)
+    joined, _ = _with_cuts(docs.select("doc_id", "text"), p)  # the new column is "cuts"
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.select("doc_id", "text", "__cuts").mapInArrow(lean(lambda it: _digest(it, p.length)), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select("doc_id", "text", "cuts").mapInArrow(lean(lambda it: _digest(it, p.length)), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     """The input's rows and columns, repeated strings cut from `text` (a character cut in half goes)."""
-    joined, key = _with_cuts(docs, p)
-    out = joined.select(*(joined[c] for c in docs.columns), "__cuts")
-    return out.mapInArrow(lean(lambda it: _kept(it, p.length)), docs.schema)
+    joined, name = _with_cuts(docs, p)
+    return joined.mapInArrow(lean(lambda it: _kept(it, p.length, name)), docs.schema)
