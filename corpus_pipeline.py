@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import new_path, ship
+from tabulon.llm.common import fresh, new_path, ship
 from tabulon.llm.minhash import near_duplicates
 from tabulon.llm.mixing import mix
-from tabulon.llm.packing import pack
+from tabulon.llm.packing import in_order, pack
 from tabulon.llm.queries import tokenizer_path
 from tabulon.llm.suffix import without_repeats
 from tabulon.llm.toxicity import held_out, score, train
@@ -47,21 +47,30 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixing schedule: files and rows follow the slots.
+    """All documents, in the order of the mixing schedule: files and rows follow the slots, and packing follows the files.
 
-    This sets the order of the written files only. Packing places pieces by length and hash and doesn't
-    read that order, so the last stage gives the same rows with or without this one.
+    Rows that share an id stand together; other columns are handed on, whatever their names.
     """
     ship(spark)
-    order = mix(docs).select(F.col("doc_id").alias("__id"), "slot", "place").groupBy("__id").agg(F.min(F.struct("slot", "place")).alias("__at"))
-    joined = docs.join(order.hint("merge"), docs["doc_id"].eqNullSafe(order["__id"]), "left")
-    return joined.repartitionByRange(F.col("__at.slot")).sortWithinPartitions("__at.slot", "__at.place").select(*docs.columns)
+    key, at = fresh(docs, "mix_id"), fresh(docs, "mix_at")
+    order = mix(docs).select(F.col("doc_id").alias(key), "slot", "place").groupBy(key).agg(F.min(F.struct("slot", "place")).alias(at))
+    joined = docs.join(order.hint("merge"), docs["doc_id"].eqNullSafe(F.col(key)), "left")
+    return joined.repartitionByRange(F.col(f"{at}.slot")).sortWithinPartitions(f"{at}.slot", f"{at}.place").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their place in sequences of at most 4096 tokens."""
+    """Pieces of documents with their place in sequences of at most 4096 tokens.
+
+    Sequences are numbered in the mixed order: by the first place that one of their documents has in the
+    files of the stage before (file number, row). Rows that no file holds have no place; their sequences
+    come first.
+    """
     ship(spark)
-    return pack(docs, tokenizer_path())
+    packed = pack(docs, tokenizer_path())
+    if not docs.inputFiles():
+        return packed
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
+    return in_order(packed, docs.select("doc_id", F.struct(part.alias("part"), F.col("_metadata.row_index").alias("row")).alias("place")))
 
 
 STAGES = [
