@@ -45,7 +45,7 @@ def _rest(url: Column) -> Column:
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
     """The longest fitting rule and its verdict, null where none fits."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for h, p, v in sorted(rules, key=lambda r: len(r[0]) + len(r[1]))[:]:
+    for h, p, v in sorted(reversed(rules), key=lambda r: len(r[0]) + len(r[1])):  # the last that fits counts
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
         name, verdict = F.when(fits, F.lit(h + p)).otherwise(name), F.when(fits, F.lit(v)).otherwise(verdict)
     return name, verdict
@@ -59,12 +59,14 @@ def _entropy(s: str) -> float:
     return float(-(counts * np.log2(counts)).sum())
 
 
-def suffixes(host: str, path: str) -> tuple[str, str, str]:
+KINDS = ("host_suffix", "domain", "path_suffix")
+
+
+def suffixes_of(host: Column, path: Column) -> tuple[Column, Column, Column]:
     """Top label, last two labels, and the path's extension (or its last character's kind)."""
-    labels = host.rsplit(":", 1)[0].split(".")
-    last = path.rsplit("/", 1)[-1]
-    tail = "." + last.rsplit(".", 1)[1].lower() if "." in last else "/" if path.endswith("/") else "digit" if path[-1:].isdigit() else "other"
-    return labels[-1], ".".join(labels[-2:]), tail
+    name, last = F.regexp_replace(host, ":[^:]*$", ""), F.substring_index(path, "/", -1)
+    tail = F.when(F.contains(last, F.lit(".")), F.concat(F.lit("."), F.lower(F.substring_index(last, ".", -1)))).when(path.endswith("/"), "/").when(path.rlike("[0-9]$"), "digit").otherwise("other")
+    return F.substring_index(name, ".", -1), F.substring_index(name, ".", -2), tail
 
 
 def lexical(url: str | None, host: str, path: str) -> list[float]:
@@ -82,29 +84,21 @@ def lexical(url: str | None, host: str, path: str) -> list[float]:
     ]
 
 
-@dataclass
-class Rates:
-    """Smoothed share of blocked URLs by suffix; `most` suffixes of each kind are kept, the rest get the mean."""
-
-    mean: float = 0.5
-    by: tuple[dict[str, float], ...] = ({}, {}, {})
-
-    def of(self, host: str, path: str) -> list[float]:
-        return [t.get(s, self.mean) for t, s in zip(self.by, suffixes(host, path), strict=True)]
-
+def with_rates(known: DataFrame, smooth: float = 20, few: int = 100_000) -> DataFrame:
+    """Adds host_suffix_rate, domain_rate, path_suffix_rate: smoothed shares of blocked URLs among all that a rule decides, by suffix.
 
-def rates(rows: list[tuple[str, str]], y: np.ndarray, smooth: float = 20, most: int = 5000) -> Rates:
-    mean = float(y.mean()) if len(y) else 0.5
-    by = []
-    for k in range(3):
-        seen: dict[str, list[float]] = {}
-        for (host, path), v in zip(rows, y.tolist(), strict=True):
-            c = seen.setdefault(suffixes(host, path)[k], [0, 0])
-            c[0] += v
-            c[1] += 1
-        top = sorted(seen, key=lambda s: (-seen[s][1], s))[:most]
-        by.append({s: (seen[s][0] + smooth * mean) / (seen[s][1] + smooth) for s in top})
-    return Rates(mean, tuple(by))
+    All rows are counted. A suffix without ruled URLs has the mean (0.5 if no URL is ruled). Up to `few`
+    suffixes of a kind are broadcast, after a count; more are joined by a shuffle.
+    """
+    block, ruled = F.count_if(F.col("ruled") == "block"), F.count("ruled")
+    n, blocked = known.agg(ruled, block).first()
+    mean = blocked / n if n else 0.5
+    df = known.withColumns(dict(zip(KINDS, suffixes_of(F.col("host"), F.col("path")), strict=True)))
+    for kind in KINDS:
+        by = df.where("ruled is not null").groupBy(kind).agg(((block + smooth * mean) / (ruled + smooth)).alias(f"{kind}_rate"))
+        by = F.broadcast(by) if by.count() <= few else by
+        df = df.join(by, kind, "left").withColumn(f"{kind}_rate", F.coalesce(f"{kind}_rate", F.lit(mean)))
+    return df.select(*known.columns, *(f"{kind}_rate" for kind in KINDS))
 
 
 @dataclass
@@ -175,24 +169,22 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate:
     return model
 
 
-@dataclass
-class UrlModel:
-    rates: Rates = field(default_factory=Rates)
-    trees: Trees = field(default_factory=lambda: Trees(-1.0))
+#: (url, host, path, host_suffix_rate, domain_rate, path_suffix_rate)
+Known = tuple[str | None, str, str, float, float, float]
+
+
+def features(rows: list[Known]) -> np.ndarray:
+    return np.array([lexical(*r[:3]) + list(r[3:]) for r in rows], float).reshape(-1, len(FEATURES))
 
-    def block_probability(self, rows: list[tuple[str | None, str, str]]) -> np.ndarray:
-        if not rows:
-            return np.zeros(0)
-        x = np.array([lexical(u, h, p) + self.rates.of(h, p) for u, h, p in rows], float)
-        return 1 / (1 + np.exp(-self.trees.raw(x)))
 
+def block_probability(model: Trees, rows: list[Known]) -> np.ndarray:
+    return 1 / (1 + np.exp(-model.raw(features(rows)))) if rows else np.zeros(0)
 
-def fit(rows: list[tuple[str, str, str]], y: np.ndarray) -> UrlModel:
+
+def fit(rows: list[Known], y: np.ndarray) -> Trees:
     if not len(y) or y.min() == y.max():
-        return UrlModel(Rates(), Trees(6.0 if len(y) and y[0] else -6.0))
-    r = rates([(h, p) for _, h, p in rows], y)
-    x = np.array([lexical(u, h, p) + r.of(h, p) for u, h, p in rows], float)
-    return UrlModel(r, boost(x, y))
+        return Trees(6.0 if len(y) and y[0] else -6.0)
+    return boost(features(rows), y)
 
 
 def labelled(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
@@ -202,18 +194,22 @@ def labelled(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame
     return df.withColumn("rule", name).withColumn("ruled", verdict)
 
 
-def train(known: DataFrame, max_rows: int = 20_000) -> UrlModel:
-    """Fit on at most `max_rows` distinct URLs of (url, host, path, ruled)."""
-    sample = known.where("ruled is not null").select("url", "host", "path", "ruled").distinct().orderBy(F.xxhash64("url"), "url").limit(max_rows).collect()
-    return fit([(r[0], r[1], r[2]) for r in sample], np.array([r[3] == "block" for r in sample], float))
+_READ = ("url", "host", "path", *(f"{kind}_rate" for kind in KINDS))
+
+
+def train(known: DataFrame, max_rows: int = 20_000) -> Trees:
+    """Fit on at most `max_rows` distinct URLs of (url, host, path, ruled, rates)."""
+    sample = known.where("ruled is not null").select(*_READ, "ruled").distinct().orderBy(F.xxhash64("url"), "url").limit(max_rows).collect()
+    return fit([tuple(r)[:6] for r in sample], np.array([r[6] == "block" for r in sample], float))
 
 
-def _judge(batches: Iterator[pa.RecordBatch], model: UrlModel) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch], model: Trees) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        url, host, path, ruled = (batch.column(c).to_pylist() for c in ("url", "host", "path", "ruled"))
+        ruled = batch.column("ruled").to_pylist()
+        read = list(zip(*(batch.column(c).to_pylist() for c in _READ), strict=True))
         todo = [i for i, v in enumerate(ruled) if v is None]
         prob: list[float | None] = [None] * len(ruled)
-        for i, x in zip(todo, model.block_probability([(url[i], host[i], path[i]) for i in todo]).tolist(), strict=True):
+        for i, x in zip(todo, block_probability(model, [read[i] for i in todo]).tolist(), strict=True):
             prob[i] = x
             ruled[i] = "block" if x >= 0.5 else "allow"
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("host"), batch.column("path"), batch.column("rule"), pa.array(ruled, pa.string()), pa.array(prob, pa.float64())], names=[batch.schema.names[0], "host", "path", "rule", "verdict", "block_score"])
@@ -221,7 +217,7 @@ def _judge(batches: Iterator[pa.RecordBatch], model: UrlModel) -> Iterator[pa.Re
 
 def judge_urls(pages: DataFrame, rules: list[Rule], id_column: str = "page_id", url: str = "url") -> DataFrame:
     """Per row: id, host, path, rule, verdict, block_score (null where a rule decides)."""
-    known = labelled(pages.select(id_column, F.col(url).alias("url")), rules)
+    known = with_rates(labelled(pages.select(id_column, F.col(url).alias("url")), rules))
     model = train(known)
     kind = pages.schema[id_column].dataType.simpleString()
     return known.mapInArrow(lambda it: _judge(it, model), f"{id_column} {kind}, host string, path string, rule string, verdict string, block_score double")
