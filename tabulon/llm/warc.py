@@ -70,15 +70,24 @@ def to_bytes(r: Record, compress: bool = False) -> bytes:
     return gzip.compress(raw, 6, mtime=0) if compress else raw
 
 
+_READ = 1 << 16
+
+
 def members(data: bytes) -> Iterator[bytes]:
     """The stream itself, or its gzip members one after another."""
     if data[:2] != b"\x1f\x8b":
         yield data
         return
-    while data:
-        d = zlib.decompressobj(31)
-        yield d.decompress(data) + d.flush()
-        data = d.unused_data
+    at = 0
+    while at < len(data):
+        d, out = zlib.decompressobj(31), []
+        while not d.eof and at < len(data):
+            out.append(d.decompress(data[at : at + _READ]))
+            at += _READ
+        if not d.eof:
+            raise ValueError("gzip member cut off")
+        at = min(at, len(data)) - len(d.unused_data)
+        yield b"".join(out)
 
 
 def read_records(data: bytes) -> Iterator[Record]:
@@ -101,7 +110,10 @@ def read_records(data: bytes) -> Iterator[Record]:
                     k, _, v = line.partition(":")
                     headers.append((k.strip(), v.strip()))
             r = Record(headers)
-            n = int(r.get("Content-Length", "0"))
+            n = r.get("Content-Length", "0")
+            if not (n.isascii() and n.isdigit()):
+                raise ValueError(f"Content-Length is no number at {at}")
+            n = int(n)
             r.block = part[end + 4 : end + 4 + n]
             if len(r.block) < n:
                 raise ValueError(f"record cut off at {at}")
@@ -130,6 +142,26 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status, [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines if ":" in x)], body
 
 
+def unwrapped(headers: list[tuple[str, str]], body: bytes) -> bytes:
+    """The body without chunks and content coding (gzip, deflate); as it stands where that fails or the coding is another."""
+    by = {k.lower(): v.lower() for k, v in headers}
+    try:
+        if "chunked" in by.get("transfer-encoding", ""):
+            out, at = [], 0
+            while size := int(body[at : (end := body.index(b"\r\n", at))].split(b";")[0], 16):
+                out.append(body[end + 2 : end + 2 + size])
+                at = end + 4 + size
+            body = b"".join(out)
+        for coding in by.get("content-encoding", "").split(",")[::-1]:
+            if coding.strip() in ("gzip", "x-gzip"):
+                body = b"".join(members(body))
+            elif coding.strip() == "deflate":
+                body = zlib.decompress(body, 15 if body[:1] == b"\x78" else -15)
+    except (ValueError, zlib.error):
+        pass
+    return body
+
+
 def decoded(body: bytes, content_type: str) -> tuple[str, str]:
     m = re.search(r"charset\s*=\s*[\"']?([\w:.-]+)", content_type, re.I)
     name = m[1] if m else (lambda x: x[1].decode() if x else "utf-8")(_CHARSET.search(body[:4096]))
@@ -196,7 +228,7 @@ def derive(source: Record) -> list[Record]:
     kind = next((v for k, v in headers if k.lower() == "content-type"), source.get("Content-Type") if not headers else "")
     uri, date, refers = source.get("WARC-Target-URI", "urn:unknown"), source.get("WARC-Date"), source.get("WARC-Record-ID")
     textual = kind.lower().startswith("text/") or "html" in kind.lower() or "xml" in kind.lower()
-    page, charset = decoded(body, kind) if textual else ("", "")
+    page, charset = decoded(unwrapped(headers, body), kind) if textual else ("", "")
     markup = "html" in kind.lower() or page.lstrip()[:1] == "<"
     title = _TITLE.search(page) if markup else None
     lang = _LANG.search(page) if markup else None
@@ -261,15 +293,22 @@ def _derive_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for i, content in enumerate(batch.column("content")):
             rows: list[tuple] = []
-            for r in read_records(content.as_py() or b""):
-                if r.get("WARC-Type") in ("response", "resource"):
-                    rows += _rows(r, True)
-                if len(rows) >= 500:
-                    yield _batch(batch.column(0), [i] * len(rows), rows, "path", 12)
-                    rows = []
+            try:
+                for r in read_records(content.as_py() or b""):
+                    if r.get("WARC-Type") in ("response", "resource"):
+                        rows += _rows(r, True)
+                    if len(rows) >= 500:
+                        yield _batch(batch.column(0), [i] * len(rows), rows, "path", 12)
+                        rows = []
+            except (ValueError, zlib.error) as e:
+                rows.append(("error", *(None,) * 5, "text/plain", None, None, None, str(e).encode(), None))
             yield _batch(batch.column(0), [i] * len(rows), rows, "path", 12)
 
 
 def derivatives_of_files(files: DataFrame) -> DataFrame:
-    """The same from WARC files read with `spark.read.format("binaryFile")` (columns path, content)."""
+    """The same from WARC files read with `spark.read.format("binaryFile")` (columns path, content).
+
+    Where a file's bytes stop being records, a row of record_type `error` says why (in `block`); what was
+    read before is kept, what follows in this file isn't read, and other files aren't touched.
+    """
     return files.select("path", "content").mapInArrow(_derive_files, f"path string, {_COLUMNS}")
