@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import fresh
+
 
 @dataclass(frozen=True)
 class Shard:
@@ -70,6 +72,7 @@ class ShardTable:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._conf = spark._jsc.hadoopConfiguration()
         self._fs = self._path(self.root).getFileSystem(self._conf)
+        self._prefix = f"{self._path(self.root).makeQualified(self._fs.getUri(), self._fs.getWorkingDirectory()).toString()}/"
         self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).makeQualified(self._fs.getUri(), self._fs.getWorkingDirectory()).toUri(), self._conf)
 
     # --- manifest ---
@@ -134,7 +137,7 @@ class ShardTable:
         while it.hasNext():
             s = it.next()
             if s.getPath().getName().startswith("part-"):
-                out.append((s.getPath().toString().split(f"{self.root.rpartition('/')[2]}/", 1)[1], s.getLen()))
+                out.append((s.getPath().toString().removeprefix(self._prefix), s.getLen()))
         return sorted(out)
 
     def _counts(self, folder: str, schema: StructType) -> dict[str, int]:
@@ -160,8 +163,8 @@ class ShardTable:
         """
         name = uuid.uuid4().hex
         folder = f"{self.root}/data/{name}"
-        seen = Observation()
-        df.withColumn("__arrival", F.col(arrival)).observe(seen, F.count(F.lit(1)).alias("rows")).write.partitionBy("__arrival").option("compression", "zstd").parquet(folder)
+        seen, value = Observation(), fresh(df, "arrival_value")
+        df.withColumn(value, F.col(f"`{arrival}`")).observe(seen, F.count(F.lit(1)).alias("rows")).write.partitionBy(value).option("compression", "zstd").parquet(folder)
         by: dict[str, list[Shard]] = {}
         counts = self._counts_by_path(folder, df.schema)
         for p, n in self._files(folder):
