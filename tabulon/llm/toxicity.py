@@ -301,7 +301,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean:
     if marks is None:
         return learn([])
     # at most max_toxic + max_clean ids: safe to broadcast
-    found = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").join(y, "doc_id").where("text is not null").dropDuplicates(["doc_id"])
+    found = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").join(y, "doc_id").where("text is not null").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
     rows, total, share = [], 0, max_chars
     for r in found.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "toxic").toLocalIterator():
         rows.append((r[0][:share], int(r[1] > 0)))
