@@ -213,9 +213,45 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_column: str = "vec_id",
     # leaves in blocks of bounded size: counts by leaf, then a hash deals a leaf's rows
     sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).select("leaf", "n", F.ceil(F.col("n") / F.lit(p.block_rows)).alias("blocks"))
     held = {r["leaf"]: r["n"] for r in sizes.select("leaf", "n").collect()}  # no more leaves than sample rows
-    sizes = sizes.drop("n")
-    blocks = placed.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block"), "vec_id", "v")
     visits = queries.mapInArrow(lambda it: _visits(it, tree, most, held, p.k + 1), "query_id long, q array<double>, bins array<long>").select("query_id", "q", F.explode("bins").alias("leaf"))
-    visits = visits.join(sizes, "leaf").select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "query_id", "q")
-    found = blocks.groupBy("leaf", "block").cogroup(visits.groupBy("leaf", "block")).applyInArrow(lambda a, b: _search(a, b, p.k), _FOUND)
+    visits = written(visits, "knn-visits")
+    # queries that visit a leaf are dealt likewise, so neither side of a group grows with the table
+    sizes = sizes.drop("n").join(visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(p.block_rows)).alias("turns")), "leaf")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    blocks = placed.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block"), each("turns").alias("turn"), "vec_id", "v")
+    visits = visits.join(sizes, "leaf").select("leaf", each("blocks").alias("block"), F.pmod(F.xxhash64("query_id", F.lit(1)), F.col("turns")).alias("turn"), "query_id", "q")
+    keys = ["leaf", "block", "turn"]
+    found = blocks.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInArrow(lambda a, b: _search(a, b, p.k), _FOUND)
     return _ranked(found, p.k).withColumn("rank", F.col("rank").cast("int"))
+
+
+@dataclass(frozen=True)
+class Report:
+    """How a search does on queries that didn't set its visits."""
+
+    queries: int
+    recall: float
+    leaves: int
+    visits: int
+    rows_read: float
+
+
+def recall_report(vectors: DataFrame, is_query, id_column: str = "vec_id", vector: str = "embedding", p: Search = Search(), most_queries: int = 40) -> Report:
+    """Recall against brute force, and the share of all rows that a query reads, over up to `most_queries` queries beyond the calibrating ones."""
+    rows = usable(vectors, id_column, vector)
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(p.sample_rows).collect()
+    tree = Tree(np.array([r[0] for r in sample]), p)
+    placed = written(rows.mapInArrow(lambda it: _assign(it, tree), "vec_id long, v array<double>, leaf long"), "knn-leaves")
+    queries = placed.where(is_query).select("vec_id", "v")
+    most, _ = calibrated(placed, queries, tree, p)
+    some = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.calibrate + most_queries).collect()[p.calibrate :]
+    held = {r[0]: r[1] for r in placed.groupBy("leaf").count().collect()}
+    total = sum(held.values())
+    if not some:
+        return Report(0, 1.0, tree.leaves, most, 0.0)
+    ids, q = np.array([r["vec_id"] for r in some]), np.array([r["v"] for r in some])
+    bins = {i: set(tree.best_bins(x, most, held, p.k + 1)) for i, x in zip(ids.tolist(), q, strict=True)}
+    truth = _ranked(placed.select("vec_id", "v").mapInArrow(lambda it: _truth(it, ids, q, p.k), _FOUND), p.k).join(placed.select("vec_id", "leaf").distinct(), "vec_id").select("query_id", "leaf").collect()
+    drop_written(placed)
+    hit = sum(r["leaf"] in bins[r["query_id"]] for r in truth)
+    return Report(len(some), hit / max(1, len(truth)), tree.leaves, most, float(np.mean([sum(held.get(b, 0) for b in x) for x in bins.values()])) / max(1, total))
