@@ -41,6 +41,6 @@ def empty(spark):
 def clashing(spark, rows):
     """The corpus with extra columns whose names the operators use inside."""
     df = frame(spark, rows)
-    for c in ("key", "band", "component", "cuts", "lo", "n", "score", "rank", "bucket", "length", "blocks", "h", "slot", "Doc"):
+    for c in ("key", "band", "component", "lo", "n", "score", "rank", "bucket", "length", "blocks", "h", "slot", "Doc", "__doc", "__cuts", "__key", "__id", "__at", "__arrival", "mix_id", "mix_at", "cuts", "place"):
         df = df.selectExpr("*", f"'x' AS `{c}`")
     return df

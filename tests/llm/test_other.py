@@ -174,6 +174,34 @@ def test_urls(spark):
     assert urlgbt.judge_urls(df.limit(0), URL_RULES).count() == 0
 
 
+def test_equal_rules_and_suffix_counts(spark):
+    ship(spark)
+    df = spark.createDataFrame([(i, f"http://h{i % 3}.x.com/a/{i}.HTML") for i in range(30)] + [(50, "http://q.org/z"), (51, None)], "page_id long, url string")
+    rows = urlgbt.judge_urls(df, [("com", "/a/1", "block"), ("x.com", "/a", "allow"), ("h1.x.com", "", "block"), ("h0.x.com", "", "allow"), ("x.com", "/b", "block")]).collect()
+    got = {r.page_id: (r.rule, r.verdict) for r in rows}
+    assert got[10] == ("h1.x.com", "block") and got[2] == ("x.com/a", "allow") and got[0] == ("h0.x.com", "allow")
+    assert urlgbt.rule_of(F.lit("a.com"), F.lit("/p"), [("com", "/p", "block"), ("a.com", "", "allow")])
+    tie = df.limit(1).select(*urlgbt.rule_of(F.lit("a.com"), F.lit("/pq"), [("com", "/p", "block"), ("a.com", "", "allow")])).first()
+    assert tuple(tie) == ("com/p", "block")  # as long as the other, listed first
+    known = urlgbt.with_rates(urlgbt.labelled(df, [("h1.x.com", "", "block"), ("h0.x.com", "", "allow")]), smooth=2)
+    want = (10 + 2 * 0.5) / 22
+    for r in known.collect():
+        if r.page_id is not None and r.page_id < 30:
+            assert r.host_suffix_rate == r.domain_rate == r.path_suffix_rate == pytest.approx(want)
+        else:
+            assert r.domain_rate == pytest.approx(0.5)
+
+
+def test_lexical_features_by_hand():
+    url, host, path = "https://a1.bc.org/p/q22-x?y=1&z=2#f", "a1.bc.org", "/p/q22-x"
+    got = dict(zip(urlgbt.FEATURES, urlgbt.lexical(url, host, path), strict=False))
+    assert (got["length"], got["host_length"], got["path_length"], got["depth"], got["labels"]) == (len(url), 9, 8, 2, 3)
+    assert got["digits"] == pytest.approx(5 / len(url)) and got["host_digits"] == pytest.approx(1 / 9)
+    counts = [host.count(c) / 9 for c in set(host)]
+    assert got["host_entropy"] == pytest.approx(-sum(x * np.log2(x) for x in counts))
+    assert (got["parameters"], got["query_length"], got["fragment"], got["punctuation"], got["longest_segment"], got["longest_number"], got["secure"]) == (2, 7, True, 6, 5, 2, True)
+
+
 def test_boosting_learns():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 6))
@@ -216,6 +244,14 @@ def test_search_recall_and_edges(spark):
     assert [r["rank"] for r in sorted(few, key=lambda r: r["rank"])] == [1, 2]
 
 
+def test_recall_is_measured_on_other_queries(spark):
+    ship(spark)
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(2000, 6)))], "vec_id long, embedding array<double>")
+    report = kmtree.recall_report(df, F.col("vec_id") % 20 == 0)
+    assert report.queries == 40 and report.recall >= 0.9 and 0 < report.rows_read < 1 and 0 < report.visits <= report.leaves
+
+
 def test_search_gives_outliers_all_their_candidates(spark):
     ship(spark)
     rng = np.random.default_rng(3)
@@ -284,6 +320,27 @@ def test_warc_frames(spark, tmp_path):
     assert gzip.decompress(files[1].record).startswith(b"WARC/1.1\r\nWARC-Type: conversion")
 
 
+def test_broken_warc_files_give_a_row(spark, tmp_path):
+    ship(spark)
+    good = warc.to_bytes(warc.response("u", PAGE.encode(), "d"))
+    (tmp_path / "a.warc").write_bytes(good + good.replace(b"Content-Length: ", b"Content-Length: x", 1))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(good)[:-20])
+    (tmp_path / "c.warc").write_bytes(good)
+    rows = warc.derivatives_of_files(spark.read.format("binaryFile").load(str(tmp_path))).collect()
+    by = {n: [r.record_type for r in rows if r.path.endswith(n)] for n in ("a.warc", "b.warc.gz", "c.warc")}
+    assert by == {"a.warc": ["metadata", "conversion", "error"], "b.warc.gz": ["error"], "c.warc": ["metadata", "conversion"]}
+    assert b"Content-Length" in next(r.block for r in rows if r.record_type == "error" and r.path.endswith("a.warc"))
+
+
+def test_coded_bodies_are_undone():
+    packed = gzip.compress(b"<p>hello</p>")
+    chunks = b"".join(f"{len(packed[i : i + 7]):x};n=1\r\n".encode() + packed[i : i + 7] + b"\r\n" for i in range(0, len(packed), 7)) + b"0\r\n\r\n"
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n\r\n" + chunks
+    r = warc.Record([("WARC-Type", "response"), ("WARC-Record-ID", "<x>"), ("WARC-Target-URI", "u"), ("WARC-Date", "d")], block)
+    assert warc.derive(r)[1].block == b"hello"
+    assert warc.unwrapped([("Content-Encoding", "gzip")], b"plain") == b"plain"
+
+
 # --- shards ---
 
 
@@ -312,6 +369,13 @@ def test_shards(spark):
     assert t.commit([Shard("data/x/part-0", 5, 0, 0)]).version == newest.version + 1
 
 
+def test_root_names_that_repeat_and_clashing_columns(spark):
+    t = ShardTable(spark, new_path(spark, "t") + "/j/root/t")
+    df = spark.createDataFrame([(i, i % 3, "kept") for i in range(9)], "doc_id long, arrival long, arrival_value string").withColumn("__arrival", F.lit("kept too"))
+    t.append_arrivals(df, "arrival")
+    assert {(r.arrival_value, r["__arrival"]) for r in t.read().collect()} == {("kept", "kept too")} and t.read().count() == 9
+
+
 def test_arrivals_of_any_name(spark, monkeypatch):
     names = ["a b", "2024-01-01 00:00:00", "x%3Ay", "50%", "a+b", "é/ü?#", "{a,b}*[c]", "a=b", "", None, "7"]
     df = spark.createDataFrame([(i, names[i % len(names)]) for i in range(110)], "doc_id long, arrival string")
@@ -351,7 +415,7 @@ def test_pipeline(spark, tmp_path):
     rows = corpus(9, 80) + [(700, "you stupid idiot, you pathetic loser", "en", "s", 1)]
     frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    docs, seen = frame(spark, rows), {}
+    docs, seen = clashing(spark, rows), {}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, str(tmp_path))
         if name != "best_fit_packing":

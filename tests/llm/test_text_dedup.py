@@ -58,7 +58,9 @@ def test_repeats_edges(spark):
     same = frame(spark, [(1, "c" * 150, None, None, None), (2, None, None, None, None)])
     assert {r.doc_id: r.n_removed for r in suffix.repeat_digests(same).collect()} == {1: 149, 2: 0}
     cut = suffix.without_repeats(clashing(spark, [(1, a, "l", "s", 1), (2, "é" + a, "l", "s", 2)]))
-    assert {r.doc_id: r.text for r in cut.collect()} == {1: a, 2: "é"} and "lo" in cut.columns
+    assert {r.doc_id: r.text for r in cut.collect()} == {1: a, 2: "é"} and "lo" in cut.columns and "__cuts" in cut.columns
+    again = suffix.without_repeats(clashing(spark, [(1, a, "l", "s", 1), (1, a, "l", "s", 1)]))
+    assert sorted(r.text for r in again.collect()) == ["", a] and {r.key for r in again.collect()} == {"x"}
 
 
 def test_merge_is_interleave_of_shards():
