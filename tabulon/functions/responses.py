@@ -106,27 +106,45 @@ def exact_form(c: Column, remove: list[str] = (), ignore_case: bool = False, ign
     return F.translate(c, "0123456789", "") if ignore_numbers else c
 
 
-def choice_filter(df: DataFrame, response: str = "response", choices: str = "choices") -> DataFrame:
-    """Adds `choice`: the letter '(A)' of the choice that a response names.
-
-    The regular expression differs by row (its choices), so this runs in pandas batches.
+def choice_filter(
+    df: DataFrame, response: str = "response", choices: str = "choices", pattern: str = r"#### (\-?[0-9\.\,]+)", nth: int = 0, fallback: str = "[invalid]", ignore_case: bool = False, ignore_punctuation: bool = False, ignore: tuple[str, ...] = ()
+) -> DataFrame:
+    """Adds `choice`: what a response names, as text or as the letter '(A)' of a choice.
+
+    First `pattern`; then any choice's wording (after the `ignore` patterns, case and punctuation are taken
+    away, as asked); then a letter after a colon; else `fallback`. `nth` picks among several finds (negative:
+    from the end). The regular expressions differ by row, so this runs in pandas batches.
     """
     import re
+    import unicodedata
+
+    def bare(text: str) -> str:
+        for x in ignore:
+            text = re.sub(x, "", text)
+        text = text.lower() if ignore_case else text
+        return "".join(c for c in text if unicodedata.category(c)[0] != "P") if ignore_punctuation else text
+
+    def find(regex: str, text: str) -> str:
+        found = [m.groups() or (m.group(),) for m in re.finditer(regex, text)]
+        if not -len(found) <= nth < len(found):
+            return ""
+        return next((g for g in found[nth] if g), "").strip()
 
     @F.pandas_udf("string")
     def pick(r: pd.Series, c: pd.Series) -> pd.Series:
         out = []
         for text, options in zip(r, c, strict=True):
-            options = [] if options is None else list(options)
-            letters = {chr(65 + i): o for i, o in enumerate(options)}
-            text = text or ""
-            named = re.findall(r"\(([A-Z])\)", text)
-            found = next((x for x in named if x in letters), None)
-            if found is None:
-                low = text.lower()
-                spots = sorted((low.find(o.lower().strip()), k) for k, o in letters.items() if o and low.find(o.lower().strip()) >= 0)
-                found = spots[0][1] if spots else next((x for x in re.findall(r":[\s]*([A-Z])\b", text) if x in letters), None)
-            out.append(f"({found})" if found else "[invalid]")
+            text, options = text or "", [bare((o or "").strip()) for o in (() if options is None else options)]
+            letters = [chr(ord("A") + i) for i in range(len(options))]
+            named = dict(zip(options, letters, strict=True))
+            got = find(pattern, text)
+            if not got and options:
+                got = find("|".join(map(re.escape, options)), bare(text))
+                got = f"({named[got]})" if got in named else got
+            if not got and options:
+                got = find(rf":\s*({'|'.join(map(re.escape, letters))})", text)
+                got = f"({got})" if got else ""
+            out.append(got or fallback)
         return pd.Series(out)
 
     return df.withColumn("choice", pick(response, choices))

@@ -14,14 +14,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Words for aggregators. Fixed values.
 AGGREGATOR_WORDS = {
-    "max": ("maximum", "max", "highest", "greatest", "largest", "biggest", "top"),
-    "min": ("minimum", "min", "lowest", "smallest", "least"),
+    "max": ("maximum", "max", "highest", "greatest"),
+    "min": ("minimum", "min", "lowest", "smallest"),
+    "sum": ("sum",),
     "avg": ("average", "avg", "mean"),
-    "sum": ("sum", "total"),
-    "count": ("count", "number"),
-    "": ("value",),
+    "noop": ("value",),
 }
 
+#: Spacing of tokenised text: what is replaced, in order. Fixed values.
+SPACING = ((" n't", "n't"), (" )", ")"), ("( ", "("), ('" ', '"'), (' "', '"'), (" '", "'"), (" .", "."), (" ,", ","))
+
 
 def full_match(c: Column, pattern: str) -> Column:
     return c.rlike(rf"\A(?:{pattern})\z")
@@ -108,27 +110,43 @@ def aggregator_of(word: Column) -> Column:
     return reduce(lambda rest, k: F.when(w.isin(*AGGREGATOR_WORDS[k]), k).otherwise(rest), AGGREGATOR_WORDS, F.lit("unknown"))
 
 
+#: Words of a question that tell its main expression. Fixed values.
+EXPRESSION_WORDS = {"difference": " of the difference between column ", "ratio": " of the ratio of column ", "expression": " of the expression "}
+
+#: Words of a question that tell its comparator; longer phrases come before what they begin with. Fixed values.
+CONDITION_WORDS = {
+    "=": "has a value equal to",
+    "!=": "has a value different from",
+    ">=": "has a value greater or equal than",
+    ">": "has a value greater than",
+    "<=": "has a value lesser or equal than",
+    "<": "has a value lesser than",
+}
+
+
+def _first_phrase(c: Column, phrases: dict[str, str], default: str) -> Column:
+    return reduce(lambda rest, k: F.when(c.contains(phrases[k]), k).otherwise(rest), reversed(phrases), F.lit(default))
+
+
 def main_expression_class(question: Column) -> Column:
-    return F.when(question.contains(" of the difference between column "), "difference").when(question.contains(" of the ratio of column "), "ratio").when(question.contains(" of the expression "), "expression").otherwise("single column")
+    return _first_phrase(question, EXPRESSION_WORDS, "single column")
 
 
 def condition_class(question: Column) -> Column:
-    """Comparator that the question's words state; longer phrases are tried first."""
-    return (
-        F.when(question.contains("has a value equal to"), "=")
-        .when(question.contains("has a value different from"), "!=")
-        .when(question.contains("has a value greater or equal than"), ">=")
-        .when(question.contains("has a value greater than"), ">")
-        .when(question.contains("has a value lesser or equal than"), "<=")
-        .when(question.contains("has a value lesser than"), "<")
-        .otherwise("")
-    )
+    """Comparator that the question's words state."""
+    return _first_phrase(question, CONDITION_WORDS, "")
 
 
 def quote_columns(text: Column, names: Column) -> Column:
-    """Every `column <name>` in a text with the name in double quotes, all names folded in."""
-    marked = lambda acc, n: F.replace(F.replace(acc, F.concat(F.lit("column "), n), F.concat(F.lit('column "'), n, F.lit('"'))), F.concat(F.lit('""'), n, F.lit('""')), F.concat(F.lit('"'), n, F.lit('"')))
-    return F.aggregate(names, text, marked)
+    """Column names as words of a text, or before its question mark, in double quotes; single quotes round them go. All names are folded in."""
+
+    def quoted(acc: Column, n: Column) -> Column:
+        sides = lambda a, b: F.concat(F.lit(a), n, F.lit(b))
+        for old, new in (((" '", "' "), (" ", " ")), (("column '", "'?"), (" ", "?")), ((" ", " "), (' "', '" ')), ((" ", "?"), (' "', '"?'))):
+            acc = F.replace(acc, sides(*old), sides(*new))
+        return acc
+
+    return F.aggregate(names, text, quoted)
 
 
 def sql_cut(c: Column) -> Column:
@@ -137,10 +155,7 @@ def sql_cut(c: Column) -> Column:
 
 
 def detokenise(c: Column) -> Column:
-    """Usual spacing fixes of tokenised text, in order."""
-    for a, b in ((" '", "'"), (" \n", "\n"), ("\n ", "\n"), (" n't", "n't"), ("`` ", '"'), ("''", '"'), (" :", ":"), (" ;", ";"), (" !", "!"), (" ?", "?"), (" ,", ","), (" .", ".")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+    return reduce(lambda x, r: F.replace(x, F.lit(r[0]), F.lit(r[1])), SPACING, c)
 
 
 def glob_match(c: Column, patterns: list[str]) -> Column:
@@ -169,15 +184,27 @@ def argmax(scores: Column) -> Column:
     return F.array_position(scores, F.array_max(scores)).cast("int") - 1
 
 
-def rolling_windows(tokens: Column, size: int, context: int = 1) -> Column:
-    """Windows that predict every token once: structs of context and predicted tokens (disjoint)."""
-    n = F.size(tokens)
-    starts = F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / size).cast("int"), F.lit(0)))
-    window = lambda i: F.struct(
-        F.slice(tokens, F.greatest(i * size - (context - 1), F.lit(0)) + 1, F.least(i * size, F.lit(context - 1))).alias("context"),
-        F.slice(tokens, i * size + 1, F.lit(size)).alias("predict"),
-    )
-    return F.when(n > 0, F.transform(starts, window)).otherwise(F.array().cast("array<struct<context:array<string>,predict:array<string>>>"))
+def rolling_windows(tokens: Column, size: int, prefix: str, context: int = 1) -> Column:
+    """Windows of a model that reads `size` tokens, which predict every token once: structs of `read` and `predict`.
+
+    The first predicts `size` tokens from `prefix` on; each other one predicts up to size - context + 1 more,
+    and reads the `size` tokens before its last one. No tokens: no windows.
+    """
+    n, step = F.size(tokens), size - context + 1
+    later = F.greatest(F.ceil((n - size) / step).cast("int"), F.lit(0))
+
+    def window(i: Column) -> Column:
+        end = F.least(n, F.lit(size) + i * step)
+        done = F.when(i == 0, 0).otherwise(F.lit(size) + (i - 1) * step)
+        read = F.when(i == 0, F.concat(F.array(F.lit(prefix)), F.slice(tokens, 1, end - 1))).otherwise(F.slice(tokens, F.greatest(end - size, F.lit(1)), F.lit(size)))
+        return F.struct(read.alias("read"), F.slice(tokens, done + 1, end - done).alias("predict"))
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), later), window)).otherwise(F.array().cast("array<struct<read:array<string>,predict:array<string>>>"))
+
+
+def disjoint_windows(windows: Column) -> Column:
+    """Windows whose `read` stops where `predict` begins."""
+    return F.transform(windows, lambda w: F.struct(F.slice(w["read"], 1, F.size(w["read"]) - F.size(w["predict"]) + 1).alias("read"), w["predict"].alias("predict")))
 
 
 def linearised(header: Column, rows: Column, cell: str = " | ", line: str = "\n") -> Column:

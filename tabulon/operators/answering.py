@@ -51,14 +51,32 @@ def values(semantics: str = "typed") -> Column:
     return reduce(lambda rest, s: F.when(F.col("shape") == s, SHAPES[s](a, b)).otherwise(rest), SHAPES, F.lit(None).cast("double"))
 
 
+def _key(c: Column, semantics: str) -> Column:
+    """Texts that `=` takes for equal have equal keys: numbers by value, other texts as they are."""
+    return c if semantics != "typed" else F.coalesce((to_number(c) + 0.0).cast("string"), F.concat(F.lit("t"), c))
+
+
+def matched(rows: DataFrame, questions: DataFrame, semantics: str = "typed", spread: int = 16) -> DataFrame:
+    """Rows of each question's table that meet its condition, with the question's columns.
+
+    Conditions of equality are an equi-join on table, column and value, so each row meets only the questions
+    that ask for its values. The others meet all rows of their table, which are dealt to `spread` parts.
+    """
+    q, asked = [c for c in questions.columns if c != "table_id"], (F.col("cmp") == "=") & F.col("cond_idx").isNotNull()
+    equal = questions.where(asked).withColumn("_key", _key(F.col("val"), semantics))
+    columns = equal.select("table_id", "cond_idx").distinct()
+    by_value = rows.join(columns, "table_id").withColumn("_key", _key(_cell("cond_idx"), semantics)).join(equal, ["table_id", "cond_idx", "_key"])
+    others = questions.where(~F.coalesce(asked, F.lit(False))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    by_table = rows.withColumn("_part", F.pmod(F.xxhash64("row_id"), F.lit(spread)).cast("int")).join(others, ["table_id", "_part"]).where(hits(semantics))
+    return by_value.select(*rows.columns, *q).unionByName(by_table.select(*rows.columns, *q))
+
+
 def answer(rows: DataFrame, questions: DataFrame, semantics: str = "typed") -> DataFrame:
-    """qid, answer, number, alternatives, multi_row, n_rows: one join and one aggregate for all questions.
+    """qid, answer, number, alternatives, multi_row, n_rows: two joins and one aggregate for all questions.
 
     Only `noop` questions gather values: their rows, in row order, are the answer and its alternatives.
     """
-    q = questions.withColumn("_q", F.struct(*questions.columns))
-    x = rows.join(q.select("table_id", *[c for c in questions.columns if c != "table_id"]), "table_id")
-    x = x.withColumn("x", values(semantics)).where(hits(semantics))
+    x = matched(rows, questions, semantics).withColumn("x", values(semantics))
     noop = F.col("op") == "noop"
     by = x.groupBy("qid").agg(
         F.first("op").alias("op"), F.count(F.lit(1)).alias("n_rows"), F.count("x").alias("count"), F.min("x").alias("min"), F.max("x").alias("max"), F.sum("x").alias("sum"), F.avg("x").alias("avg"),
@@ -80,7 +98,7 @@ def answer(rows: DataFrame, questions: DataFrame, semantics: str = "typed") -> D
 
 def coordinates(rows: DataFrame, questions: DataFrame, semantics: str = "typed") -> DataFrame:
     """qid, cells array<struct<row, col>>: the cells that an answer comes from."""
-    x = rows.join(questions, "table_id").where(hits(semantics))
+    x = matched(rows, questions, semantics)
     cols = F.filter(F.array(F.col("agg_idx"), F.when(~F.col("shape").isin("single", "add_one"), F.col("agg_idx2"))), lambda c: c.isNotNull())
     cells = x.select("qid", "row_id", F.explode(cols).alias("col"))
     return cells.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.col("row_id").cast("int").alias("row"), "col"))).alias("cells"))
@@ -151,48 +169,105 @@ def main_expression_is(df: DataFrame, kinds: list[str], question: str = "nl_ques
     return df.where(main_expression_class(F.col(question)).isin(*kinds))
 
 
-def patched(old: DataFrame, new: DataFrame, table: str = "table_id", order: str = "qid") -> DataFrame:
-    """New questions in place of old ones: of each table as many as it had; shortages filled from tables with excess, largest first.
+def patched(old: DataFrame, new: DataFrame, table: str = "table_id", order: str = "qid", question: str = "nl_question") -> DataFrame:
+    """`old` with its expression questions replaced by `new` ones; all other questions stay.
 
-    Shortage and excess are numbers per table; running sums over tables line up places and spare questions.
+    A table gets as many new questions as it had expression questions, if `new` has so many for it. What
+    is short is filled from tables with more than they need, those with most to spare first, the last of a
+    table's questions first. Columns are those that both have.
     """
     from pyspark.sql import Window
 
-    had = old.groupBy(table).agg(F.count(F.lit(1)).alias("had"))
-    ranked = new.withColumn("_i", F.row_number().over(Window.partitionBy(table).orderBy(order))).join(had, table, "left").withColumn("had", F.coalesce("had", F.lit(0)))
+    from ..functions.text import main_expression_class
+
+    columns = [c for c in old.columns if c in new.columns]
+    marked = main_expression_class(F.col(question)) == "expression"
+    others, had = old.where(~F.coalesce(marked, F.lit(False))), old.where(marked).groupBy(table).agg(F.count(F.lit(1)).alias("had"))
+    w = Window.partitionBy(table).orderBy(order)
+    ranked = new.withColumn("_i", F.row_number().over(w)).join(had, table).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(table)))
     kept = ranked.where(F.col("_i") <= F.col("had"))
-    short = had.agg(F.sum("had")).first()[0] or 0
-    missing = short - kept.count()
+    missing = (had.agg(F.sum("had")).first()[0] or 0) - kept.count()
     spare = ranked.where(F.col("_i") > F.col("had"))
-    excess = spare.groupBy(table).agg(F.count(F.lit(1)).alias("excess"))
-    fill = spare.join(excess, table).orderBy(F.desc("excess"), table, "_i").limit(int(missing)).drop("excess")
-    return kept.unionByName(fill).select(*new.columns)
+    fill = spare.orderBy(F.desc(F.col("_n") - F.col("had")), table, F.desc("_i")).limit(int(missing))
+    return others.select(*columns).unionByName(kept.select(*columns)).unionByName(fill.select(*columns))
 
 
 def number_like(c: Column) -> Column:
     return is_number(c)
 
 
+#: What model-written SQL may hold: words of the language, and functions.
+_SQL_WORDS = frozenset("select distinct from where group by having order asc desc limit offset and or not in is null like between case when then else end as cast on join inner left right full outer cross union all except intersect exists true false over partition rows unbounded preceding following current row nulls first last int integer bigint float double decimal string date".split())
+_SQL_FUNCTIONS = frozenset("min max avg sum count abs round floor ceil ceiling coalesce nullif ifnull length lower upper trim ltrim rtrim substr substring replace concat cast mod power sqrt greatest least row_number rank dense_rank stddev variance median".split())
+_SQL_TOKEN = r"""\s+|'(?:[^'\\$]|'')*'|"[^"$]*"|`[^`$]*`|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|\.\d+|[A-Za-z_]\w*|<=|>=|<>|!=|\|\||[-+*/%=<>(),.]"""
+
+
+def safe_select(text: str, table: str) -> list[str] | None:
+    """Tokens of a SELECT over `table` alone that calls listed functions only; None for any other text.
+
+    Every relation is `table` or a subquery: no paths, no other tables, no table functions, no variables.
+    """
+    import re
+
+    tokens = [m.group() for m in re.finditer(_SQL_TOKEN, text)]
+    if "".join(tokens) != text or "--" in re.sub(r"'[^']*'", "", text):
+        return None
+    tokens = [t for t in tokens if t.strip()]
+    low = [t.lower() for t in tokens]
+    name = lambda t: t.strip('"`').lower()
+    if not low or low[0] != "select":
+        return None
+    inside: list[bool] = [False]  # for each open parenthesis: are we in a FROM clause
+    for i, t in enumerate(low):
+        after = low[i + 1] if i + 1 < len(low) else ""
+        if t == "(":
+            before = low[i - 1]
+            if re.match(r"\w", before) and before not in _SQL_FUNCTIONS and before not in _SQL_WORDS or before[:1] in "\"`":
+                return None
+            inside.append(False)
+        elif t == ")":
+            if len(inside) == 1:
+                return None
+            inside.pop()
+        elif t in ("from", "join"):
+            inside[-1] = True
+            if after != "(" and (name(after) != table.lower() or (low[i + 2] if i + 2 < len(low) else "") == "."):
+                return None
+            if after == "(" and (low[i + 2] if i + 2 < len(low) else "") != "select":
+                return None
+        elif t in ("select", "where", "group", "having", "order", "limit", "union", "except", "intersect"):
+            inside[-1] = False
+        elif t == "," and inside[-1]:
+            return None
+    return tokens
+
+
 def sql_answer(df: DataFrame, text: str, table: str | None = None) -> str:
-    """First cell of a model-written query over one table, '' if it doesn't run or gives no row.
+    """First cell of a model-written query over one table, '' if it isn't a SELECT that `safe_select` allows, doesn't run or gives no row.
 
     The text is cut at its first `;` or code fence; `table` (or `df`) is the frame's name in it.
     """
     import re
+    import uuid
 
     from pyspark.errors import PySparkException
 
-    text = re.split(r";|```", text)[0].strip()
-    if not re.match(r"(?i)select\b", text):
+    own, view = table or "df", f"answer_{uuid.uuid4().hex}"
+    tokens = safe_select(re.split(r";|```", text)[0].strip(), own)
+    if tokens is None:
         return ""
-    name = f"_answer_{abs(hash(text))}"
-    text = re.sub(rf'(?i)(\bfrom\s+)[`"]?{re.escape(table or "df")}[`"]?(?=\s|$)', rf"\g<1>{name}", text)
-    text = re.sub(r'"([^"]*)"', r"`\1`", text)
-    df.createOrReplaceTempView(name)
+    out = []
+    for i, t in enumerate(tokens):
+        if i and tokens[i - 1].lower() in ("from", "join") and t != "(":
+            alias = i + 1 < len(tokens) and (tokens[i + 1].lower() == "as" or re.match(r"[\w\"`]", tokens[i + 1]) and tokens[i + 1].lower() not in _SQL_WORDS)
+            out.append(view if alias else f"{view} AS `{own}`")
+        else:
+            out.append("`" + t[1:-1].replace("`", "``") + "`" if t[0] == '"' else t)
+    df.createOrReplaceTempView(view)
     try:
-        row = df.sparkSession.sql(text).first()
+        row = df.sparkSession.sql(" ".join(out)).first()
         return "" if row is None or row[0] is None else str(row[0])
     except PySparkException:
         return ""
     finally:
-        df.sparkSession.catalog.dropTempView(name)
+        df.sparkSession.catalog.dropTempView(view)

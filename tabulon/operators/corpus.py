@@ -88,6 +88,16 @@ def contaminant_ngrams(items: DataFrame, n: int = 13, text: str = "text") -> Dat
     return items.select(words(normalised(F.col(text))).alias("_w")).select(F.explode(ngrams(F.col("_w"), n)).alias("ngram")).distinct()
 
 
+def hit_counts(docs: DataFrame, items: DataFrame, n: int = 13, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, hits: how many word n-grams of each document (places, not kinds) occur in the items.
+
+    """
+    grams = contaminant_ngrams(items, n, text).select(F.xxhash64("ngram").alias("h"), "ngram")
+    split = docs.select(doc_id, words(normalised(F.col(text))).alias("_w")).select(doc_id, F.explode(ngrams(F.col("_w"), n)).alias("g"))
+    found = split.groupBy(doc_id, "g").agg(F.count(F.lit(1)).alias("k")).withColumn("h", F.xxhash64("g")).join(grams, "h").where(F.col("g") == F.col("ngram"))
+    return docs.select(doc_id).join(found.groupBy(doc_id).agg(F.sum("k").alias("hits")), doc_id, "left").select(doc_id, F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
 def word_spans(text: str, n: int) -> list[tuple[str, int, int]]:
     """Word n-grams, normalised, with the character range that each covers."""
     import re
@@ -101,20 +111,20 @@ def word_spans(text: str, n: int) -> list[tuple[str, int, int]]:
 
 
 def clean_parts(text: str, hits: list[tuple[int, int]], window: int = 200, least: int = 200, most_hits: int = 10) -> list[str] | None:
-    """What is left of a text without the windows round its hits, parts of at least `least`; None at too many hits."""
-    if not hits:
-        return [text]
-    if len(hits) >= most_hits:
+    """What is left of a text without the windows round its hits; None at more than `most_hits`.
+
+    Parts before a hit are longer than `least`. The last part begins one character after the last window
+    and has `least` characters or more; so has a text without hits, or it gives no part.
+    """
+    if len(hits) > most_hits:
         return None
     out, at = [], 0
     for a, b in sorted(hits):
-        a, b = max(0, a - window), min(len(text), b + window)
-        if a > at and a - at >= least:
-            out.append(text[at:a])
-        at = max(at, b)
-    if len(text) - at >= least:
-        out.append(text[at:])
-    return out
+        if a - window - at > least:
+            out.append(text[at : a - window])
+        at = min(len(text), b + window)
+    rest = text[at + 1 :] if hits else text
+    return [*out, rest] if len(rest) >= least else out
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, n: int = 13, window: int = 200, least: int = 200, most_hits: int = 10, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

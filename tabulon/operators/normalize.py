@@ -159,18 +159,18 @@ def names_to_ids(header: Column) -> Column:
 
 
 def header_is_data(header: Column, rows: Column) -> Column:
-    """Header cells look like the data below: same cell kinds as most sampled rows, or like lengths in all-text tables."""
+    """Header cells look like the data below: the kinds of most sampled rows, and in all-text tables no column whose header is more than a tenth longer or shorter than its cells on average."""
     from ..functions.text import cell_kind
 
     kinds = F.transform(header, cell_kind)
     sample = F.slice(rows, 1, 5)
     mode = lambda i: F.array_max(F.transform(F.array(*map(F.lit, ("int", "float", "num_text", "text"))), lambda k: F.struct(F.size(F.filter(sample, lambda r: cell_kind(F.try_element_at(r, i + 1)) == k)).alias("n"), k.alias("k"))))["k"]
     majority = F.transform(header, lambda _, i: mode(i))
-    all_text = F.forall(majority, lambda k: k == "text") & F.forall(kinds, lambda k: k == "text")
-    length = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + F.length(x)) / F.greatest(F.size(a), F.lit(1))
-    below = F.aggregate(sample, F.lit(0.0), lambda s, r: s + length(r)) / F.greatest(F.size(sample), F.lit(1))
-    alike = F.abs(length(header) - below) / F.greatest(below, F.lit(1.0)) <= 0.1
-    return F.when(all_text, alike).otherwise(kinds == majority)
+    of = lambda i: F.transform(sample, lambda r: F.coalesce(F.length(F.try_element_at(r, i + 1)), F.lit(0)))
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(a), F.lit(1))
+    lengths = F.transform(header, lambda h, i: F.struct(F.length(h).cast("double").alias("own"), mean(of(i)).alias("below")))
+    apart = F.exists(lengths, lambda x: F.abs(x["own"] - x["below"]) > 0.1 * F.greatest(x["own"], x["below"]))
+    return (kinds == majority) & (F.exists(kinds, lambda k: k != "text") | ~apart)
 
 
 def repair_header(header: Column, rows: Column) -> tuple[Column, Column]:

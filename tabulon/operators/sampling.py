@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -138,6 +139,7 @@ def file_splits(files: DataFrame, weights: dict[str, float], topic: str = "topic
 def similar_names(files: DataFrame, topic: str = "topic", name: str = "name", keep: int = 1) -> DataFrame:
     """Keep `keep` files of each run of alphabetical neighbours that share a token at some place with the run's first.
 
+    Tokens are what stands between characters that are neither letter nor digit; the last (the extension) counts for nothing.
     Each name is compared with its run's first one, so runs follow one after another: pandas, a topic at a time.
     """
     schema = files.schema
@@ -146,7 +148,7 @@ def similar_names(files: DataFrame, topic: str = "topic", name: str = "name", ke
         rows = pdf.sort_values(name)
         first, n, take = None, 0, []
         for value in rows[name]:
-            tokens = value.replace("-", "_").split("_")
+            tokens = re.split(r"[^a-zA-Z0-9]", value)[:-1]
             if first is None or not any(a == b for a, b in zip(tokens, first, strict=False)):
                 first, n = tokens, 0
             n += 1
@@ -157,12 +159,12 @@ def similar_names(files: DataFrame, topic: str = "topic", name: str = "name", ke
 
 
 def structure_code(name: Column) -> Column:
-    """Digits runs as d<length>, capitalised, upper and lower words as C, U, l."""
-    c = F.regexp_replace(name, r"\d{4,}", "<4>")
-    c = F.regexp_replace(c, r"(?<!<)\d{1,3}(?!>)", "<1>")
-    c = F.regexp_replace(c, r"\b[A-Z][a-z]+", "C")
-    c = F.regexp_replace(c, r"\b[A-Z]{2,}\b", "U")
-    return F.regexp_replace(c, r"\b[a-z]+\b", "l")
+    """A name's tokens as kinds, with what separates them: d<length> digits, t, T or tT letters, alpha_num<length> others. The extension is left out."""
+    token, size = F.split(name, "[^a-zA-Z0-9]"), lambda x: F.length(x).cast("string")
+    kind = lambda x: F.when(x.rlike("^[0-9]+$"), F.concat(F.lit("d"), size(x))).when(x.rlike("^[a-z]+$"), "t").when(x.rlike("^[A-Z]+$"), "T").when(x.rlike("^[a-zA-Z]+$"), "tT").otherwise(F.concat(F.lit("alpha_num"), size(x)))
+    marks = F.regexp_extract_all(name, F.lit("[^a-zA-Z0-9]"), F.lit(0))
+    n = F.size(token) - 1
+    return F.array_join(F.transform(F.slice(token, 1, n), lambda x, i: F.concat(kind(x), F.when(i < n - 1, F.get(marks, i)).otherwise(""))), "")
 
 
 def per_structure(files: DataFrame, name: str = "name", keep: int = 2) -> DataFrame:

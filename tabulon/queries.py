@@ -162,9 +162,9 @@ def infer_types(spark, d):
     return N.column_types(_cells(spark, d))
 
 
-@query("column_profile", f'{_CELLS} SELECT "table", name, count(*) AS n_rows, count(DISTINCT value) AS n_distinct, count(DISTINCT value) / count(*) AS density FROM cells WHERE name NOT IN (\'c_acctbal\', \'s_acctbal\', \'p_retailprice\') GROUP BY 1, 2')
+@query("column_profile", f'{_CELLS} SELECT "table", name, count(*) AS n_rows, count(DISTINCT value) AS n_distinct, count(DISTINCT value) / count(*) AS density FROM cells GROUP BY 1, 2')
 def column_profile(spark, d):
-    return N.column_profile(_cells(spark, d).where(~F.col("name").isin("c_acctbal", "s_acctbal", "p_retailprice")))
+    return N.column_profile(_cells(spark, d))
 
 
 @query("column_distinct", f"{_CELLS} SELECT name, value, min(row_id) AS first_row FROM cells WHERE name IN ('c_mktsegment', 'p_brand', 'p_type') GROUP BY 1, 2")
@@ -250,10 +250,23 @@ def bindings_permutations(spark, d):
     return assign.bindings(_catalog(spark, d), assign.columns_of(t)).select("table_id", "col1", "col2", "condition_col")
 
 
-@query("assignments_sampled")
+@query(
+    "assignments_sampled",
+    f"""{_CELLS}, {_TYPES}, pool AS (SELECT "table", name, least(20, count(DISTINCT value)) AS k FROM cells GROUP BY 1, 2)
+        SELECT a."table" AS table_id, CAST(least(20, sum(k)) AS BIGINT) AS n, CAST(least(20, sum(k)) AS BIGINT) AS n_distinct, CAST(0 AS BIGINT) AS strange
+        FROM types a JOIN types b USING ("table") JOIN pool p ON p."table" = a."table" AND p.name = b.name WHERE a.type = 'numeric' AND a.name <> b.name GROUP BY 1""",
+)
 def assignments_sampled(spark, d):
+    """Sampled by hashes, so held against what any sample must be: so many, all different, of numeric columns and with values of the condition's column."""
     cells = _cells(spark, d)
-    return assign.assignments(_catalog(spark, d), cells.withColumn("number", T.to_number(F.col("value"))), templates.catalogue("basic")[0], most=20)
+    t = templates.catalogue("basic")[0]
+    got = assign.assignments(_catalog(spark, d), cells.withColumn("number", T.to_number(F.col("value"))), t, most=20)
+    column, value = next(iter(assign.columns_of(t))), next(v for v, x in t.types.items() if x.kind == "value")
+    known = cells.select(F.col("table").alias("table_id"), F.col("name").alias("condition_col"), F.col("value").alias(value)).distinct().withColumn("known", F.lit(True))
+    numeric = N.column_types(cells).where("type = 'numeric'").select(F.col("table").alias("table_id"), F.col("name").alias(column), F.lit(True).alias("numeric"))
+    marked = got.join(known, ["table_id", "condition_col", value], "left").join(numeric, ["table_id", column], "left")
+    strange = F.col("known").isNull() | F.col("numeric").isNull() | (F.col(column) == F.col("condition_col"))
+    return marked.groupBy("table_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(column, "condition_col", value).alias("n_distinct"), F.count_if(strange).alias("strange"))
 
 
 @query("render_questions", f"""{_CELLS}, {_TYPES} SELECT "table" AS table_id, 'What is the maximum of the difference between column ' || a.name || ' and column ' || b.name || '?' AS nl_question, 'SELECT max("' || a.name || '" - "' || b.name || '") FROM df' AS sql_query FROM types a JOIN types b USING ("table") WHERE a.type = 'numeric' AND b.type = 'numeric' AND a.name <> b.name""")
@@ -263,10 +276,20 @@ def render_questions(spark, d):
     return assign.questions(bound, t).where("operator = 'max'").select("table_id", "nl_question", "sql_query")
 
 
-@query("question_dataset")
+@query(
+    "question_dataset",
+    f"""{_CELLS} SELECT table_id, operator, TRUE AS some, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS strange
+        FROM (SELECT DISTINCT "table" AS table_id FROM cells), (VALUES ('min'), ('max'), ('avg'), ('sum'), ('count'), ('noop')) o(operator)""",
+)
 def question_dataset(spark, d):
+    """Sampled by hashes, so held against what any dataset must be: all operators for all tables, no question twice, each naming its column in both texts."""
     cells = _cells(spark, d)
-    return assign.dataset(_catalog(spark, d), cells.withColumn("number", T.to_number(F.col("value"))), templates.standard()[:4], most=10)
+    got = assign.dataset(_catalog(spark, d), cells.withColumn("number", T.to_number(F.col("value"))), templates.standard()[:4], most=10)
+    column = F.col("aggregation_column")
+    named = (column == "expression") | (F.col("operator") == "count") | (F.contains("sql_query", column) & F.contains("nl_question", column))
+    strange = ~named | F.col("sql_query").contains("{") | F.col("nl_question").contains("{")
+    by = got.groupBy("table_id", "operator").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("nl_question", "sql_query").alias("k"), F.count_if(strange).alias("strange"))
+    return by.select("table_id", "operator", (F.col("n") > 0).alias("some"), (F.col("n") - F.col("k")).alias("repeated"), "strange")
 
 
 @query("template_catalogue", "SELECT CAST(28 AS BIGINT) AS n, CAST(4 AS BIGINT) AS expressions, CAST(4 AS BIGINT) AS without_lookup")
@@ -325,18 +348,24 @@ def answer_coordinates(spark, d):
     return out.select("qid", F.array_join(F.transform("cells", lambda c: F.concat_ws(":", c["row"], c["col"])), ",").alias("cells"))
 
 
-@query("multi_row_flag", "SELECT CAST(o_custkey AS INTEGER) AS qid, CAST(count(*) AS BIGINT) AS n_rows, count(*) > 1 AS multi_row FROM orders WHERE o_custkey BETWEEN 1 AND 50 GROUP BY 1")
+def _by_customer(spark, d) -> DataFrame:
+    """A question for each customer of `orders`, answered over all its rows."""
+    orders = table(spark, d, "orders")
+    rows = orders.select(F.lit("orders").alias("table_id"), F.col("o_orderkey").alias("row_id"), F.array(F.col("o_custkey").cast("string"), F.col("o_totalprice").cast("string")).alias("cells"))
+    asked = orders.select(F.col("o_custkey").cast("int").alias("qid")).distinct()
+    text, number = (lambda v, k: F.lit(v).alias(k)), (lambda v, k: F.lit(v).cast("int").alias(k))
+    q = asked.select("qid", text("orders", "table_id"), text("noop", "op"), text("single", "shape"), number(1, "agg_idx"), number(None, "agg_idx2"), number(0, "cond_idx"), text("=", "cmp"), F.col("qid").cast("string").alias("val"))
+    return Q.answer(rows, q)
+
+
+@query("multi_row_flag", "SELECT CAST(o_custkey AS INTEGER) AS qid, CAST(count(*) AS BIGINT) AS n_rows, count(*) > 1 AS multi_row FROM orders GROUP BY 1")
 def multi_row_flag(spark, d):
-    rows = table(spark, d, "orders").select(F.lit("orders").alias("table_id"), F.col("o_orderkey").alias("row_id"), F.array(F.col("o_custkey").cast("string"), F.col("o_totalprice").cast("string")).alias("cells"))
-    q = spark.createDataFrame([(k, "orders", "noop", "single", 1, None, 0, "=", str(k)) for k in range(1, 51)], _Q_SCHEMA)
-    return Q.answer(rows, q).where("n_rows > 0").select("qid", "n_rows", "multi_row")
+    return _by_customer(spark, d).select("qid", "n_rows", "multi_row")
 
 
-@query("alternative_answers", "SELECT CAST(o_custkey AS INTEGER) AS qid, CAST(count(*) - 1 AS INTEGER) AS n_alternatives, round(arg_min(o_totalprice, o_orderkey), 2) AS first_answer FROM orders WHERE o_custkey BETWEEN 1 AND 50 GROUP BY 1")
+@query("alternative_answers", "SELECT CAST(o_custkey AS INTEGER) AS qid, CAST(count(*) - 1 AS INTEGER) AS n_alternatives, round(arg_min(o_totalprice, o_orderkey), 2) AS first_answer FROM orders GROUP BY 1")
 def alternative_answers(spark, d):
-    rows = table(spark, d, "orders").select(F.lit("orders").alias("table_id"), F.col("o_orderkey").alias("row_id"), F.array(F.col("o_custkey").cast("string"), F.col("o_totalprice").cast("string")).alias("cells"))
-    q = spark.createDataFrame([(k, "orders", "noop", "single", 1, None, 0, "=", str(k)) for k in range(1, 51)], _Q_SCHEMA)
-    return Q.answer(rows, q).where("n_rows > 0").select("qid", F.size("alternatives").alias("n_alternatives"), F.round(F.col("answer").cast("double"), 2).alias("first_answer"))
+    return _by_customer(spark, d).select("qid", F.size("alternatives").alias("n_alternatives"), F.round(F.col("answer").cast("double"), 2).alias("first_answer"))
 
 
 # --- joins, set operations, sampling ---
@@ -412,10 +441,19 @@ def interpolated_values(spark, d):
     return e.select("event_type", F.explode(S.interpolated(F.col("lo"), F.col("hi"), 5)).alias("v")).withColumn("v", F.round("v", 4))
 
 
-@query("sampled_values")
+@query(
+    "sampled_values",
+    f"""{_CELLS} SELECT "table", name, round(lo + (hi - lo) * 0.25, 4) AS quarter, round(lo, 4) AS lo, round(hi, 4) AS hi, CAST(10 AS INTEGER) AS n, CAST(5 AS INTEGER) AS known
+        FROM (SELECT "table", name, min(CAST(value AS DOUBLE)) AS lo, max(CAST(value AS DOUBLE)) AS hi FROM cells WHERE name IN ('c_acctbal', 'p_size') GROUP BY 1, 2)""",
+)
 def sampled_values(spark, d):
+    """Half evenly spaced, half drawn by hashes: these are held against the column's values."""
     cells = _cells(spark, d).where(F.col("name").isin("c_acctbal", "p_size")).withColumn("number", T.to_number(F.col("value")))
-    return S.sampled_values(cells, 10, "mix")
+    got = S.sampled_values(cells, 10, "mix")
+    at = lambda i: F.round(F.col("values")[i].cast("double"), 4)
+    drawn = got.select("table", "name", F.explode(F.slice("values", 6, 5)).alias("value")).join(cells.select("table", "name", "value").distinct(), ["table", "name", "value"])
+    known = drawn.groupBy("table", "name").agg(F.count(F.lit(1)).cast("int").alias("known"))
+    return got.join(known, ["table", "name"]).select("table", "name", at(1).alias("quarter"), at(0).alias("lo"), at(4).alias("hi"), F.size("values").alias("n"), "known")
 
 
 @query("split_ranges", "SELECT doc_id, CASE WHEN r <= 100 THEN 'dev' WHEN r <= 200 THEN 'test' ELSE 'train' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY sha256(CAST(doc_id AS VARCHAR))) AS r FROM documents) WHERE r <= 600")
@@ -428,10 +466,11 @@ def strided_rows(spark, d):
     return S.strided(table(spark, d, "events").select("event_id"), "event_id", 1, 4)
 
 
-@query("file_splits", "SELECT n_regionkey AS topic, CAST(count(*) AS BIGINT) AS n FROM nation GROUP BY 1")
+@query("file_splits", "SELECT n_regionkey AS topic, split, CAST(floor(count(*) * w + 1e-9) AS BIGINT) AS n FROM nation, (VALUES ('train', 0.6), ('validation', 0.2), ('test', 0.2)) s(split, w) GROUP BY 1, 2, w")
 def file_splits(spark, d):
+    """Five files a topic: shares are whole numbers."""
     files = table(spark, d, "nation").select(F.col("n_regionkey").alias("topic"), F.col("n_name").alias("path"))
-    return S.file_splits(files, {"train": 0.6, "validation": 0.2, "test": 0.2}).where(F.col("split").isin("train", "validation", "test")).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+    return S.file_splits(files, {"train": 0.6, "validation": 0.2, "test": 0.2}).groupBy("topic", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- quality ---
@@ -624,9 +663,13 @@ def bleu_identity(spark, d):
     return M.bleu(b, "text", "ref").select(F.round("bleu", 6).alias("bleu")).crossJoin(M.chrf(b, "text", "ref").select(F.round("chrf", 6).alias("chrf")))
 
 
-@query("poisson_bootstrap")
+@query("poisson_bootstrap", "SELECT count(*) AS n, round(stddev_samp(toxic) / sqrt(count(*)), 8) AS plain, TRUE AS near FROM labels")
 def poisson_bootstrap(spark, d):
-    return M.poisson_bootstrap(table(spark, d, "labels"), "toxic", "doc_id", 50)
+    """Resampled 200 times, the standard error of the mean is within a quarter of what the formula gives."""
+    rows = table(spark, d, "labels")
+    plain = rows.agg(F.count("toxic").alias("n"), F.round(M.mean_stderr(F.col("toxic")), 8).alias("plain"))
+    both = plain.crossJoin(M.poisson_bootstrap(rows, "toxic", "doc_id", 200))  # one row each
+    return both.select("n", "plain", (F.abs(F.col("stderr") / F.col("plain") - 1) < 0.25).alias("near"))
 
 
 # --- responses ---
@@ -669,23 +712,27 @@ def exact_match_ignoring(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(form, 256).alias("form"))
 
 
-@query("choice_filter")
+@query(
+    "choice_filter",
+    """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN CAST(event_id AS VARCHAR) WHEN event_type = 'view' THEN '(A)' WHEN event_type = 'click' THEN '(B)' WHEN event_id % 2 = 0 THEN '(B)' ELSE '[invalid]' END AS choice FROM events""",
+)
 def choice_filter(spark, d):
     ship(spark)
-    e = table(spark, d, "events").select("event_id", F.concat(F.lit("The answer is ("), F.when(F.col("event_id") % 2 == 0, "A").otherwise("Z"), F.lit(") "), "event_type").alias("response"), F.array(F.lit("view"), F.lit("click")).alias("choices"))
+    tail = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("\n#### "), F.col("event_id").cast("string"))).when(F.col("event_id") % 2 == 0, ": B").otherwise(" (Z)")
+    e = table(spark, d, "events").select("event_id", F.concat(F.lit("I think of "), "event_type", tail).alias("response"), F.array(F.lit("view"), F.lit("click")).alias("choices"))
     return R.choice_filter(e).select("event_id", "choice")
 
 
-@query("aggregator_words", "SELECT * FROM (VALUES ('maximum', 'max'), ('least', 'min'), ('mean', 'avg'), ('total', 'sum'), ('median', 'unknown'), ('value', '')) t(word, aggregator)")
+@query("aggregator_words", "SELECT * FROM (VALUES ('maximum', 'max'), ('greatest', 'max'), ('smallest', 'min'), ('mean', 'avg'), ('sum', 'sum'), ('total', 'unknown'), ('median', 'unknown'), ('value', 'noop')) t(word, aggregator)")
 def aggregator_words(spark, d):
-    w = spark.createDataFrame([(x,) for x in ("maximum", "least", "mean", "total", "median", "value")], "word string")
+    w = spark.createDataFrame([(x,) for x in ("maximum", "greatest", "smallest", "mean", "sum", "total", "median", "value")], "word string")
     return w.select("word", T.aggregator_of(F.col("word")).alias("aggregator"))
 
 
-@query("question_classes", "SELECT * FROM (VALUES ('basic', 'single column', '='), ('complex', 'expression', '='), ('difference', 'difference', '='), ('ratio', 'ratio', '=')) t(name, main, condition)")
+@query("question_classes", "SELECT main, condition, CAST(1 AS BIGINT) AS n FROM (VALUES ('single column'), ('difference'), ('ratio'), ('expression')) m(main), (VALUES ('='), ('!='), ('>'), ('>='), ('<'), ('<='), ('')) c(condition)")
 def question_classes(spark, d):
-    q = spark.createDataFrame([(n, templates.catalogue(n)[0].pattern) for n in ("basic", "difference", "ratio", "complex")], "name string, q string")
-    return q.select("name", T.main_expression_class(F.col("q")).alias("main"), T.condition_class(F.col("q")).alias("condition"))
+    q = spark.createDataFrame([(t.pattern,) for t in templates.standard()], "q string")
+    return q.groupBy(T.main_expression_class(F.col("q")).alias("main"), T.condition_class(F.col("q")).alias("condition")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- texts ---
@@ -708,7 +755,7 @@ def group_lines_to_docs(spark, d):
     return C.line_groups(lines, "text", "turn", "conv_id")
 
 
-@query("chunk_words", r"SELECT doc_id, CAST(i AS INTEGER) AS chunk, CAST(length(w[i * 128 + 1 : i * 128 + 128]) AS INTEGER) AS n_words, sha256(array_to_string(w[i * 128 + 1 : i * 128 + 128], ' ')) AS hash FROM (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents), range(400) t(i) WHERE i * 128 < length(w)")
+@query("chunk_words", r"SELECT doc_id, CAST(i AS INTEGER) AS chunk, CAST(length(w[i * 128 + 1 : i * 128 + 128]) AS INTEGER) AS n_words, sha256(array_to_string(w[i * 128 + 1 : i * 128 + 128], ' ')) AS hash FROM (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents), LATERAL (SELECT unnest(range(0, (length(w) + 127) // 128)) AS i) t")
 def chunk_words(spark, d):
     return C.chunks(table(spark, d, "documents"), 128).select("doc_id", "chunk", "n_words", F.sha2("text", 256).alias("hash"))
 
@@ -736,6 +783,97 @@ def decontam_clean(spark, d):
     return C.decontaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+_BENCHMARK_GRAMS = f"""(SELECT DISTINCT unnest(list_transform(range(1, length(w) - 11), lambda i: array_to_string(w[i : i + 12], ' '))) AS g FROM {_GRAMS.replace("<k>", "item_id").replace("<t>", "benchmark")})"""
+
+
+@query(
+    "decontam_hits",
+    f"""SELECT doc_id, count(item) AS hits FROM documents LEFT JOIN (SELECT doc_id, g AS item FROM (SELECT doc_id, unnest(list_transform(range(1, length(w) - 11), lambda i: array_to_string(w[i : i + 12], ' '))) AS g
+        FROM {_GRAMS.replace("<k>", "doc_id").replace("<t>", "documents")}) JOIN {_BENCHMARK_GRAMS} USING (g)) USING (doc_id) GROUP BY 1""",
+)
+def decontam_hits(spark, d):
+    return C.hit_counts(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+_WORD_NUMBER = r"(SELECT doc_id, length(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n FROM documents)"
+
+
+@query("rolling_windows", f"SELECT doc_id, CAST(CASE WHEN n = 0 THEN 0 ELSE 1 + greatest(0, ceil((n - 512) / 385)) END AS INTEGER) AS windows, CAST(n AS INTEGER) AS predicted, CAST(least(n, 512) AS INTEGER) AS longest FROM {_WORD_NUMBER}")
+def rolling_windows(spark, d):
+    w = table(spark, d, "documents").select("doc_id", T.rolling_windows(T.words(F.col("text")), 512, "<s>", 128).alias("w"))
+    sizes = lambda f: F.transform("w", lambda x: F.size(x[f]))
+    return w.select("doc_id", F.size("w").alias("windows"), F.aggregate(sizes("predict"), F.lit(0), lambda a, b: a + b).alias("predicted"), F.coalesce(F.array_max(sizes("read")), F.lit(0)).alias("longest"))
+
+
+@query("disjoint_windows", f"SELECT doc_id, CAST(CASE WHEN n = 0 THEN 0 WHEN n <= 512 THEN 1 ELSE 1 + floor((n - 512) / 385) * 128 + CASE WHEN (n - 512) % 385 > 0 THEN 513 - (n - 512) % 385 ELSE 0 END END AS INTEGER) AS kept FROM {_WORD_NUMBER}")
+def disjoint_windows(spark, d):
+    w = table(spark, d, "documents").select("doc_id", T.disjoint_windows(T.rolling_windows(T.words(F.col("text")), 512, "<s>", 128)).alias("w"))
+    return w.select("doc_id", F.aggregate(F.transform("w", lambda x: F.size(x["read"])), F.lit(0), lambda a, b: a + b).alias("kept"))
+
+
+@query("detokenised", """SELECT doc_id, sha256(replace(replace(replace(replace(replace(replace(replace(replace(text, ' n''t', 'n''t'), ' )', ')'), '( ', '('), '" ', '"'), ' "', '"'), ' ''', ''''), ' .', '.'), ' ,', ',')) AS form FROM documents""")
+def detokenised(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(T.detokenise(F.col("text")), 256).alias("form"))
+
+
+@query("quoted_columns", """SELECT p_partkey, 'What is the maximum of column "' || p_brand || '" given that column "' || p_type || '" has a value equal to 3?' AS one, 'What is column "' || p_brand || '"?' AS two FROM part""")
+def quoted_columns(spark, d):
+    names, q = F.array("p_brand", "p_type"), lambda *x: F.concat(*(F.col(y) if y.startswith("p_") else F.lit(y) for y in x))
+    one, two = q("What is the maximum of column '", "p_brand", "' given that column ", "p_type", " has a value equal to 3?"), q("What is column ", "p_brand", "?")
+    return table(spark, d, "part").select("p_partkey", T.quote_columns(one, names).alias("one"), T.quote_columns(two, names).alias("two"))
+
+
+@query("name_structures", "SELECT s_suppkey, 'tT#d' || length(split_part(s_name, '#', 2)) || CASE WHEN s_suppkey % 2 = 0 THEN '_t-T' ELSE '_alpha_num2' END AS code FROM supplier")
+def name_structures(spark, d):
+    name = F.concat("s_name", F.when(F.col("s_suppkey") % 2 == 0, "_abc-XY.parquet").otherwise("_a1.parquet"))
+    return table(spark, d, "supplier").select("s_suppkey", S.structure_code(name).alias("code"))
+
+
+@query("header_rows", "SELECT * FROM (VALUES (1, TRUE), (2, FALSE), (3, FALSE), (4, TRUE), (5, FALSE)) t(id, data)")
+def header_rows(spark, d):
+    rows = [(1, ["7", "x"], [["2", "y"], ["3", "z"]]), (2, ["n", "m"], [["2", "3"], ["4", "5"]]), (3, ["a", "abcdefghi"], [["abcdefghi", "a"]]), (4, ["ab", "cde"], [["xy", "uvw"], ["zz", "rst"]]), (5, ["5", "m"], [["x", "3"]])]
+    return spark.createDataFrame(rows, "id int, header array<string>, rows array<array<string>>").select("id", N.header_is_data(F.col("header"), F.col("rows")).alias("data"))
+
+
+@query("enclosed_texts", r"SELECT event_id, regexp_extract(props, '\{(.*)\}', 1) AS inner_text FROM events")
+def enclosed_texts(spark, d):
+    return table(spark, d, "events").select("event_id", T.between_markers(F.col("props"), "{", "}").alias("inner_text"))
+
+
+@query("value_kinds", "SELECT o_orderkey, 'int' AS key_kind, 'float' AS price_kind, 'str' AS priority_kind FROM orders")
+def value_kinds(spark, d):
+    kind = lambda c: T.value_kind(F.col(c).cast("string"))
+    return table(spark, d, "orders").select("o_orderkey", kind("o_orderkey").alias("key_kind"), kind("o_totalprice").alias("price_kind"), kind("o_orderpriority").alias("priority_kind"))
+
+
+@query("control_characters", "SELECT doc_id, sha256(translate(text, chr(9) || chr(10) || chr(13), '')) AS form FROM documents")
+def control_characters(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(T.strip_control(F.col("text")), 256).alias("form"))
+
+
+@query("softmax_argmax", "SELECT l_orderkey, l_linenumber, round(exp(l_tax) / (exp(l_tax) + exp(l_discount)), 8) AS share, CAST(CASE WHEN l_tax >= l_discount THEN 0 ELSE 1 END AS INTEGER) AS best FROM lineitem")
+def softmax_argmax(spark, d):
+    x = F.array("l_tax", "l_discount")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(T.softmax(x)[0], 8).alias("share"), T.argmax(x).alias("best"))
+
+
+@query("answered_questions", "SELECT event_id FROM events WHERE event_id % 4 = 3")
+def answered_questions(spark, d):
+    a = F.when(F.col("event_id") % 4 == 0, F.lit(None).cast("string")).when(F.col("event_id") % 4 == 1, "").when(F.col("event_id") % 4 == 2, "None").otherwise(F.col("event_type"))
+    return Q.answered(table(spark, d, "events").select("event_id", a.alias("answer"))).select("event_id")
+
+
+@query("short_values", "SELECT doc_id FROM documents WHERE length(text) <= 256 OR text IS NULL")
+def short_values(spark, d):
+    return Q.short_values(table(spark, d, "documents"), "text").select("doc_id")
+
+
+@query("names_to_ids", f"""{_CELLS} SELECT DISTINCT "table", name, CAST(col_id AS INTEGER) AS col_id FROM cells""")
+def names_to_ids(spark, d):
+    heads = _cells(spark, d).select("table", "name", "col_id").distinct().groupBy("table").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_id", "name"))), lambda x: x["name"]).alias("header"))
+    return heads.select("table", F.explode(N.names_to_ids(F.col("header"))).alias("name", "col_id"))
+
+
 @query("linearize_table", "SELECT 'n_nationkey | n_name' || chr(10) || string_agg(n_nationkey || ' | ' || n_name, chr(10) ORDER BY n_nationkey) AS text FROM nation")
 def linearize_table(spark, d):
     rows = table(spark, d, "nation").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.array(F.col("n_nationkey").cast("string"), "n_name").alias("c")))).alias("r"))

@@ -48,6 +48,8 @@ def test_header_repair(spark):
     got = df.select(h.alias("h"), r.alias("r")).collect()
     assert got[0].h == ["col_0", "col_1"] and got[0].r[0] == ["1", "x"]
     assert got[1].h == ["n", "m"] and len(got[1].r) == 2
+    texts = spark.createDataFrame([(["a", "abcdefghi"], [["abcdefghi", "a"]]), (["abc", "xyz"], [["uvw", "rst"]])], "header array<string>, rows array<array<string>>")
+    assert [r[0] for r in texts.select(N.header_is_data(F.col("header"), F.col("rows"))).collect()] == [False, True]
 
 
 def test_keep_first_with_clashing_names(spark):
@@ -75,8 +77,10 @@ def test_splits(spark):
 
 def test_similar_names(spark):
     ship(spark)
-    files = spark.createDataFrame([("t", n) for n in ("a_1", "a_2", "b_2", "c_9")], "topic string, name string")
-    assert sorted(r.name for r in S.similar_names(files).collect()) == ["a_1", "b_2", "c_9"]
+    files = spark.createDataFrame([("t", n) for n in ("a_1.parquet", "a-2.parquet", "b_2.parquet", "c_9.parquet", "c 7.parquet")], "topic string, name string")
+    assert sorted(r.name for r in S.similar_names(files).collect()) == ["a-2.parquet", "c 7.parquet"]  # b_2 shares its second token with a-2
+    codes = column(spark, ["run_2021.csv", "Ab-XY_a1.b.parquet", "x.parquet"], S.structure_code)
+    assert codes == ["t_d4", "tT-T_alpha_num2.t", "t"]
 
 
 def test_values(spark):
@@ -144,19 +148,30 @@ def test_responses(spark):
 
 def test_choice(spark):
     ship(spark)
-    df = spark.createDataFrame([("It is (B).", ["x", "y"]), ("surely Paris", ["Rome", "Paris"]), ("?", ["x", "y"]), (None, None)], "response string, choices array<string>")
-    assert [r.choice for r in R.choice_filter(df).collect()] == ["(B)", "(B)", "[invalid]", "[invalid]"]
+    df = spark.createDataFrame([("It is (B).", ["x", "y"]), ("surely Paris, not Rome", ["Rome", "Paris"]), ("so #### 1,234", ["x", "y"]), ("so: B", ["x", "y"]), ("?", ["x", "y"]), (None, None)], "response string, choices array<string>")
+    assert [r.choice for r in R.choice_filter(df).collect()] == ["[invalid]", "(B)", "1,234", "(B)", "[invalid]", "[invalid]"]
+    assert R.choice_filter(df, nth=-1).collect()[1].choice == "(A)"
+    assert [r.choice for r in R.choice_filter(df, pattern=r"\(([A-Z])\)").collect()][0] == "B"
+    loose = spark.createDataFrame([("the PARIS! one", ["Rome", "the Paris"])], "response string, choices array<string>")
+    assert R.choice_filter(loose).first().choice == "[invalid]"
+    assert R.choice_filter(loose, ignore_case=True, ignore_punctuation=True, ignore=("the ",)).first().choice == "(B)"
 
 
 def test_text_functions(spark):
     assert column(spark, ["SELECT 1; x", "a ```b"], T.sql_cut) == ["SELECT 1", "a"]
-    assert column(spark, ["do n't !"], T.detokenise) == ["don't!"]
+    assert column(spark, ["do n't !"], T.detokenise) == ["don't !"]
+    assert column(spark, ['He said "hi" ( ok ) .'], T.detokenise) == ['He said"hi"(ok).']
     assert column(spark, ["median", " Highest "], T.aggregator_of) == ["unknown", "max"]
     assert column(spark, [["a", "b", "c"], []], lambda c: T.ngrams(c, 2), "array<string>") == [["a b", "b c"], []]
-    got = column(spark, [["a", "b", "c"]], lambda c: T.rolling_windows(c, 2), "array<string>")[0]
-    assert [list(w.predict) for w in got] == [["a", "b"], ["c"]]
+    got = column(spark, [list("abcdefghi"), [], ["a"]], lambda c: T.rolling_windows(c, 4, "<s>", 3), "array<string>")
+    assert [("".join(w.read), "".join(w.predict)) for w in got[0]] == [("<s>abc", "abcd"), ("bcde", "ef"), ("defg", "gh"), ("efgh", "i")]
+    assert got[1] == [] and [(list(w.read), list(w.predict)) for w in got[2]] == [(["<s>"], ["a"])]
+    apart = column(spark, [list("abcdefghi")], lambda c: T.disjoint_windows(T.rolling_windows(c, 4, "<s>", 3)), "array<string>")[0]
+    assert [("".join(w.read), "".join(w.predict)) for w in apart] == [("<s>", "abcd"), ("bcd", "ef"), ("def", "gh"), ("efgh", "i")]
     df = spark.createDataFrame([("What is the maximum of column a b?", ["a b", "c"])], "q string, n array<string>")
     assert df.select(T.quote_columns(F.col("q"), F.col("n"))).first()[0] == 'What is the maximum of column "a b"?'
+    more = [("column 'c'?", ["c"]), ("is 'c' or c there", ["c"]), ("ab c", ["b"])]
+    assert [r[0] for r in spark.createDataFrame(more, "q string, n array<string>").select(T.quote_columns(F.col("q"), F.col("n"))).collect()] == ["column 'c'?".replace("column 'c'", ' "c"'), 'is "c" or "c" there', "ab c"]
 
 
 def test_lines_and_chunks(spark):
@@ -178,7 +193,13 @@ def test_decontamination(spark):
     docs = spark.createDataFrame([(1, text), (2, "nothing here"), (3, None)], "doc_id long, text string")
     items = spark.createDataFrame([(7, "the quick brown fox")], "item_id long, text string")
     got = C.decontaminated(docs, items, 3).collect()
-    assert {r.doc_id for r in got} == {1, 2, 3} and all("quick" not in r.text for r in got)
+    assert {r.doc_id for r in got} == {1} and all("quick" not in r.text for r in got)  # the others are shorter than a part may be
+    assert {r.doc_id: r.hits for r in C.hit_counts(docs, items, 3).collect()} == {1: 2, 2: 0, 3: 0}
+    long = "x" * 1000
+    hits = [(i, i + 1) for i in range(400, 411)]
+    assert C.clean_parts(long, hits[:10], 0, 200) == ["x" * 400, "x" * (1000 - 411)] and C.clean_parts(long, hits, 0, 200) is None
+    assert C.clean_parts(long, [(400, 410)], 200, 200) == ["x" * 389] and C.clean_parts(long, [(401, 410)], 200, 200)[0] == "x" * 201
+    assert C.clean_parts("x" * 199, []) == [] and C.clean_parts("x" * 200, []) == ["x" * 200]
     assert C.overlap(docs, items, 3).collect()[0].asDict() == {"doc_id": 1, "item_id": 7}
 
 

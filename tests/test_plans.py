@@ -108,10 +108,19 @@ def test_bindings_and_questions(spark):
 def test_quality(spark):
     df = spark.createDataFrame([("x",), ("",), ("NaN",), (None,), ("''",), ("N/A",)], "answer string")
     assert [r[0] for r in Q.valid_answers(df).collect()] == ["x"]
-    old = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "table_id string, qid int")
-    new = spark.createDataFrame([("a", 10), ("b", 11), ("b", 12), ("b", 13)], "table_id string, qid int")
+    e, o = "What is the sum of the expression x?", "What is the sum of column x?"
+    old = spark.createDataFrame([("a", 1, e), ("a", 2, e), ("b", 3, e), ("b", 4, o), ("c", 5, o)], "table_id string, qid int, nl_question string")
+    new = spark.createDataFrame([("a", 10, e), ("b", 11, e), ("b", 12, e), ("b", 13, e), ("d", 14, e)], "table_id string, qid int, nl_question string")
     got = sorted(r.qid for r in Q.patched(old, new).collect())
-    assert got == [10, 11, 12]
+    assert got == [4, 5, 10, 11, 13]  # one short in a: the last of b's spare ones
+
+
+def test_answers_by_value_and_by_range(spark):
+    rows = spark.createDataFrame([("t", i, [str(v), f"{i}"]) for i, v in enumerate(["1,000", "1000.0", "x", "-0", "0", "X", ""])], "table_id string, row_id long, cells array<string>")
+    asked = [(1, "=", "1000"), (2, "=", "x"), (3, "=", "0"), (4, "!=", "1000"), (5, ">=", "0"), (6, None, None), (7, "=", "none such")]
+    q = spark.createDataFrame([(i, "t", "count", "single", 1, None, None if c is None else 0, c, v) for i, c, v in asked], "qid int, table_id string, op string, shape string, agg_idx int, agg_idx2 int, cond_idx int, cmp string, val string")
+    assert {r.qid: r.n_rows for r in Q.answer(rows, q).collect()} == {1: 2, 2: 1, 3: 2, 4: 5, 5: 4, 6: 7, 7: 0}
+    assert {r.qid: r.n_rows for r in Q.answer(rows, q, "text").collect()}[1] == 0
 
 
 def test_model_written_sql(spark):
@@ -119,3 +128,9 @@ def test_model_written_sql(spark):
     assert Q.sql_answer(df, 'SELECT max("a b") FROM df WHERE t = \'y\'; drop table x') == "5"
     assert Q.sql_answer(df, "select t from my_table where `a b` = 1 ```", "my_table") == "x"
     assert Q.sql_answer(df, "select nothing from df") == "" and Q.sql_answer(df, "drop table df") == "" and Q.sql_answer(df, "select t from df where 1 = 0") == ""
+    assert Q.sql_answer(df, "SELECT reflect('java.lang.System', 'getProperty', 'user.dir')") == Q.sql_answer(df, "SELECT * FROM text.`/etc/hostname`") == ""
+    for bad in ("select java_method('a', 'b') from df", "select * from df, text.`/x`", "select * from other", "select * from df join parquet.`/x`", "select t from range(3)", "select '${env:HOME}' from df", "select t from df -- x", "select (select max(value) from text.`/x`) from df", "with x as (select 1) select * from x", "select t from `df`.x", "select t from df lateral view explode(array(1)) as y"):
+        assert Q.safe_select(bad, "df") is None, bad
+    assert Q.sql_answer(df, "select t from df where \"a b\" in (select max(\"a b\") from df)") == "y"
+    assert Q.sql_answer(df, "select count(*) from df as d join df e on d.t = e.t where d.`a b` > 0.5") == "2"
+    assert Q.sql_answer(df, "select round(avg(df.`a b`), 1) from df group by t order by t desc limit 1") == "5.0"
