@@ -70,8 +70,8 @@ def _tokens(text: str) -> list[str]:
     return re.findall(r"\{(\w+)\}", text)
 
 
-def questions(bound: DataFrame, t: Template, alternatives: bool = True) -> DataFrame:
-    """Question records of a template's assignments: one row for each binding and operator.
+def questions(bound: DataFrame, t: Template, alternatives: bool = True, carry: dict[str, Column] | None = None) -> DataFrame:
+    """Question records of a template's assignments: one row for each binding and operator; `carry`: further columns.
 
     The count operator comes once for each set of conditions (its column doesn't matter).
     """
@@ -91,6 +91,7 @@ def questions(bound: DataFrame, t: Template, alternatives: bool = True) -> DataF
             df.select(
                 "table_id", F.lit(op).alias("operator"), say(phrasings(op)[0]).alias("nl_question"), other.alias("alternative_phrasings"), rendered(query.sql(), escaped).alias("sql_query"),
                 (F.lit("expression") if len(variables(t.expr.sql())) > 1 else names[first]).alias("aggregation_column"), F.lit(template_hash(t)).alias("template_hash"), F.sha2(shown, 256).alias("count_hash"),
+                *(c.alias(k) for k, c in (carry or {}).items()),
             )
         )
     return reduce(DataFrame.unionByName, parts)

@@ -886,6 +886,155 @@ def ddl_render(spark, d):
     return by.select("table", T.ddl(F.col("table"), F.transform("c", lambda x: x["name"]), F.transform("c", lambda x: x["type"])).alias("ddl"))
 
 
+# --- records ---
+
+
+@query(
+    "synthesis_plan",
+    f"""{_CELLS}, {_TYPES}, s AS (SELECT a."table" AS table_id, a.name, o.op, o.word FROM types a, (VALUES ('min', 'minimum'), ('max', 'maximum'), ('sum', 'sum'), ('avg', 'average'), ('count', 'count')) o(op, word) WHERE a.type = 'numeric')
+        SELECT table_id, s.op AS operator, 'SELECT ' || s.op || '("' || s.name || '") FROM df' AS sql_query, round(CASE s.op WHEN 'min' THEN min(v) WHEN 'max' THEN max(v) WHEN 'sum' THEN sum(v) ELSE avg(v) END, 3) AS number, CAST(count(*) AS BIGINT) AS n_rows
+        FROM s JOIN (SELECT "table" AS table_id, name, TRY_CAST(value AS DOUBLE) AS v FROM cells) USING (table_id, name) WHERE s.op <> 'count' GROUP BY 1, s.op, s.name
+        UNION ALL SELECT "table", 'count', 'one column, whichever', count(DISTINCT row_id), count(DISTINCT row_id) FROM cells GROUP BY 1""",
+)
+def synthesis_plan(spark, d):
+    """Whole way from tables to filtered answers, with the template that has no condition (so nothing is sampled). A table's rows are counted once, by any of its columns."""
+    from .plans import synthesis
+
+    t = templates.catalogue("basic")[-1]
+    out = synthesis.synthesised(_cells(spark, d), [t], most=1_000)
+    sql = F.when(F.col("operator") == "count", "one column, whichever").otherwise(F.col("sql_query"))
+    return out.select("table_id", "operator", sql.alias("sql_query"), F.round(F.col("answer").cast("double"), 3).alias("number"), "n_rows")
+
+
+@query("extended_dataset", "SELECT o_custkey AS table_id, CAST(o_orderkey AS VARCHAR) AS nl_question, o_orderpriority AS sql_query FROM orders")
+def extended_dataset(spark, d):
+    from .plans import synthesis
+
+    q = table(spark, d, "orders").select(F.col("o_custkey").alias("table_id"), F.col("o_orderkey").cast("string").alias("nl_question"), F.col("o_orderpriority").alias("sql_query"))
+    return synthesis.extended(q.where("table_id % 3 = 0"), q.where("table_id % 3 <> 1").unionByName(q.where("table_id % 3 = 1")))
+
+
+@query("few_shot_first", "SELECT item_id, CASE WHEN item_id = (SELECT min(item_id) FROM benchmark) THEN 1 ELSE 0 END + (SELECT min(item_id) FROM benchmark) AS first_shot, CAST(2 AS INTEGER) AS n FROM benchmark")
+def few_shot_first(spark, d):
+    from .operators import records
+
+    b = table(spark, d, "benchmark").select("item_id", "text")
+    return records.few_shot_choice(b, b, 2, "item_id", first=True).select("item_id", F.col("shots")[0]["item_id"].alias("first_shot"), F.size("shots").alias("n"))
+
+
+@query("model_cells", "SELECT p_partkey, p_brand || ', ' || CAST(p_size AS VARCHAR) AS texts, CAST(p_size * 2 AS DOUBLE) AS total, CAST(p_size AS DOUBLE) AS mean, CAST(3 AS DOUBLE) AS n, '' AS outside FROM part")
+def model_cells(spark, d):
+    from .operators import records
+
+    rows = F.array(F.array("p_brand", F.col("p_size").cast("string")), F.array(F.col("p_size").cast("string"), "p_type"))
+    at = lambda *x: F.array(*(F.struct(F.lit(r).alias("row"), F.lit(c).alias("col")) for r, c in x))
+    number = lambda i, *x: records.aggregated_cells(rows, at(*x), records.cell_aggregator(F.lit(i))).cast("double")
+    two = ((0, 1), (1, 0))
+    return table(spark, d, "part").select("p_partkey", records.answer_of_cells(rows, at((0, 0), (0, 1), (0, 9))).alias("texts"), number(1, *two).alias("total"), number(2, *two).alias("mean"), number(3, (0, 0), *two).alias("n"), records.answer_of_cells(rows, at((2, 0), (-1, 0))).alias("outside"))
+
+
+@query("masked_arrays", "SELECT conv_id, array_to_string(list(role ORDER BY turn) FILTER (WHERE turn % 2 = 0), ',') AS roles, CAST(count(*) FILTER (WHERE turn % 2 = 0) AS INTEGER) AS n FROM conversations GROUP BY 1")
+def masked_arrays(spark, d):
+    from .operators import records
+
+    by = assign.hierarchical(table(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn")
+    out = records.masked(by.withColumn("filter_condition", F.transform("turn", lambda t: t % 2 == 0)))
+    return out.select("conv_id", F.when(F.size("role") > 0, F.array_join("role", ",")).alias("roles"), F.size("turn").alias("n"))
+
+
+@query("places_removed", "SELECT conv_id, CAST(greatest(count(*) - 2, 0) AS INTEGER) AS n FROM conversations GROUP BY 1")
+def places_removed(spark, d):
+    from .operators import records
+
+    by = assign.hierarchical(table(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn")
+    return records.without_places(by.withColumn("gone", F.array(F.lit(0), F.lit(1))), "gone").select("conv_id", F.size("role").alias("n"))
+
+
+@query("nested_first", "SELECT l_orderkey, l_linenumber, l_quantity AS head, CAST(l_linenumber AS VARCHAR) AS line FROM lineitem")
+def nested_first(spark, d):
+    from .operators import records
+
+    df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.array(F.array("l_quantity", "l_discount"))).alias("x"), F.array(F.array("l_linenumber")).alias("y"))
+    return df.select("l_orderkey", "l_linenumber", records.first_item(df, "x").alias("head"), records.as_texts(df, "y")[0][0].alias("line"))
+
+
+@query("rows_beside", "SELECT a.event_id, b.o_orderkey FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS r FROM events) a FULL JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) AS r FROM orders) b USING (r)")
+def rows_beside(spark, d):
+    from .operators import records
+
+    orders = table(spark, d, "orders").select("o_orderkey", (-F.col("o_orderkey")).alias("down"))
+    return records.beside(table(spark, d, "events").select("event_id"), orders, ["event_id"], ["down"]).drop("down")
+
+
+@query("restored_order", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents")
+def restored_order(spark, d):
+    from .operators import records
+
+    docs = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"))
+    return records.reordered(docs, F.desc("n"), place="place", original=["doc_id"]).select("doc_id", "place")
+
+
+@query("path_rewrite", "SELECT page_id, CASE WHEN url LIKE 'https://%' THEN 's3:' || substr(url, 9) WHEN url LIKE 'http%' THEN 'x' || substr(url, 5) ELSE url END AS url FROM pages")
+def path_rewrite(spark, d):
+    from .operators import records
+
+    return records.rewritten_paths(table(spark, d, "pages").select("page_id", "url"), "url", {"http": "x", "https://": "s3:"})
+
+
+@query("rendered_templates", r"SELECT event_id, 'Type ' || regexp_replace(event_type, '[aeiou]', '_', 'g') || ' of ' || CAST(user_id AS VARCHAR) || '.' AS text FROM events")
+def rendered_templates(spark, d):
+    from .operators import records
+
+    return table(spark, d, "events").select("event_id", records.templated("Type {{ event_type | regex_replace('[aeiou]', '_') }} of {{user_id}}.").alias("text"))
+
+
+@query("text_concat", "SELECT p_partkey, p_brand || CAST(p_size AS VARCHAR) AS text FROM part")
+def text_concat(spark, d):
+    from .operators import records
+
+    return table(spark, d, "part").select("p_partkey", records.joined_texts([F.col("p_brand"), F.col("p_size")]).alias("text"))
+
+
+@query("grouped_samples", "SELECT CAST(length(p_type) AS INTEGER) AS size, CAST(count(*) AS INTEGER) AS n, min(p_partkey) AS first_key FROM part GROUP BY 1")
+def grouped_samples(spark, d):
+    from .operators import records
+
+    out = records.grouped_samples(table(spark, d, "part").select("p_partkey", "p_type"), F.length("p_type"), "size")
+    return out.select("size", F.size("samples").alias("n"), F.col("samples")[0]["p_partkey"].alias("first_key"))
+
+
+@query("json_records", """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","nothing":null}' AS json FROM nation""")
+def json_records(spark, d):
+    from .operators import records
+
+    return records.encoded(table(spark, d, "nation").select("n_nationkey", "n_name", F.lit(None).cast("string").alias("nothing")))
+
+
+@query("consolidated_results", "SELECT 't' || event_type AS task, round(avg(value), 6) AS mean, round(stddev_samp(value) / sqrt(count(value)), 6) AS stderr, count(*) AS samples FROM events GROUP BY 1")
+def consolidated_results(spark, d):
+    from .operators import records
+
+    e = table(spark, d, "events").groupBy(F.concat(F.lit("t"), "event_type").alias("task")).agg(F.avg("value").alias("value"), M.mean_stderr(F.col("value")).alias("stderr"), F.count(F.lit(1)).alias("samples"))
+    tasks = e.select("task", F.lit(None).cast("string").alias("alias"), F.lit("1").alias("version"), F.lit(0).alias("n_shot"))
+    out = records.consolidated(e.withColumns({"metric": F.lit("score"), "filter": F.lit("none")}), tasks)
+    return out.select(F.col("alias").alias("task"), F.round(F.col("results")["score,none"], 6).alias("mean"), F.round(F.col("results")["score_stderr,none"], 6).alias("stderr"), "samples")
+
+
+@query("constant_columns", "SELECT n_nationkey, 'nations' AS name, 'train' AS split FROM nation")
+def constant_columns(spark, d):
+    from .operators import records
+
+    return records.with_constants(table(spark, d, "nation").select("n_nationkey"), name="nations", split="train")
+
+
+@query("table_names", f"""{_CELLS} SELECT "table" AS table_id, string_agg(name, ',' ORDER BY col_id) AS names FROM (SELECT DISTINCT "table", name, col_id FROM cells) GROUP BY 1""")
+def table_names(spark, d):
+    from .operators import records
+
+    heads = _cells(spark, d).groupBy(F.col("table").alias("table_id"), "row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_id", "name"))), lambda x: x["name"]).alias("header"))
+    return records.table_names(heads).select("table_id", F.array_join("names", ",").alias("names"))
+
+
 @query("json_fields", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_fields(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))

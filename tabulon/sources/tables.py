@@ -92,11 +92,44 @@ def write_splits(df: DataFrame, path: str, text: str = "text", split: str = "spl
     df.select(F.regexp_replace(text, r"[\r\n]+", " ").alias("value"), split).write.partitionBy(split).mode("overwrite").text(path)
 
 
-def write_json(df: DataFrame, path: str, codec: str = "zstd", by: str | None = None) -> None:
+def write_json(df: DataFrame, path: str, codec: str = "gzip", by: str | None = None) -> None:
     w = df.write.mode("overwrite").option("compression", codec)
     (w.partitionBy(by) if by else w).json(path)
 
 
+def _zstd_lines(batches):
+    """Lines of zstandard files; a file is decompressed piece by piece."""
+    import io
+
+    import pyarrow as pa
+    import zstandard
+
+    for batch in batches:
+        for content in batch.column("content"):
+            reader = io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content.as_buffer()), read_across_frames=True), "utf-8")
+            held: list[str] = []
+            for line in reader:
+                held.append(line.rstrip("\n"))
+                if len(held) == 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["value"])
+                    held = []
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["value"])
+
+
+def read_archive(spark: SparkSession, path: str, text: str = "text") -> DataFrame:
+    """Texts of JSON-lines archives, a file or a folder: a record's `text`, or a bare JSON string; the rest of a record as `meta`.
+
+    Files ending in .zst are decompressed in Python (whole files come as one value each, so below 2 GB);
+    others (.jsonl, .json, .txt, .gz, .bz2) are read by Spark.
+    """
+    zstd = spark.read.format("binaryFile").option("pathGlobFilter", "*.zst").load(path).select("content").mapInArrow(_zstd_lines, "value string")
+    lines = zstd.unionByName(spark.read.option("pathGlobFilter", "*.{jsonl,json,txt,gz,bz2}").text(path).select("value"))
+    bare = F.from_json(F.concat(F.lit('{"t":'), "value", F.lit("}")), "t string")["t"]
+    one = F.when(F.col("value").startswith('"'), bare).otherwise(F.get_json_object("value", f"$.{text}"))
+    return lines.select(one.alias(text), F.get_json_object("value", "$.meta").alias("meta"))
+
+
 class Versions:
     """Timestamped versions of frames below <root>/<name>; readers take the newest finished one."""
 

@@ -134,3 +134,60 @@ def test_model_written_sql(spark):
     assert Q.sql_answer(df, "select t from df where \"a b\" in (select max(\"a b\") from df)") == "y"
     assert Q.sql_answer(df, "select count(*) from df as d join df e on d.t = e.t where d.`a b` > 0.5") == "2"
     assert Q.sql_answer(df, "select round(avg(df.`a b`), 1) from df group by t order by t desc limit 1") == "5.0"
+
+
+def test_whole_way_from_tables_to_answers(spark):
+    from tabulon.plans import synthesis
+
+    rows = [("t", i, j, n, v) for i, r in enumerate([("a", "1", "10"), ("a", "2", "20"), ("b", "3", "30"), ("b", "4", "")]) for j, (n, v) in enumerate(zip(("kind", "x", "y"), r, strict=True))]
+    cells = spark.createDataFrame(rows, "table string, row_id long, col_id int, name string, value string")
+    t = templates.catalogue("basic")[0]
+    asked = synthesis.asked(cells, [t], most=50)
+    got = synthesis.counted(synthesis.answered(asked, synthesis.rows_of(cells))).collect()
+    by = {r.sql_query.replace("\n", " "): (r.answer, r.n_rows, r.multi_row) for r in got}
+    # y has an empty cell, so it isn't numeric; kind = 'a' holds twice, so a lookup has two answers
+    assert len(got) == len(by) and {r.aggregation_column for r in got} <= {"x"}
+    one = {(r.operator, r.sql_query.rsplit("=", 1)[1].strip().strip("'")): (r.answer, r.n_rows, r.multi_row) for r in got}
+    assert one["max", "a"][:2] == ("2.0", 2) and one["noop", "a"] == ("1.0", 2, True) and one["count", "b"][:2] == ("2.0", 2) and one["avg", "b"][0] == "3.5"
+    kept = synthesis.filtered(synthesis.counted(synthesis.answered(asked, synthesis.rows_of(cells)))).collect()
+    assert not any(r.multi_row or r.n_rows < 2 and r.operator != "noop" for r in kept) and len(kept) < len(got)
+    final = synthesis.synthesised(cells, [t], most=50, cutoff=3).collect()
+    assert len(final) == 3 and all('"x"' in r.nl_question for r in final)
+    assert synthesis.extended(asked.limit(2), asked).count() == asked.count()
+    with pytest.raises(ValueError):
+        synthesis.plan_columns(templates.range_template())
+
+
+def test_records(spark, tmp_path):
+    from tabulon.session import ship
+
+    import zstandard
+
+    from tabulon.operators import records
+    from tabulon.sources import tables as I
+
+    ship(spark)
+
+    pool = spark.createDataFrame([(i, f"t{i}") for i in range(9)], "doc_id int, text string")
+    shots = records.few_shot_choice(pool, pool, 3, seed=4).collect()
+    assert len(shots) == 9 and all(len(r.shots) == 3 and r.doc_id not in [s.doc_id for s in r.shots] for r in shots)
+    with pytest.raises(ValueError):
+        records.few_shot_choice(pool, pool.limit(1), 3)
+    assert records.few_shot_choice(pool, pool.limit(3), 3).where("doc_id > 2").count() == 6
+    deep = spark.createDataFrame([([[[[[[1]]]]]],)], "x array<array<array<array<array<array<int>>>>>>")
+    with pytest.raises(ValueError):
+        records.first_item(deep, "x")
+    assert deep.select(records.first_item(deep, "x", 6)).first()[0] == 1
+    with pytest.raises(ValueError):
+        records.joined_texts([], "-")
+    assert records.discarded(spark.range(10_000), 1000, 2.0, "id").count() in range(1800, 2200) and records.discarded(spark.range(10), 100, 2.0, "id").count() == 10
+    assert records.pass_through(pool) is pool
+    places = records.placed(spark.range(1000).repartition(7), ["id"]).where("id <> _place").count()
+    assert places == 0
+    (tmp_path / "a.jsonl").write_text('{"text": "one", "meta": {"k": 1}}\n"two"\n')
+    (tmp_path / "z").mkdir()
+    (tmp_path / "z" / "b.jsonl.zst").write_bytes(zstandard.compress(b'{"text": "a"}\n"b"\n') + zstandard.compress(b'{"text": "c"}'))
+    I.write_json(pool.select("text"), str(tmp_path / "z" / "more"))
+    assert {(r.text, r.meta) for r in I.read_archive(spark, str(tmp_path / "a.jsonl")).collect()} == {("one", '{"k":1}'), ("two", None)}
+    assert sorted(r.text for r in I.read_archive(spark, str(tmp_path / "z")).collect()) == ["a", "b", "c"]
+    assert I.read_archive(spark, str(tmp_path / "z" / "more")).count() == 9
