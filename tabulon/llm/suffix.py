@@ -20,7 +20,9 @@ is a common prefix of t - 1 symbols. No suffix is sorted anew. Intervals without
 
 Anchors with more than `hot` different runs (a line that a third of all documents hold) are cut into
 blocks of a few windows, keyed by what the block's windows have in common, and equal blocks are merged
-inside a shard before the shuffle; no such group meets in one task.
+inside a shard before the shuffle; no such group meets in one task. A shard that holds many different
+runs of an anchor already sends them to that path and only a mark to the anchor's task, so that a task
+gets a row a shard of it and not one a document.
 
 Defined results: null and empty texts have 0 bytes; texts shorter than `length` keep all. If ids repeat
 or are null, rows are ordered by (doc_id, text) and each row is a document of its own (nulls first).
@@ -55,6 +57,8 @@ class Repeats:
     gram: int = 24
     symbol: int = 25
     hot: int = 20_000
+    #: Different runs of one anchor in one flush that make it hot at once (more where flushes are few, see `covered`).
+    hot_here: int = 64
     hot_windows: int = 4
     chunk: int = 1 << 19
     flush: int = 1 << 19
@@ -161,8 +165,12 @@ def _later(*keys: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> tuple[np.ndarr
     return order, new, np.cumsum(new) - 1
 
 
-def _shard(batches: Iterator[pa.RecordBatch], p: Repeats, parts: int) -> Iterator[pa.RecordBatch]:
-    """Runs of one task's texts, equal runs merged: kind 1 goes on, kind 0 is covered already."""
+def _shard(batches: Iterator[pa.RecordBatch], p: Repeats, parts: int, many: int) -> Iterator[pa.RecordBatch]:
+    """Runs of one task's texts, equal runs merged.
+
+    Kind 0 is covered already; 1 goes to its anchor's part; 2 are runs of anchors with more than `many`
+    different runs here, which need not meet; -1 marks those anchors in their part.
+    """
     held: list[tuple[np.ndarray, ...]] = []
     count = 0
 
@@ -171,9 +179,19 @@ def _shard(batches: Iterator[pa.RecordBatch], p: Repeats, parts: int) -> Iterato
         held.clear()
         order, new, _ = _later(gram, whole, doc=doc, lo=lo)
         rep, rest = order[new], order[~new]
-        yield _split((gram[rep] % np.uint64(parts)).astype(np.int32), 1, *(x[rep] for x in (doc, lo, dq, n, gram, whole)))
+        first = np.flatnonzero(np.concatenate([[True], gram[rep][1:] != gram[rep][:-1]]))
+        size = np.diff(np.append(first, len(rep)))
+        hot = np.repeat(size > many, size)
+        own = lambda g: (g % np.uint64(parts)).astype(np.int32)
+        by_doc = lambda r: (mix64(doc[r].astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        cool, hot, marks = rep[~hot], rep[hot], gram[rep[first[size > many]]]
+        if len(cool):
+            yield _split(own(gram[cool]), 1, *(x[cool] for x in (doc, lo, dq, n, gram, whole)))
+        if len(hot):
+            yield _split(by_doc(hot), 2, *(x[hot] for x in (doc, lo, dq, n, gram)))
+            yield _split(own(marks), -1, marks)
         if len(rest):
-            yield _split((mix64(doc[rest].astype(np.uint64)) % np.uint64(parts)).astype(np.int32), 0, doc[rest], lo[rest], n[rest])
+            yield _split(by_doc(rest), 0, doc[rest], lo[rest], n[rest])
 
     for batch in (part for whole in batches for part in slices(whole, "text", 4 << 20)):
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -197,34 +215,43 @@ def _rows(kind: int, doc: np.ndarray, lo: np.ndarray, dq: np.ndarray, n: np.ndar
         yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(doc[s].astype(np.int64)), pa.array(lo[s].astype(np.int64)), pa.array(dq[s].astype(np.int32)), pa.array(n[s].astype(np.int32)), pa.array(key[s].astype(np.uint64).view(np.int64))], names=["kind", "doc_id", "lo", "dq", "n", "key"])
 
 
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[np.ndarray]]]]:
-    """Blobs of one part after another (the rows come sorted by part): kind and shards."""
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[list[np.ndarray]]]]:
+    """Blobs of one part after another (the rows come sorted by part and kind): part, kind and shards."""
     part, kind, shards = None, None, []
     for batch in batches:
         for x, k, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (x, k) != (part, kind):
                 if shards:
-                    yield kind, shards
+                    yield part, kind, shards
                 part, kind, shards = x, k, []
             shards.append(_unpack(blob))
     if shards:
-        yield kind, shards
+        yield part, kind, shards
 
 
 def _meet(batches: Iterator[pa.RecordBatch], p: Repeats) -> Iterator[pa.RecordBatch]:
     """Runs of equal anchor: kind 0 covered; 1 to be settled; 2 the same, of a hot anchor."""
-    for kind, shards in _by_part(batches):
+    marked: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+    for part, kind, shards in _by_part(batches):
+        if kind < 0:
+            marked = (part, np.unique(np.concatenate([g for (g,) in shards])))
+            continue
         if kind == 0:
             for doc, lo, n in shards:
                 yield from _rows(0, doc, lo, np.zeros(len(doc)), n, np.zeros(len(doc)))
             continue
+        if kind == 2:
+            for shard in shards:
+                yield from _rows(2, *shard)
+            continue
         doc, lo, dq, n, gram, whole = (np.concatenate(x) for x in zip(*shards, strict=True))
         order, new, _ = _later(gram, whole, doc=doc, lo=lo)
         rest, rep = order[~new], order[new]
         yield from _rows(0, doc[rest], lo[rest], dq[rest], n[rest], gram[rest])
         _, group = np.unique(gram[rep], return_inverse=True)
         size = np.bincount(group)[group]
-        for kind, pick in ((1, (size > 1) & (size <= p.hot)), (2, size > p.hot)):
+        hot = (size > p.hot) | (np.isin(gram[rep], marked[1]) if marked[0] == part else False)
+        for kind, pick in ((1, (size > 1) & ~hot), (2, hot)):
             r = rep[pick]
             yield from _rows(kind, doc[r], lo[r], dq[r], n[r], gram[r])
 
@@ -407,7 +434,7 @@ def _joined(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _settled(batches: Iterator[pa.RecordBatch], p: Repeats) -> Iterator[pa.RecordBatch]:
-    for kind, shards in _by_part(batches):
+    for _, kind, shards in _by_part(batches):
         if kind == 0:
             doc, lo, n = (np.concatenate(x) for x in zip(*shards, strict=True))
         else:
@@ -421,7 +448,9 @@ def covered(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     docs = docs.select("doc_id", "text").where("text is not null and octet_length(text) >= %d" % p.length)
     total = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     parts = max(64, -(-total // (p.shard_mb << 20)))
-    sent = docs.mapInArrow(lean(lambda it: _shard(it, p, parts)), _BLOBS).repartition(parts, "part").sortWithinPartitions("part", "kind")
+    # with few flushes an anchor's task can take more of each: about `hot` runs in all
+    many = max(p.hot_here, p.hot * p.flush * 35 // max(1, total))
+    sent = docs.mapInArrow(lean(lambda it: _shard(it, p, parts, many)), _BLOBS).repartition(parts, "part").sortWithinPartitions("part", "kind")
     met = written(sent.mapInArrow(lean(lambda it: _meet(it, p)), _FOUND), "repeats-runs")
     del sent
     free_shuffles(spark)

@@ -36,7 +36,7 @@ def expected(rows):
     return out
 
 
-@pytest.mark.parametrize("p", [suffix.Repeats(), suffix.Repeats(hot=2, chunk=900, flush=100), suffix.Repeats(symbol=50)])
+@pytest.mark.parametrize("p", [suffix.Repeats(), suffix.Repeats(hot=2, chunk=900, flush=100), suffix.Repeats(hot=40, hot_here=1, chunk=900, flush=1500), suffix.Repeats(symbol=50)])
 def test_repeats_exact(spark, p):
     ship(spark)
     rows = corpus()
@@ -46,6 +46,16 @@ def test_repeats_exact(spark, p):
     assert got == want
 
 
+def test_a_line_of_a_third_of_all_texts(spark):
+    ship(spark)
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(180))
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(40, 160))) + (line if i % 3 == 0 else "") + "".join(rng.choice("xyz") for _ in range(rng.randint(0, 130))), "l", "s", 1) for i in range(300)]
+    want = expected(rows)
+    for p in (suffix.Repeats(), suffix.Repeats(hot=1, hot_here=3, flush=400), suffix.Repeats(hot=1000, hot_here=3, flush=400)):
+        assert {r[0]: tuple(r)[1:] for r in suffix.repeat_digests(frame(spark, rows).repartition(3), p).collect()} == want
+
+
 def test_repeats_edges(spark):
     ship(spark)
     assert suffix.repeat_digests(empty(spark)).collect() == []
@@ -138,6 +148,27 @@ def test_near_duplicates_exact(spark):
     assert links > 100 and got == want
 
 
+@pytest.mark.parametrize("p", [minhash.NearDup(), minhash.NearDup(rounds=0, block=7)])
+def test_near_duplicates_of_a_third_of_all_texts(spark, p):
+    ship(spark)
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows = [(i, " ".join(words(rng.randint(5, 60))), "en", "s", 0) for i in range(400)]
+    base, far = words(60), None
+    for i in range(400, 600):  # copies of one text, some too far from it to be linked with it alone
+        w = base.copy()
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"u{rng.random()}"
+        rows.append((i, " ".join(w), "en", "s", 0))
+    far = base.copy()
+    for i in range(600, 640):  # a chain away from the group
+        far[i - 590] = f"c{i}"
+        rows.append((i, " ".join(far), "en", "s", 0))
+    want, links = components(rows)
+    got = {r[0]: tuple(r)[1:] for r in minhash.near_duplicates(frame(spark, rows).repartition(5), p).collect()}
+    assert links > 2000 and got == want
+
+
 def test_near_duplicates_edges(spark):
     ship(spark)
     assert minhash.near_duplicates(empty(spark)).collect() == []
