@@ -70,12 +70,27 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def lean(stage):
-    """`stage` for mapInArrow; at a task's end the worker, which lives on, gives unused memory back to the system."""
+#: What a worker keeps from task to task, by the kind of stage that uses it.
+HELD: dict[str, dict] = {}
+
+
+def held(kind: str) -> dict:
+    """A worker's own store for one kind of stage; it goes when a task of another kind begins there."""
+    return HELD.setdefault(kind, {})
+
+
+def lean(stage, keep: str | None = None):
+    """`stage` for mapInArrow. Workers live on from stage to stage: what others than `keep` held is dropped
+    before a task, and unused memory goes back to the system after it."""
+    home = __name__
 
     def run(batches):
         import ctypes
+        import importlib
 
+        store = importlib.import_module(home).HELD  # the worker's own, not a copy that came with this function
+        for kind in [k for k in store if k != keep]:
+            del store[kind]
         try:
             yield from stage(batches)
         finally:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, slices, written
+from .common import held, lean, slices, written
 
 END_ID = 1
 
@@ -103,13 +103,11 @@ def _byte_level() -> dict[int, int]:
 _BYTE_LEVEL = _byte_level()
 
 
-_CACHES: dict[str, IdCache] = {}
-
-
 def id_cache(path: str) -> IdCache:
-    if path not in _CACHES:
-        _CACHES[path] = IdCache(path)
-    return _CACHES[path]
+    caches = held("pack")
+    if path not in caches:
+        caches[path] = IdCache(path)
+    return caches[path]
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
@@ -131,7 +129,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterato
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(lean(lambda it: _cut(it, tokenizer, capacity)), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(lean(lambda it: _cut(it, tokenizer, capacity), "pack"), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 # --- planning, on counts by length ---
@@ -322,7 +320,7 @@ def pack(docs: DataFrame, tokenizer: str, p: Packing = Packing()) -> DataFrame:
     ranked = found.withColumn("row", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece"))).join(before, ["length", "bucket"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("row") - 1).alias("rank"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(lean(lambda it: _place(it, segments)), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(lambda it: _place(it, segments), "pack"), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def in_order(packed: DataFrame, places: DataFrame) -> DataFrame:

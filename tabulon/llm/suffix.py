@@ -43,12 +43,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, free_shuffles, fresh, lean, mix64, odd_inverse, powers, slices, utf8, written
+from .common import drop_written, free_shuffles, fresh, held, lean, mix64, odd_inverse, powers, slices, utf8, written
 
 _BASE = 0xD1342543DE82EF95 | 1
 _INV = odd_inverse(_BASE)
 _BYTE = mix64(np.arange(1001, 1257, dtype=np.uint64))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 @dataclass(frozen=True)
@@ -69,10 +68,10 @@ class Repeats:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(10, n.bit_length())
-    if size not in _POWERS:
-        _POWERS[size] = powers(_BASE, size), powers(_INV, size)
-    return _POWERS[size]
+    known, size = held("repeats"), 1 << max(10, n.bit_length())
+    if size not in known:
+        known[size] = powers(_BASE, size), powers(_INV, size)
+    return known[size]
 
 
 def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -450,16 +449,16 @@ def covered(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     parts = max(64, -(-total // (p.shard_mb << 20)))
     # with few flushes an anchor's task can take more of each: about `hot` runs in all
     many = max(p.hot_here, p.hot * p.flush * 35 // max(1, total))
-    sent = docs.mapInArrow(lean(lambda it: _shard(it, p, parts, many)), _BLOBS).repartition(parts, "part").sortWithinPartitions("part", "kind")
-    met = written(sent.mapInArrow(lean(lambda it: _meet(it, p)), _FOUND), "repeats-runs")
+    sent = docs.mapInArrow(lean(lambda it: _shard(it, p, parts, many), "repeats"), _BLOBS).repartition(parts, "part").sortWithinPartitions("part", "kind")
+    met = written(sent.mapInArrow(lean(lambda it: _meet(it, p), "repeats"), _FOUND), "repeats-runs")
     del sent
     free_shuffles(spark)
     open_runs = met.where("kind > 0")
     size = int(open_runs.agg(F.coalesce(F.sum(F.col("n") + p.length), F.lit(0))).first()[0])
     parts2, tasks2 = max(64, -(-size // p.merge_bytes)), max(64, -(-size // p.task_bytes))
     todo = open_runs.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "dq", "n", "key", "kind")).alias("todo"))
-    texts = docs.join(todo, "doc_id").select("doc_id", "text", "todo").mapInArrow(lean(lambda it: _contexts(it, p, parts2)), _BLOBS)
-    late = written(texts.repartition(tasks2, "part").sortWithinPartitions("part", "kind").mapInArrow(lean(lambda it: _settled(it, p)), _FOUND), "repeats-settled")
+    texts = docs.join(todo, "doc_id").select("doc_id", "text", "todo").mapInArrow(lean(lambda it: _contexts(it, p, parts2), "repeats"), _BLOBS)
+    late = written(texts.repartition(tasks2, "part").sortWithinPartitions("part", "kind").mapInArrow(lean(lambda it: _settled(it, p), "repeats"), _FOUND), "repeats-settled")
     del texts, todo
     free_shuffles(spark)
     return met.where("kind = 0").select("doc_id", "lo", "n").unionByName(late.select("doc_id", "lo", "n"))

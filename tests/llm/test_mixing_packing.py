@@ -168,3 +168,22 @@ def test_pack(spark):
     assert packing.pack(empty(spark), tokenizer_path()).count() == 0
     same = packing.pack(frame(spark, [(1, "a b", None, None, None)] * 3 + [(None, None, None, None, None)]), tokenizer_path()).collect()
     assert len(same) == 4 and len(bins_of(same)) == 1
+
+
+def test_ids_are_those_of_the_whole_encoder():
+    from tokenizers import Tokenizer
+
+    encode, cache = Tokenizer.from_file(tokenizer_path()).encode, packing.IdCache(tokenizer_path(), most=20)
+    odd = "Straße, ÉCOLE! Ἀχιλλεύς ΣΊΣΥΦΟΣ İstanbul ﬁx éa K Å ñandú日本語 한국어 가 don't it's X's 'll a'm ab12cd x_y (foo) foo) bar''  x y\tz\rq\x0bw\x85v <|endoftext|> a<|endoftext|> ªº ʼn ß ẞ ŉ ǰ ΐ Dž ᾳ abc'd''s wörd... é ́a ǅ ſt"
+    for text in [odd, *odd.split(" "), "", " ", "\n\n", odd.upper(), odd.lower()]:
+        want = np.array(encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert cache.ids(text) == want, text
+    assert len(cache) <= 21
+
+
+def test_workers_drop_what_other_stages_held():
+    from tabulon.llm import common
+
+    common.held("a")["x"], common.held("b")["y"] = 1, 2
+    assert list(common.lean(iter, "a")([1, 2])) == [1, 2]
+    assert common.HELD == {"a": {"x": 1}}
