@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
+
 _LOCAL_DEFAULT = "/tmp/tabulon-work"
 #: Work tables that are there: folder name to path.
 _MADE: dict[str, str] = {}
@@ -165,30 +167,12 @@ def frame_bytes(df: DataFrame, column: str) -> int:
     return int(df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0])
 
 
-_SHIPPED: set[str] = set()
-
 #: Rows that hold whole texts go to Python in batches of so many bytes, where the session says nothing else.
 _BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, as a small zip through Spark's own file server; once per application.
-
-    Also bounds Arrow batches by bytes (a session setting), so that long texts don't add up to large batches.
-    """
-    import tempfile
-    import zipfile
-    from pathlib import Path
-
+    """Give executors this package; and bound Arrow batches by bytes (a session setting), so that long texts don't add up to large batches."""
     if spark.conf.get(_BATCH_BYTES[0], None) is None:
         spark.conf.set(*_BATCH_BYTES)
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(target))
-    _SHIPPED.add(app)
+    session.ship(spark)
