@@ -62,40 +62,45 @@ def packed_leftovers(parts: DataFrame, size: int, separator: str = "</s>", text:
 
 def hash_split(df: DataFrame, dev: int, test: int, train: int | None = None, id_column: str = "doc_id", seed: int = 42) -> DataFrame:
     """Adds `split`: dev and test take the first rows of a seeded order, train the rest (or so many)."""
-    from .sampling import hashed
+    from .sampling import hashed, place_by_hash
 
-    order = [hashed(seed, id_column), F.col(id_column)]
-    first = df.select(id_column).orderBy(*order).limit(dev + test + (train or 0))
-    ranked = first.withColumn("_r", F.row_number().over(Window.orderBy(*order)))
-    split = F.when(F.col("_r") <= dev, "dev").when(F.col("_r") <= dev + test, "test").otherwise("train")
-    marked = df.join(ranked.select(id_column, split.alias("split")), id_column, "inner" if train else "left")
-    return marked.withColumn("split", F.coalesce("split", F.lit("train")))
+    ranked = place_by_hash(df, hashed(seed, id_column), [id_column], most=dev + test + (train or 0))
+    split = F.when(F.col("_place") < dev, "dev").when(F.col("_place") < dev + test, "test").otherwise("train")
+    marked = ranked.withColumn("split", split)
+    return (marked.where(F.col("_place") < dev + test + train) if train else marked).drop("_place")
 
 
-def _grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """key, g, h: distinct word n-grams and their hashes. Words are a column of their own: split once, not once an n-gram."""
-    split = df.select(key, words(normalised(F.col(text))).alias("_w"))
-    return split.select(key, F.explode(F.array_distinct(ngrams(F.col("_w"), n))).alias("g")).withColumn("h", F.xxhash64("g"))
+def _prints(df: DataFrame, text: str, n: int, *keep: str) -> DataFrame:
+    """The kept columns, place (from 0), a, b: of each word n-gram two 64-bit hashes of its words' hashes.
+
+    Only hashes are exploded and shuffled, never n-grams, which hold a text n times. Seeds differ, also for the words, so
+    different n-grams agree in both hashes with a probability of about 2^-128 a pair. Words and their hashes are columns
+    of their own: they are worked out once, not once an n-gram.
+    """
+    split = df.select(*keep, words(normalised(F.col(text))).alias("_w"))
+    hashes = split.select(*keep, F.transform("_w", lambda x: F.xxhash64(x)).alias("_a"), F.transform("_w", lambda x: F.xxhash64(F.lit(1), x)).alias("_b"))
+    prints = F.transform(F.sequence(F.lit(1), F.size("_a") - n + 1), lambda i: F.struct(F.xxhash64(F.slice("_a", i, n)).alias("a"), F.xxhash64(F.lit(1), F.slice("_b", i, n)).alias("b")))
+    return hashes.select(*keep, F.posexplode(F.when(F.size("_a") >= n, prints)).alias("place", "_g")).select(*keep, "place", "_g.a", "_g.b")
 
 
 def overlap(docs: DataFrame, items: DataFrame, n: int = 13, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
-    """Distinct (doc_id, item_id) pairs that share a word n-gram: an equi-join on hashes, checked on the n-grams."""
-    a, b = _grams(docs, doc_id, text, n).alias("a"), _grams(items, item_id, text, n).alias("b")
-    return a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.g") == F.col("b.g"))).select(doc_id, item_id).distinct()
+    """Distinct (doc_id, item_id) pairs that share a word n-gram: an equi-join on 128 bits of hashes."""
+    return _prints(docs, text, n, doc_id).join(_prints(items, text, n, item_id).drop("place").distinct(), ["a", "b"]).select(doc_id, item_id).distinct()
 
 
 def contaminant_ngrams(items: DataFrame, n: int = 13, text: str = "text") -> DataFrame:
     return items.select(words(normalised(F.col(text))).alias("_w")).select(F.explode(ngrams(F.col("_w"), n)).alias("ngram")).distinct()
 
 
-def hit_counts(docs: DataFrame, items: DataFrame, n: int = 13, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, hits: how many word n-grams of each document (places, not kinds) occur in the items.
+def _hits(docs: DataFrame, items: DataFrame, n: int, text: str, doc_id: str) -> DataFrame:
+    """doc_id, place: n-grams of the documents that occur in the items."""
+    return _prints(docs, text, n, doc_id).join(_prints(items, text, n).select("a", "b").distinct(), ["a", "b"]).select(doc_id, "place")
 
-    """
-    grams = contaminant_ngrams(items, n, text).select(F.xxhash64("ngram").alias("h"), "ngram")
-    split = docs.select(doc_id, words(normalised(F.col(text))).alias("_w")).select(doc_id, F.explode(ngrams(F.col("_w"), n)).alias("g"))
-    found = split.groupBy(doc_id, "g").agg(F.count(F.lit(1)).alias("k")).withColumn("h", F.xxhash64("g")).join(grams, "h").where(F.col("g") == F.col("ngram"))
-    return docs.select(doc_id).join(found.groupBy(doc_id).agg(F.sum("k").alias("hits")), doc_id, "left").select(doc_id, F.coalesce("hits", F.lit(0)).alias("hits"))
+
+def hit_counts(docs: DataFrame, items: DataFrame, n: int = 13, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, hits: how many word n-grams of each document (places, not kinds) occur in the items."""
+    found = _hits(docs, items, n, text, doc_id).groupBy(doc_id).agg(F.count(F.lit(1)).alias("hits"))
+    return docs.select(doc_id).join(found, doc_id, "left").select(doc_id, F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 def word_spans(text: str, n: int) -> list[tuple[str, int, int]]:
@@ -130,11 +135,13 @@ def clean_parts(text: str, hits: list[tuple[int, int]], window: int = 200, least
 def decontaminated(docs: DataFrame, items: DataFrame, n: int = 13, window: int = 200, least: int = 200, most_hits: int = 10, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, hits, part, text: cleaned parts of each document; documents with too many hits give no part.
 
-    Hits come from a join of n-gram hashes, so no set of n-grams is held by a task; clean documents skip Python's cutting.
+    Hits come from a join of n-gram hashes, so no set of n-grams is held by a task; the n-grams' texts are made
+    for documents with hits only, and clean documents skip Python's cutting.
     """
-    grams = contaminant_ngrams(items, n, text).select(F.xxhash64("ngram").alias("h"), "ngram")
-    tokens = _grams(docs, doc_id, text, n)
-    found = tokens.join(grams, "h").where(F.col("g") == F.col("ngram")).groupBy(doc_id).agg(F.collect_list("g").alias("grams"))
+    found = _hits(docs, items, n, text, doc_id).groupBy(doc_id).agg(F.collect_set("place").alias("_places"))
+    split = docs.select(doc_id, text).join(found, doc_id, "left").withColumn("_w", F.when(F.col("_places").isNotNull(), words(normalised(F.col(text)))))
+    grams = F.transform("_places", lambda i: F.array_join(F.slice("_w", i + 1, F.lit(n)), " "))
+    marked = split.select(doc_id, text, F.when(F.size("_w") >= n, grams).alias("grams"))  # used twice, words stay a column of their own
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -147,7 +154,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, n: int = 13, window: int =
             yield pd.DataFrame(out, columns=[doc_id, "hits", "part", "text"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).join(found, doc_id, "left").mapInPandas(cut, f"{doc_id} {kind}, hits long, part int, text string")
+    return marked.mapInPandas(cut, f"{doc_id} {kind}, hits long, part int, text string")
 
 
 def token_counts(c: Column) -> tuple[Column, Column]:

@@ -26,6 +26,27 @@ def sample_per_group(df: DataFrame, keys: list[str], k: int | Column, *identity:
     return top_per_group(df, keys, k, hashed(seed, *identity), *identity)
 
 
+def place_by_hash(df: DataFrame, h: Column, ties: list[str], most: int, parts: int = 4096) -> DataFrame:
+    """Adds `_place`: the first `most` rows' places (from 0) in the order of a 64-bit hash; null beyond them.
+
+    The hash's range is cut into `parts` equal ones, whose counts (so many numbers) the driver adds up; rows are
+    ranked within a part. So a task ranks about one part of the rows (rows of one hash stay together), and parts beyond `most` none.
+    """
+    part = F.shiftrightunsigned(F.shiftright(h, 1) + F.lit(1 << 62), 63 - (parts.bit_length() - 1)).cast("int")
+    marked = df.withColumn("_h", h).withColumn("_part", part)
+    counts = dict(marked.groupBy("_part").count().collect())
+    starts, upto = [], 0
+    for i in range(parts):
+        starts.append(upto)
+        upto += counts.get(i, 0)
+    last = max((i for i in range(parts) if starts[i] < most), default=-1)
+    start = F.element_at(F.lit(starts[: last + 1] or [0]).cast("array<bigint>"), F.col("_part") + 1)
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_h", *ties))
+    inner, rest = marked.where(F.col("_part") <= last), marked.where(F.col("_part") > last)
+    place = inner.withColumn("_place", start + rank - 1).withColumn("_place", F.when(F.col("_place") < most, F.col("_place")))
+    return place.unionByName(rest.withColumn("_place", F.lit(None).cast("long"))).drop("_h", "_part")
+
+
 def equal_cutoff(questions: DataFrame, cutoff: int | None = None, table: str = "table_id", order: list | None = None) -> DataFrame:
     """The same number of questions from each table, at least one, up to `cutoff` in all; default: the smallest table's count."""
     per = questions.groupBy(table).agg(F.count(F.lit(1)).alias("n"))

@@ -767,6 +767,11 @@ _HITS = f"""(SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, unnest(list_tr
   JOIN (SELECT item_id, unnest(list_transform(range(1, length(w) - 11), lambda i: array_to_string(w[i : i + 12], ' '))) AS g FROM {_GRAMS.replace("<k>", "item_id").replace("<t>", "benchmark")}) USING (g))"""
 
 
+@query("hash_split_sizes", "SELECT CASE WHEN i <= 100 THEN 'dev' WHEN i <= 300 THEN 'test' ELSE 'train' END AS split, count(*) AS n FROM (SELECT row_number() OVER () AS i FROM documents) GROUP BY 1")
+def hash_split_sizes(spark, d):
+    return C.hash_split(table(spark, d, "documents").select("doc_id"), 100, 200).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("ngram_overlap_docs", f"SELECT doc_id, count(*) AS items FROM {_HITS} GROUP BY 1")
 def ngram_overlap_docs(spark, d):
     return C.overlap(table(spark, d, "documents"), table(spark, d, "benchmark")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("items"))

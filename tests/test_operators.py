@@ -75,6 +75,23 @@ def test_splits(spark):
     assert S.limit_share(10, 0.25) == 3 and S.limit_share(10, 4) == 4
 
 
+def test_hash_split_takes_the_first_rows_of_the_order(spark):
+    docs = spark.range(3000).withColumnRenamed("id", "doc_id")
+    order = [r.doc_id for r in docs.orderBy(S.hashed(42, "doc_id"), "doc_id").collect()]
+    kind = {d: "dev" if i < 100 else "test" if i < 300 else "train" for i, d in enumerate(order)}
+    assert {r.doc_id: r.split for r in C.hash_split(docs, 100, 200).collect()} == kind
+    assert {r.doc_id: r.split for r in C.hash_split(docs, 100, 200, 50).collect()} == {d: kind[d] for d in order[:350]}
+    assert C.hash_split(docs.limit(0), 1, 1, 1).count() == 0 and C.hash_split(docs.limit(3), 0, 0).count() == 3
+
+
+def test_overlap_by_hashes(spark):
+    docs = spark.createDataFrame([(1, "A b, c d"), (2, "b c"), (3, None), (4, "x c d e"), (4, "x c d e"), (5, "")], "doc_id int, text string")
+    items = spark.createDataFrame([(7, "c D e"), (7, "c d e"), (8, "a b c"), (9, None)], "item_id int, text string")
+    got = {(r.doc_id, r.item_id) for r in C.overlap(docs, items, 3).collect()}
+    assert got == {(1, 8), (4, 7)} and C.overlap(docs, items, 3).count() == 2
+    assert sorted((r.doc_id, r.hits) for r in C.hit_counts(docs.distinct(), items, 3).collect()) == [(1, 1), (2, 0), (3, 0), (4, 1), (5, 0)]
+
+
 def test_similar_names(spark):
     ship(spark)
     files = spark.createDataFrame([("t", n) for n in ("a_1.parquet", "a-2.parquet", "b_2.parquet", "c_9.parquet", "c 7.parquet")], "topic string, name string")
