@@ -9,9 +9,11 @@ of about `target_bytes`: shards are put together until the target is reached, an
 and written by one task, without a shuffle, whatever the table's size. Shards at half the target or more
 rest. A merge counts rows of what it read and wrote and commits only if they agree.
 
-A commit writes the whole manifest to a temporary file and renames it to the next version's name, which
-fails if another writer was faster; then the commit is tried again on the newer version. Readers open the
-newest version and see all of a commit or nothing. Data files of lost attempts are in no manifest.
+A commit writes its change (shards added and dropped) to a temporary file and renames it to the next version's
+name, which fails if another writer was faster; then the commit is tried again on the newer version. Once the
+changes since the last whole list outnumber the live shards, or after `chain` of them, a version holds the whole
+list, so commits cost about what they change and a reader opens at most `chain` files. Readers open the newest
+version and see all of a commit or nothing. Data files of lost attempts are in no manifest.
 `vacuum` deletes files that only older versions name.
 
 Defined results: nulls, empty texts, repeated rows and columns of any name are stored as they are; an
@@ -45,6 +47,8 @@ class Manifest:
     version: int
     schema: str
     shards: tuple[Shard, ...]
+    since: int = 0  # shards added and dropped since the last whole list
+    links: int = 0  # versions since then
 
 
 @dataclass(frozen=True)
@@ -53,6 +57,7 @@ class Tiers:
     least_bytes: int = 1 << 20
     fanout: int = 4
     groups_a_job: int = 64
+    chain: int = 64
 
     def tier(self, size: int) -> int:
         t, edge = 0, self.least_bytes
@@ -68,6 +73,7 @@ class Conflict(RuntimeError):
 class ShardTable:
     def __init__(self, spark: SparkSession, root: str, tiers: Tiers = Tiers()):
         self.spark, self.root, self.tiers = spark, root.rstrip("/"), tiers
+        self._seen: Manifest | None = None  # the newest version read; versions never change
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._conf = spark._jsc.hadoopConfiguration()
@@ -88,17 +94,40 @@ class ShardTable:
         known = self.versions()
         if not known:
             return None
-        version = known[-1] if version is None else version
+        at = version = known[-1] if version is None else version
+        changes, base = [], None
+        while base is None:
+            if self._seen and self._seen.version == at:
+                base = self._seen
+                break
+            m = self._read(at)
+            if "shards" in m:
+                base = Manifest(at, m["schema"], tuple(Shard(**s) for s in m["shards"]))
+            else:
+                changes.append(m)
+                at -= 1
+        live, since = {s.path: s for s in base.shards}, base.since
+        for m in reversed(changes):
+            for path in m["drop"]:
+                del live[path]
+            live |= {s["path"]: Shard(**s) for s in m["add"]}
+            since += len(m["add"]) + len(m["drop"])
+        out = Manifest(version, changes[0]["schema"] if changes else base.schema, tuple(live.values()), since, base.links + len(changes))
+        if self._seen is None or version > self._seen.version:
+            self._seen = out
+        return out
+
+    def _read(self, version: int) -> dict:
         stream = self._fs.open(self._path(f"{self.root}/manifest/v{version:010d}.json"))
         try:
-            raw = bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+            return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
         finally:
             stream.close()
-        m = json.loads(raw)
-        return Manifest(m["version"], m["schema"], tuple(Shard(**s) for s in m["shards"]))
 
-    def _publish(self, m: Manifest) -> None:
-        text = json.dumps({"version": m.version, "schema": m.schema, "shards": [asdict(s) for s in m.shards]})
+    def _publish(self, m: Manifest, change: dict | None = None) -> None:
+        """Version m as a change to the one before, or whole."""
+        held = change if change is not None else {"shards": [asdict(s) for s in m.shards]}
+        text = json.dumps({"version": m.version, "schema": m.schema, **held})
         temporary = self._path(f"{self.root}/manifest/.tmp-{uuid.uuid4().hex}")
         out = self._fs.create(temporary, False)
         try:
@@ -121,9 +150,13 @@ class ShardTable:
             live = old.shards if old else ()
             if drop - {s.path for s in live}:
                 raise Conflict("shards to be replaced are no longer live")
-            new = Manifest((old.version if old else 0) + 1, old.schema if old else schema or "", (*(s for s in live if s.path not in drop), *add))
+            version, schema = (old.version if old else 0) + 1, old.schema if old else schema or ""
+            shards = (*(s for s in live if s.path not in drop), *add)
+            since, links = (old.since + len(add) + len(drop), old.links + 1) if old else (0, 0)
+            whole = old is None or since >= max(len(live), 1) or links >= self.tiers.chain
+            new = Manifest(version, schema, shards) if whole else Manifest(version, schema, shards, since, links)
             try:
-                self._publish(new)
+                self._publish(new, None if whole else {"add": [asdict(s) for s in add], "drop": sorted(drop)})
                 return new
             except Conflict:
                 continue

@@ -400,6 +400,26 @@ def test_arrivals_of_any_name(spark, monkeypatch):
     assert t.load().version == version
 
 
+@pytest.mark.parametrize("chain", [1, 4, 1000])
+def test_manifests_of_changes_add_up(spark, chain):
+    """Every version, read by a fresh reader or one that follows, holds what plain lists would; changes are small."""
+    root, rng = new_path(spark, "shards-changes"), random.Random(chain)
+    writer, follower, live, want = ShardTable(spark, root, Tiers(chain=chain)), ShardTable(spark, root), {}, {}
+    for i in range(1, 31):
+        drop = set(rng.sample(sorted(live), min(len(live), rng.choice((0, 0, 0, 2)))))
+        add = [Shard(f"data/{i}/part-{k}", k, i, 0) for k in range(rng.choice((0, 1, 1, 3)))]
+        assert writer.commit(add, drop, schema="s").version == i
+        live = {p: x for p, x in live.items() if p not in drop} | {x.path: x for x in add}
+        want[i] = tuple(live.values())
+        if i % 7 == 0:
+            assert follower.load().shards == want[i]
+    fresh = ShardTable(spark, root)
+    assert all(fresh.load(i).shards == want[i] for i in (30, *range(1, 31)))
+    assert all(ShardTable(spark, root).load(i).shards == want[i] for i in (1, 2, 17, 29))
+    kinds = ["shards" in fresh._read(i) for i in range(1, 31)]
+    assert kinds[0] and all(any(kinds[max(0, i - chain) : i + 1]) for i in range(30)) and (chain == 1) == all(kinds)
+
+
 def test_tiers():
     t = Tiers(target_bytes=64, least_bytes=1, fanout=4)
     assert [t.tier(s) for s in (0, 1, 3, 4, 15, 16, 63, 64, 1000)] == [0, 1, 1, 2, 2, 3, 3, 3, 3]
