@@ -1,6 +1,7 @@
 """Normalisation, sampling, metrics, reports, texts, sources and streaming on small fixtures."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +134,21 @@ def test_bleu_differs(spark):
     assert M.translation_edit_rate(df, "p", "r").first()[0] == pytest.approx(100 / 11)
 
 
+def test_word_edits():
+    def plain(a, b):
+        table = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                table[i][j] = min(table[i - 1][j] + 1, table[i][j - 1] + 1, table[i - 1][j - 1] + (x != y))
+        return table[-1][-1]
+
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = (rng.choices("abcd", k=rng.randrange(12)) for _ in "ab")
+        assert M.word_error_edits(" ".join(a), " ".join(b)) == plain(a, b)
+    assert M.word_error_edits(None, "a b") == 2 and M.word_error_edits("a", None) == 1 and M.word_error_edits(None, None) == 0
+
+
 def test_rollup(spark):
     s = spark.createDataFrame([("g", "a", 1.0), ("g", "a", 0.0), ("g", "b", 1.0), ("g", "b", 1.0), ("g", "b", 0.0)], "g string, t string, v double")
     got = M.roll_up(M.by_task(s, ["g", "t"], "v"), ["g"]).first()
