@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..work import written
 from .sampling import hashed
 
 # --- few-shot examples ---
@@ -108,27 +109,48 @@ def with_constants(df: DataFrame, **values) -> DataFrame:
     return df.withColumns({k: F.lit(v) for k, v in values.items()})
 
 
-def beside(df: DataFrame, other: DataFrame, order: list[str], other_order: list[str]) -> DataFrame:
-    """`other`'s columns beside `df`'s, row by row in the given orders; the shorter one is filled with nulls.
-
-    Places are counted by range: partitions of a sorted frame, their sizes before each, so no task sorts all rows.
-    """
-    return placed(df, order).join(placed(other, other_order), "_place", "full").drop("_place")
+def beside(df: DataFrame, other: DataFrame, order: list, other_order: list) -> DataFrame:
+    """`other`'s columns beside `df`'s, row by row in the given orders; the shorter one is filled with nulls."""
+    at = unused("place", df, other)
+    return placed(df, order, at).join(placed(other, other_order, at), at, "full").drop(at)
 
 
-def placed(df: DataFrame, order: list[str], name: str = "_place") -> DataFrame:
-    """Adds the row's place (from 0) in a total order: sorted ranges, and the number of rows in the ranges before.
+def unused(name: str, *dfs: DataFrame) -> str:
+    """`name`, with underscores put before it until no column has it (in any case)."""
+    taken = {c.lower() for df in dfs for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
-    `order` has to tell rows apart: ties are placed either way, but may then differ between two runs of the plan.
-    """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")  # a row for each range
-    return ranged.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_part", "_before")
 
+def placed(df: DataFrame, order: list, name: str = "_place", by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the row's place (from 0) in the whole table's order, or among the rows of its group `by`.
 
-def reordered(df: DataFrame, *order, place: str = "original_place", original: list[str]) -> DataFrame:
+    The sorted ranges are written once to the shared folder, a file each, so the bounds between them are
+    frozen: a row's place is its number in its file and the rows of the files before. No task sorts all
+    rows, and stages that run again find the same files. Rows that tie in `order` are told apart by a hash
+    of their columns, which also deals a frequent key to many ranges; rows equal in all columns stay
+    together. Nulls come first, as Spark sorts. An empty table stays empty; columns that Parquet can't
+    hold are refused by the writer.
+    """
+    keys = [F.col(c) if isinstance(c, str) else c for c in (*by, *order)]
+    hashed_types = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    keys.append(F.xxhash64(*hashed_types))
+    frozen = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys), "places")
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)-", 1).cast("long")
+    part, row, before = (unused(c, df) for c in ("part", "row", "before"))
+    rows = frozen.select("*", number.alias(part), F.col("_metadata.row_index").alias(row))
+    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n"))  # a row for each range
+    starts = sizes.select(part, (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias(before))
+    out = rows.join(F.broadcast(starts), part).withColumn(name, F.col(before) + F.col(row)).drop(part, row, before)
+    if not by:
+        return out
+    firsts = out.groupBy(*by).agg(F.min(name).alias(before)).select(*(F.col(c).alias(unused(f"of_{c}", df)) for c in by), before)
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(unused(f"of_{c}", df))) for c in by))
+    return out.join(firsts, same).withColumn(name, F.col(name) - F.col(before)).select(*df.columns, name)
+
+
+def reordered(df: DataFrame, *order, place: str = "original_place", original: list) -> DataFrame:
     """Rows by `order`, each with its place in the `original` order, so that `restored` can go back."""
     return placed(df, original, place).orderBy(*order)
 

@@ -963,20 +963,26 @@ def nested_first(spark, d):
     return df.select("l_orderkey", "l_linenumber", records.first_item(df, "x").alias("head"), records.as_texts(df, "y")[0][0].alias("line"))
 
 
-@query("rows_beside", "SELECT a.event_id, b.o_orderkey FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS r FROM events) a FULL JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) AS r FROM orders) b USING (r)")
+@query("rows_beside", "SELECT a.* EXCLUDE (r), b.* EXCLUDE (r) FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS r FROM events) a FULL JOIN (SELECT *, row_number() OVER (ORDER BY o_orderkey DESC) AS r FROM orders) b USING (r)")
 def rows_beside(spark, d):
     from .operators import records
 
-    orders = table(spark, d, "orders").select("o_orderkey", (-F.col("o_orderkey")).alias("down"))
-    return records.beside(table(spark, d, "events").select("event_id"), orders, ["event_id"], ["down"]).drop("down")
+    return records.beside(table(spark, d, "events"), table(spark, d, "orders"), ["event_id"], [F.desc("o_orderkey")])
 
 
-@query("restored_order", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents")
+@query("restored_order", "SELECT doc_id, sha256(text) AS text_sha256, lang, source, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents")
 def restored_order(spark, d):
     from .operators import records
 
-    docs = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"))
-    return records.reordered(docs, F.desc("n"), place="place", original=["doc_id"]).select("doc_id", "place")
+    back = records.reordered(table(spark, d, "documents"), F.desc("n_chars"), place="place", original=["doc_id"])
+    return back.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "lang", "source", "n_chars", "place")
+
+
+@query("turn_places", "SELECT conv_id, turn, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS place FROM conversations")
+def turn_places(spark, d):
+    from .operators import records
+
+    return records.placed(table(spark, d, "conversations"), ["conv_id", "turn"], "place", by=("role",)).select("conv_id", "turn", "place")
 
 
 @query("path_rewrite", "SELECT page_id, CASE WHEN url LIKE 'https://%' THEN 's3:' || substr(url, 9) WHEN url LIKE 'http%' THEN 'x' || substr(url, 5) ELSE url END AS url FROM pages")

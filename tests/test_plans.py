@@ -182,8 +182,6 @@ def test_records(spark, tmp_path):
         records.joined_texts([], "-")
     assert records.discarded(spark.range(10_000), 1000, 2.0, "id").count() in range(1800, 2200) and records.discarded(spark.range(10), 100, 2.0, "id").count() == 10
     assert records.pass_through(pool) is pool
-    places = records.placed(spark.range(1000).repartition(7), ["id"]).where("id <> _place").count()
-    assert places == 0
     (tmp_path / "a.jsonl").write_text('{"text": "one", "meta": {"k": 1}}\n"two"\n')
     (tmp_path / "z").mkdir()
     (tmp_path / "z" / "b.jsonl.zst").write_bytes(zstandard.compress(b'{"text": "a"}\n"b"\n') + zstandard.compress(b'{"text": "c"}'))
@@ -191,3 +189,33 @@ def test_records(spark, tmp_path):
     assert {(r.text, r.meta) for r in I.read_archive(spark, str(tmp_path / "a.jsonl")).collect()} == {("one", '{"k":1}'), ("two", None)}
     assert sorted(r.text for r in I.read_archive(spark, str(tmp_path / "z")).collect()) == ["a", "b", "c"]
     assert I.read_archive(spark, str(tmp_path / "z" / "more")).count() == 9
+
+
+def test_places_over_whole_tables(spark):
+    from tabulon.operators import records
+
+    wide = spark.range(300_000).repartition(7).selectExpr("(id * 7919) % 300000 AS id", "repeat(md5(CAST(id AS STRING)), 3) AS text", "id % 3 AS g")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for n, adaptive in ((8, "true"), (60, "true"), (16, "false")):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            out = records.placed(wide, ["id"])
+            assert out.columns == ["id", "text", "g", "_place"]
+            got = out.agg(F.count("*"), F.sum((F.col("id") != F.col("_place")).cast("int")), F.sum(F.length("text"))).first()
+            assert tuple(got) == (300_000, 0, 300_000 * 96)
+            assert out.select("_place").agg(F.sum((F.col("_place") >= 0).cast("int"))).first()[0] == 300_000  # pruned to one column
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    inside = records.placed(wide, [F.desc("id")], "at", by=("g",))
+    assert inside.where("at <> (299999 - id) div 3 AND g = 2").count() < 300_000 and inside.groupBy("g").agg(F.min("at").alias("a"), F.max("at").alias("z"), F.count_distinct("at").alias("n")).where("a <> 0 OR z <> n - 1 OR n <> 100000").isEmpty()
+    rows = [(1, None, "x"), (None, 2, "x"), (1, None, "x"), (1, 3, "_place")]
+    tied = spark.createDataFrame(rows, "a int, b int, part string")
+    assert sorted(r._place for r in records.placed(tied, ["a"]).collect()) == [0, 1, 2, 3]
+    assert [r.part for r in records.placed(tied, ["a", "b"]).orderBy("_place").collect()] == ["x", "x", "x", "_place"]
+    assert records.placed(tied.where("a > 5"), ["a"]).count() == 0
+    longer = spark.range(1000).selectExpr("id AS k", "repeat('y', 50) AS place")
+    side = records.beside(wide.where("id < 500"), longer, ["id"], ["k"])
+    assert side.columns == ["id", "text", "g", "k", "place"] and side.count() == 1000 and side.where("id <> k").count() == 0 and side.where("id IS NULL").count() == 500
+    assert records.restored(records.reordered(longer.limit(50), F.desc("k"), original=["k"])).columns == ["k", "place"]
