@@ -13,9 +13,10 @@ A leaf is searched in blocks of at most `block_rows` vectors, so a leaf that hol
 (distance, id), so ties and repeated vectors are exact. Distances are sums of squared differences in
 double precision on the original values.
 
-Defined results: vectors that are null, zero, hold null or non-finite components, or differ in length
-from the one of least id take no part; neither do rows of null id. A query has all candidates if fewer
-than k. An empty table gives an empty result; ids are expected once, of repeated rows each is a
+Defined results: vectors that are null, zero or hold null or non-finite components take no part; neither
+do rows of null id. Distances are between vectors of one length: each length that occurs is searched with a
+tree of its own, so a query's candidates are the vectors as long as itself. A query has all candidates if
+fewer than k. An empty table gives an empty result; ids are expected once, of repeated rows each is a
 candidate but never the query's own id. Only the id and the vector column are read.
 """
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -133,12 +135,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """(vec_id, v): finite, not zero, of the length of the row of least id."""
+    """(vec_id, v): finite, not zero."""
     v = F.col(vector).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0))
-    width = rows.agg(F.min_by(F.size("v"), "vec_id")).first()[0]
-    return rows.where(F.size("v") == F.lit(width if width is not None else -1))
+    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v"))
+    return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0))
+
+
+def lengths(rows: DataFrame, is_query, most: int = 100) -> list[int]:
+    """Lengths of the queries' vectors, ascending; a table whose queries have more than `most` different ones is refused."""
+    found = [r[0] for r in rows.where(is_query).select(F.size("v")).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"queries of more than {most} different lengths")
+    return sorted(found)
 
 
 def _assign(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[pa.RecordBatch]:
@@ -205,6 +214,12 @@ def calibrated(rows: DataFrame, queries: DataFrame, tree: Tree, p: Search) -> tu
 def nearest_neighbours(vectors: DataFrame, is_query, id_column: str = "vec_id", vector: str = "embedding", p: Search = Search()) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest; `is_query`: a condition on `vec_id`."""
     rows = usable(vectors, id_column, vector)
+    found = [_neighbours(rows.where(F.size("v") == n), is_query, p) for n in lengths(rows, is_query)]
+    return reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _neighbours(rows: DataFrame, is_query, p: Search) -> DataFrame:
+    """Neighbours among vectors of one length."""
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(p.sample_rows).collect()
     tree = Tree(np.array([r[0] for r in sample]), p)
     placed = written(rows.mapInArrow(lambda it: _assign(it, tree), "vec_id long, v array<double>, leaf long"), "knn-leaves")
@@ -239,6 +254,8 @@ class Report:
 def recall_report(vectors: DataFrame, is_query, id_column: str = "vec_id", vector: str = "embedding", p: Search = Search(), most_queries: int = 40) -> Report:
     """Recall against brute force, and the share of all rows that a query reads, over up to `most_queries` queries beyond the calibrating ones."""
     rows = usable(vectors, id_column, vector)
+    width = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()  # the most frequent length
+    rows = rows.where(F.size("v") == (width["n"] if width else 0))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(p.sample_rows).collect()
     tree = Tree(np.array([r[0] for r in sample]), p)
     placed = written(rows.mapInArrow(lambda it: _assign(it, tree), "vec_id long, v array<double>, leaf long"), "knn-leaves")

@@ -13,8 +13,8 @@ Method
     4. Links give components (min-label propagation with pointer jumping). In buckets that then hold
        several, members outside the leading component are compared with the bucket's other members, in
        blocks, on finer signatures. Of the likely pairs across components each member's best one for a
-       component is confirmed, for a few rounds, and at last all that are left. So no linked pair that
-       shares a bucket is missed, and no group is expanded into all its pairs.
+       component is confirmed, for a few rounds; if some then have others, all likely pairs that are left.
+       So no likely pair across components of a bucket stays untested.
 
 A pair at the threshold 0.75 shares none of 32 bands of 3 rows with probability (1 - 0.75 ** 3) ** 32
 = 2.4e-8, and is refused by the estimate with probability below 1e-7.
@@ -374,22 +374,28 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     free_shuffles(spark)
     links = _links(sets, pairs, p, "neardup-links")
     tested, labels = pairs, components(links)
-    # likely pairs across components of a bucket: a member's best ones, for a few rounds; what then is left, whole
-    for turn in range(p.rounds + 1):
-        every = turn == p.rounds
+    # likely pairs across components of a bucket: a member's best ones, for a few rounds; what then is left, whole.
+    # `more` is read before tested pairs go: a member whose best one was refused may still have others.
+    turn, every = 0, p.rounds == 0
+    while True:
         likely = _blocks(_open(still, labels), sets, p).mapInArrow(lean(lambda it, every=every: _cross(it, p, every)), "a long, b long, more boolean")
-        likely = written(likely.groupBy("a", "b").agg(F.max("more").alias("more")).join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "neardup-likely")
+        likely = written(likely.groupBy("a", "b").agg(F.max("more").alias("more")), "neardup-likely")
+        more = likely.agg(F.max("more")).first()[0]
+        new = written(likely.select("a", "b").join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "neardup-new")
         free_shuffles(spark)
-        n, more = likely.agg(F.count(F.lit(1)), F.max("more")).first()
-        if n:
-            found = _links(sets, likely, p, "neardup-links")
+        none = new.isEmpty()
+        if not none:
+            found = _links(sets, new, p, "neardup-links")
             if not found.isEmpty():
                 links = links.unionByName(found)
                 labels = components(links)
-            tested = tested.unionByName(likely.select("a", "b"))
-        if not more:
+            tested = tested.unionByName(new)
+        drop_written(likely)
+        if every or not more:
             break
-    drop_written(members, stars, pairs, still, sets, links, tested, likely)
+        turn += 1
+        every = none or turn >= p.rounds
+    drop_written(members, stars, pairs, still, sets, links, tested)
     classes = reps.join(labels.select(F.col("doc_id").alias("class_id"), F.col("component").alias("component_id")), "class_id", "left").select("d0", "d1", "n_shingles", F.coalesce("component_id", "class_id").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles", "d0", "d1").join(classes.hint("merge"), ["d0", "d1", "n_shingles"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -54,7 +54,8 @@ class IdCache(dict):
     """Chunk of text to its ids (little-endian 32-bit), two generations of at most `most` chunks.
 
     The pre-tokenizer ends a token where letters meet ASCII punctuation, so a word and the marks after it
-    are looked up apart. A word of lower-case letters in composed form is one pre-token that the
+    are looked up apart if the word still ends in a letter when the normaliser has composed and lower-cased
+    it (a capital dotted I doesn't). A word of lower-case letters in composed form is one pre-token that the
     normaliser leaves as it is: it goes to the BPE model at once, as byte-level characters. All other
     chunks take the whole encoder.
     """
@@ -78,7 +79,7 @@ class IdCache(dict):
                     ids = struct.pack(f"<{len(ids)}I", *ids)
                 elif (low := chunk.lower()) != chunk and low.isalpha() and "Σ" not in chunk:
                     ids = self[low]
-            elif (body := chunk.rstrip(string.punctuation)) != chunk and body.isalpha():
+            elif (body := chunk.rstrip(string.punctuation)) != chunk and body.isalpha() and (body.isascii() or unicodedata.normalize("NFC", body).lower()[-1].isalpha()):
                 ids = self[body] + self[chunk[len(body) :]]
             if ids is None:
                 ids = np.array(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()

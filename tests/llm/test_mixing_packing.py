@@ -181,6 +181,20 @@ def test_ids_are_those_of_the_whole_encoder():
     assert len(cache) <= 21
 
 
+def test_ids_of_random_texts_of_all_scripts():
+    import random
+
+    tokenizer, cache = Tokenizer.from_file(tokenizer_path()), packing.IdCache(tokenizer_path())
+    rng = random.Random(5)
+    likely = "abcXYZ .,'!?-\"\n\t0127ÉéßẞİıŞşǅΣσςά\u0308ñйЙжԱ中文カ\uff9f한국नमस्तेกำا\u0958𝔸𐐀ﬁ’“…«₂½Ⅳ\u0338\u0301\u200b\u3000😀"
+    every = [chr(i) for i in range(1, 0x30000) if not 0xD800 <= i < 0xE000]
+    letters = [c for c in every if c.isalpha()]
+    texts = [t for c in letters for t in (c + ".", "A" + c + "),")]
+    texts += ["".join(rng.choice(every if rng.random() < 0.2 else likely) for _ in range(rng.randint(1, 12))) for _ in range(40_000)]
+    wrong = [t for t, e in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True) if np.frombuffer(cache.ids(t), "<u4").tolist() != e.ids]
+    assert wrong == [] and len(cache.ids("İSTANBUL BELEDİYESİ, 2020")) == 4 * 16
+
+
 def test_workers_drop_what_other_stages_held():
     from tabulon.llm import common
 

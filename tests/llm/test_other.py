@@ -449,3 +449,17 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in seen["mixing_sources"]} == {r.doc_id for r in seen["suffix_array_dedup"]} == {r.doc_id for r in seen["minhash_near_dedup"]}
     assert {r.doc_id for r in seen["best_fit_packing"]} == {r.doc_id for r in seen["mixing_sources"]}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["best_fit_packing"])
+
+
+def test_search_among_vectors_of_one_length(spark):
+    ship(spark)
+    rng = np.random.default_rng(4)
+    rows = [(0, [1.0, 2.0, 3.0]), *((i, [float(v) for v in rng.normal(size=2)]) for i in range(1, 60)), (100, [1.0, 2.0, 4.0]), (101, [0.0, 2.0, 3.0]), (200, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    by = {}
+    for r in kmtree.nearest_neighbours(df, F.col("vec_id") % 50 == 0).collect():
+        by.setdefault(r.query_id, []).append(r.vec_id)
+    assert sorted(by) == [0, 50, 100] and by[0] == [100, 101] and by[100] == [0, 101] and len(by[50]) == 10
+    assert kmtree.recall_report(df, "vec_id > 0").recall >= 0.9
+    with pytest.raises(ValueError):
+        kmtree.lengths(spark.createDataFrame([(i, [1.0] * (i + 1)) for i in range(5)], "vec_id long, v array<double>"), "vec_id >= 0", most=4)

@@ -169,6 +169,28 @@ def test_near_duplicates_of_a_third_of_all_texts(spark, p):
     assert links > 2000 and got == want
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_near_duplicates_whose_best_partner_is_refused(spark, rounds):
+    """u is linked with w alone (0.7598), while w's near copies are all but linked with u (0.7487) and may look likelier."""
+    ship(spark)
+    rng, rows = random.Random(31), []
+    for g in range(40):
+        w = [f"g{g}w{i}-{rng.randrange(10**9)}" for i in range(700)]
+        at = list(range(10, 690, 10))
+        rng.shuffle(at)
+        u = w.copy()
+        for i in at[:19]:
+            u[i] += "u"
+        rows += [(10 * g, " ".join(u), "en", "s", 0), (10 * g + 1, " ".join(w), "en", "s", 0)]
+        for k in range(4):
+            x = w.copy()
+            x[at[30 + k]] += "x"
+            rows.append((10 * g + 2 + k, " ".join(x), "en", "s", 0))
+    want, _ = components(rows)
+    got = {r[0]: tuple(r)[1:] for r in minhash.near_duplicates(frame(spark, rows).repartition(4), minhash.NearDup(rounds=rounds)).collect()}
+    assert got == want and len({c for _, c, _ in got.values()}) == 40
+
+
 def test_near_duplicates_edges(spark):
     ship(spark)
     assert minhash.near_duplicates(empty(spark)).collect() == []
