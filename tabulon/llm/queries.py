@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import veccodes
 from .common import ship
 
 
@@ -93,6 +94,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "arrival", "lang", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .veccodes import vector_codes
+
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_mixing_sources": op2_mixing_sources,
@@ -104,6 +111,7 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_sharding": op10_sharding,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -112,4 +120,5 @@ ORACLE_SQL: dict[str, str] = {
                CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256
         FROM documents
     """,
+    "op13_vector_codes": veccodes.SQL,
 }
