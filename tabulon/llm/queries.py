@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import veccodes
+from . import prefixtrie, veccodes
 from .common import ship
 
 
@@ -94,6 +94,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "arrival", "lang", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefixtrie import prefix_trie
+
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .veccodes import vector_codes
 
@@ -111,6 +117,7 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_sharding": op10_sharding,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -120,5 +127,6 @@ ORACLE_SQL: dict[str, str] = {
                CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256
         FROM documents
     """,
+    "op11_prefix_trie": prefixtrie.SQL,
     "op13_vector_codes": veccodes.SQL,
 }
