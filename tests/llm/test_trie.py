@@ -61,7 +61,7 @@ def corpus(seed, n=70, long=12):
 PARAMS = [prefixtrie.Trie(), prefixtrie.Trie(local_rows=3, id_block=2), prefixtrie.Trie(segment=3, local_rows=2, id_block=2, few=0), prefixtrie.Trie(segment=2, local_rows=1)]
 
 
-@pytest.mark.parametrize(("seed", "p"), enumerate(PARAMS))
+@pytest.mark.parametrize(("seed", "p"), list(enumerate(PARAMS)))
 def test_trie(spark, seed, p):
     ship(spark)
     rows = corpus(seed)
@@ -75,7 +75,7 @@ def test_hot_conversation_and_copies(spark):
     """One conversation holds a third of all turns; a third of the conversations are equal."""
     ship(spark)
     rows = [(700, t, "user", f"t{t % 7}") for t in range(120)] + [(700 + 5, t, "user", f"t{t % 7}") for t in range(90)]
-    rows += [(c * 100, t, "user", f"same {t}") for c in range(40) for t in range(3)] + [(10_001 + c * 100, 9, "user", f"only {c}") for c in range(20)]
+    rows += [(c * 100, t, "user", f"same {t}") for c in range(20, 60) for t in range(3)] + [(10_001 + c * 100, 9, "user", f"only {c}") for c in range(20)]
     df = spark.createDataFrame(rows, SCHEMA)
     assert nodes(df, prefixtrie.Trie(segment=16, local_rows=8, id_block=700)) == brute(rows)
 
