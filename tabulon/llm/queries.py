@@ -100,6 +100,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bytecnn import languages
+
+    return languages(_table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .veccodes import vector_codes
 
@@ -118,6 +124,7 @@ QUERIES = {
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_sharding": op10_sharding,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_language_id": op12_language_id,
     "op13_vector_codes": op13_vector_codes,
 }
 
