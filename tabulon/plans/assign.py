@@ -1,17 +1,18 @@
 """Template variables bound to columns and values: sets of bindings, rendering, whole datasets.
 
-catalog(table_id, col_id, name, type): one row a column. Bindings are self-joins of a table's columns with
-unequal ids (a table has few columns; the join key is the table), sampled by seeded hashes.
+catalog(table_id, col_id, name, type): one row a column. `bindings` lists all permutations of a table's columns;
+`drawn` and `assignments` take a sample of them without listing any.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.sampling import sample_per_group, sampled_values
+from ..operators.sampling import sampled_values
+from ..work import written
 from .ast import Template, variables
 from .templates import phrasings, template_hash
 
@@ -33,26 +34,91 @@ def columns_of(t: Template) -> dict[str, tuple[str, ...]]:
     return {v: x.types for v, x in t.types.items() if x.kind == "column"}
 
 
+#: Spaces of more assignments than this are drawn from with independent digits.
+_LARGEST = 1 << 62
+
+
+def _shift(way: str, c: Column, bits: Column) -> Column:
+    return F.call_function(f"shift{way}", c, bits)
+
+
+def _permuted(j: Column, bits: Column, *salt: Column) -> Column:
+    """A permutation of the numbers below 4 ** bits: four rounds that swap halves and mix one with a hash of the other."""
+    mask = _shift("left", F.lit(1).cast("long"), bits) - 1
+    start = F.struct(_shift("right", j, bits).alias("l"), j.bitwiseAND(mask).alias("r"))
+    step = lambda s, i: F.struct(s["r"].alias("l"), s["l"].bitwiseXOR(F.xxhash64(*salt, i, s["r"]).bitwiseAND(mask)).alias("r"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(4)), start, step, lambda s: _shift("left", s["l"], bits).bitwiseOR(s["r"]))
+
+
+def drawn(catalog: DataFrame, wanted: dict[str, tuple[str, ...]], most: int, pools: DataFrame | None = None, values: tuple[str, ...] = (), on: str | None = None, seed: int = 0, first: int = 4) -> DataFrame:
+    """At most `most` different assignments of each table, drawn without listing them all.
+
+    An assignment is a number: its digits are a column of each variable's allowed ones and a value of the pool of the
+    column that `on` has. pools(table_id, name, values). A table's numbers come in the order of a pseudo-random
+    permutation, so all are equally likely and none comes twice; those that give one column to two variables, or a value
+    beyond its pool, are passed over. Tables that then have too few get four times as many draws, until all
+    of their numbers have been tried: a small table gets all its assignments. A table's columns and its draws are arrays in its row.
+    """
+    of = reduce(lambda x, y: x.join(y, "table_id"), (catalog.where(F.col("type").isin(*types)).groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("col_id", "name"))).alias(f"_{v}")) for v, types in wanted.items()))
+    radix = [F.size(f"_{v}").cast("long") for v in wanted] + [F.lit(most).cast("long")] * len(values)
+    total = reduce(lambda x, n: x * n.cast("double"), radix, F.lit(1.0))
+    bits = F.ceil(F.log2(F.least(total, F.lit(float(_LARGEST)))) / 2).cast("int")
+    spaces = written(of.withColumns({"_total": total, "_bits": F.greatest(bits, F.lit(1))}), "assign-spaces")
+    names, narrow = list(wanted), F.col("_total") < float(_LARGEST)
+
+    def digit(k: int, index: Column) -> Column:
+        """Of the number's digits in the mixed base `radix` the k-th; of a space that is too large a hash."""
+        stride = reduce(lambda x, n: x * n, radix[:k], F.lit(1).cast("long"))
+        v = [*wanted, *values][k]
+        return F.when(narrow, F.call_function("div", index, stride) % radix[k]).otherwise(F.pmod(F.xxhash64(F.lit(seed), F.lit(v), "table_id", index), radix[k])).cast("int")
+
+    def one(x: Column) -> Column:
+        """The columns that a number stands for, and its digits for values."""
+        at = [F.get(f"_{v}", digit(k, x["i"])) for k, v in enumerate(names)]
+        return F.struct(x["j"].alias("_j"), *(c for v, y in zip(names, at, strict=True) for c in (y["col_id"].alias(f"{v}_id"), y["name"].alias(v))), *(digit(len(names) + k, x["i"]).alias(f"_d{v}") for k, v in enumerate(values)))
+
+    def apart(x: Column) -> Column:
+        return reduce(lambda p, q: p & q, (x[f"{v}_id"] != x[f"{w}_id"] for i, v in enumerate(names) for w in names[:i]), F.lit(True))
+
+    found, start, size = [], 0, first * most
+    short = spaces.select("table_id", F.lit(most).alias("_need"))
+    keep = ["table_id", *(x for v in names for x in (f"{v}_id", v)), *values]
+    while True:
+        span = F.least(F.lit(start + size).cast("long"), F.when(narrow, _shift("left", F.lit(1).cast("long"), 2 * F.col("_bits"))).otherwise(F.lit(_LARGEST)))
+        index = lambda j: F.when(narrow, _permuted(j, F.col("_bits"), F.lit(seed), F.col("table_id"))).otherwise(j)
+        numbers = F.filter(F.transform(F.sequence(F.lit(start).cast("long"), span - 1), lambda j: F.struct(j.alias("j"), index(j).alias("i"))), lambda x: ~narrow | (x["i"] < F.col("_total")))
+        row = spaces.join(short, "table_id").where(span > start).select("table_id", "_need", F.explode(F.filter(F.transform(numbers, one), apart)).alias("_a")).select("table_id", "_need", "_a.*")
+        if values:
+            row = row.join(pools.select("table_id", F.col("name").alias(on), F.slice("values", 1, most).alias("_pool")), ["table_id", on])
+            row = row.select("*", *(F.get("_pool", F.col(f"_d{v}")).alias(v) for v in values)).where(reduce(lambda x, y: x & y, (F.col(f"_d{v}") < F.size("_pool") for v in values)))
+            if {"low_val", "high_val"} <= set(values):  # bounds in order; their exchange is another number
+                low, high = F.col("low_val").try_cast("double"), F.col("high_val").try_cast("double")
+                row = row.where(~F.coalesce(low > high, F.lit(False)))
+        ranked = row.withColumn("_r", F.row_number().over(Window.partitionBy("table_id").orderBy("_j"))).where(F.col("_r") <= F.col("_need"))
+        got = written(ranked.select(*keep, "_need"), "assign-drawn")
+        found.append(got.select(*keep))
+        have = got.groupBy("table_id").agg(F.count(F.lit(1)).alias("_have"))
+        left = short.join(have, "table_id", "left").select("table_id", (F.col("_need") - F.coalesce("_have", F.lit(0))).cast("int").alias("_need")).where("_need > 0")
+        more = spaces.where(span == start + size).select("table_id")  # tables with numbers that weren't tried
+        short = written(left.join(more, "table_id", "left_semi"), "assign-short")
+        start, size = start + size, 3 * (start + size)
+        if short.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+
+
 def assignments(catalog: DataFrame, values: DataFrame, t: Template, most: int = 10, most_length: int = 256, strategy: str = "random", seed: int = 0) -> DataFrame:
     """Bindings of a template with sampled condition values: at most `most` of each table, all distinct.
 
-    values(table, name, row_id, value, number) holds the cells that values are drawn from.
+    values(table, name, row_id, value, number) holds the cells that values are drawn from. Nothing is enumerated (see `drawn`).
     """
-    bound = bindings(catalog, columns_of(t))
     names = list(columns_of(t))
-    vals = [v for v, x in t.types.items() if x.kind == "value"]
-    if vals:
-        pool = sampled_values(values, most, strategy, seed=seed).select(F.col("table").alias("table_id"), F.col("name").alias("_on"), F.explode("values").alias("_value"))
-        pool = pool.where(F.length("_value") <= most_length)
-        on = "condition_col" if "condition_col" in names else names[-1]
-        for v in vals:
-            bound = bound.join(pool.select("table_id", F.col("_on").alias(on), F.col("_value").alias(v)), ["table_id", on])
-        if {"low_val", "high_val"} <= set(vals):  # bounds in order
-            a, b = F.col("low_val"), F.col("high_val")
-            swap = a.try_cast("double") > b.try_cast("double")
-            bound = bound.withColumns({"low_val": F.when(swap, b).otherwise(a), "high_val": F.when(swap, a).otherwise(b)})
-    keep = ["table_id", *(f"{n}_id" for n in names), *names, *vals]
-    return sample_per_group(bound.select(*keep).distinct(), ["table_id"], most, *keep, seed=seed)
+    vals = tuple(v for v, x in t.types.items() if x.kind == "value")
+    if not vals:
+        return drawn(catalog, columns_of(t), most, seed=seed)
+    short = F.filter(F.array_distinct("values"), lambda x: F.length(x) <= most_length)
+    pools = sampled_values(values, most, strategy, seed=seed).select(F.col("table").alias("table_id"), "name", short.alias("values"))
+    on = "condition_col" if "condition_col" in names else names[-1]
+    return drawn(catalog, columns_of(t), most, pools, vals, on, seed)
 
 
 def rendered(text: str, row: dict[str, Column]) -> Column:

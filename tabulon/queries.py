@@ -1064,3 +1064,35 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
+
+
+@query(
+    "model_sql_answers",
+    """WITH o AS (SELECT *, o_orderkey % 7 AS k FROM orders), c AS (SELECT o_custkey, max(o_totalprice) AS top, avg(o_totalprice) AS mean, count(*) FILTER (o_totalprice > 100000) AS many,
+            arg_max(o_orderkey, o_totalprice) AS dearest, min(o_orderkey) AS first FROM orders GROUP BY 1)
+       SELECT o_orderkey, CASE k WHEN 1 THEN o_orderpriority ELSE '' END AS answer,
+              round(CASE k WHEN 0 THEN top WHEN 2 THEN many WHEN 3 THEN mean WHEN 5 THEN dearest WHEN 6 THEN first END, 6) AS number FROM o JOIN c USING (o_custkey)""",
+)
+def model_sql_answers(spark, d):
+    """A text for every order, of seven kinds; the fifth is none that may run."""
+    from .operators.modelsql import sql_answers
+
+    orders = table(spark, d, "orders")
+    names = orders.columns
+    rows = orders.select(F.lit("orders").alias("table_id"), F.col("o_orderkey").alias("row_id"), F.array(*(F.col(c).cast("string") for c in names)).alias("cells"))
+    numeric = [f.dataType.simpleString() in ("bigint", "int", "double") or "decimal" in f.dataType.simpleString() for f in orders.schema]
+    headers = spark.createDataFrame([("orders", names, numeric)], "table_id string, names array<string>, numeric array<boolean>")
+    kinds = [
+        "SELECT max(o_totalprice) FROM orders WHERE o_custkey = {c}",
+        "select \"o_orderpriority\" from orders where O_ORDERKEY = '{k}' limit 1;",
+        "SELECT COUNT(*) FROM orders WHERE o_custkey = {c} AND o_totalprice > 100000 ``` done",
+        "SELECT avg(t.o_totalprice) AS mean, count(*) FROM orders AS t WHERE t.o_custkey = {c}",
+        "DROP TABLE orders",
+        "SELECT o_orderkey FROM orders WHERE o_custkey = {c} ORDER BY o_totalprice DESC LIMIT 1",
+        "SELECT min(o_orderkey) FROM orders WHERE o_custkey = {c} AND NOT (o_orderstatus LIKE 'nothing%')",
+    ]
+    text = F.get(F.array(*map(F.lit, kinds)), (F.col("o_orderkey") % 7).cast("int"))
+    text = F.replace(F.replace(text, F.lit("{c}"), F.col("o_custkey").cast("string")), F.lit("{k}"), F.col("o_orderkey").cast("string"))
+    out = sql_answers(rows, headers, orders.select(F.col("o_orderkey").alias("qid"), F.lit("orders").alias("table_id"), text.alias("text")))
+    word = F.col("qid") % 7 == 1
+    return out.select(F.col("qid").alias("o_orderkey"), F.when(word, F.col("answer")).otherwise("").alias("answer"), F.round(F.when(~word, F.col("answer").try_cast("double")), 6).alias("number"))

@@ -219,3 +219,49 @@ def test_places_over_whole_tables(spark):
     side = records.beside(wide.where("id < 500"), longer, ["id"], ["k"])
     assert side.columns == ["id", "text", "g", "k", "place"] and side.count() == 1000 and side.where("id <> k").count() == 0 and side.where("id IS NULL").count() == 500
     assert records.restored(records.reordered(longer.limit(50), F.desc("k"), original=["k"])).columns == ["k", "place"]
+
+
+def test_model_sql_together(spark):
+    from tabulon.operators import modelsql as S
+
+    rows = [("a", 0, ["x", "1", "u v"]), ("a", 1, ["y", "5", "it's"]), ("a", 2, ["y", "1,000", None]), ("a", 3, ["z", "none", "w"]), ("b", 0, ["7", "k"]), ("b", 1, ["3", "K"])]
+    heads = [("a", ["Name", "a b", "t"], [False, True, False]), ("b", ["n", "Name"], [True, False]), ("none", ["q"], [False])]
+    asked = {
+        "SELECT max(\"a b\") FROM df WHERE Name = 'y'; drop table x": "1000.0", "select t from my_table where `a b` = 1 ```": "u v", "select nothing from df": "", "drop table df": "", "select t from df where 1 = 0": "",
+        "SELECT count(*) FROM df WHERE Name = 'nobody'": "0", "SELECT sum(\"a b\") / 0 FROM df": "", "select Name from df where t = 'it''s'": "y", "SELECT df.Name FROM df WHERE df.\"a b\" > 1 ORDER BY \"a b\" DESC, t LIMIT 1": "y",
+        "SELECT COUNT(DISTINCT Name) FROM x AS d WHERE d.Name <> \"x\"": "2", "SELECT * FROM df": "x", "SELECT max(\"a b\") - min(\"a b\") AS gap FROM df": "999.0", "select Name from df where \"a b\" between 2 and 10": "y",
+        "select upper(Name) from df where Name in ('z', 'q') or t is null": "Y", "SELECT reflect('java.lang.System', 'getProperty', 'user.dir')": "", "SELECT * FROM text.`/etc/hostname`": "",
+        "SELECT Name FROM df WHERE max(\"a b\") = 1": "", "select Name, count(*) from df": "", "select Name from df group by Name": "", "select (select 1) from df": "", "": "", None: "", "select Name from df limit 0": "", "select sum(Name) from df": "",
+    }
+    texts = [(f"a{i}", "a", t) for i, t in enumerate(asked)] + [("b", "b", "select max(n) from b where Name = 'k'"), ("c", "b", "select n from b where Name = 'K'"), ("d", "none", "select q from x"), ("e", "gone", "select q from x"), ("f", "none", "select count(*) from x")]
+    frames = spark.createDataFrame(rows, "table_id string, row_id int, cells array<string>"), spark.createDataFrame(heads, "table_id string, names array<string>, numeric array<boolean>"), spark.createDataFrame(texts, "qid string, table_id string, text string")
+    got = {r.qid: r.answer for r in S.sql_answers(*frames, spread=2, together=4).collect()}
+    want = {f"a{i}": a for i, a in enumerate(asked.values())} | {"b": "7.0", "c": "3.0", "d": "", "e": "", "f": "0"}
+    assert got == want, {(k, list(asked)[int(k[1:])] if k[0] == "a" else k): (got.get(k), v) for k, v in want.items() if got.get(k) != v}
+    assert S.sql_answers(*frames[:2], frames[2].where("qid = 'a3'")).collect()[0].answer == "" and spark.conf.get("spark.sql.ansi.enabled") == "true"
+    shape = lambda t: S.shape_of(t, ["Name", "a b"], [False, True])
+    assert shape("select max(`a b`) from t where Name = 'p'")[0] == shape("SELECT MAX(\"a b\") FROM other WHERE name = 'q'")[0]
+    import random
+
+    rng = random.Random(1)
+    for _ in range(4000):  # whatever a model writes has a shape or none
+        S.shape_of("select " * (rng.random() < 0.9) + " ".join(rng.choice(["select", "from", "t", "where", "and", "=", "(", ")", ",", "Name", "`a b`", "'x'", "5", ".", "order by", "limit", "max", "count(*)", "*", "as", '"a b"', "not", "''"]) for _ in range(rng.randint(0, 9))), ["Name", "a b"], [False, True])
+
+
+def test_assignments_drawn_from_large_spaces(spark):
+    wide = spark.range(2000).selectExpr("'wide' AS table_id", "CAST(id AS INT) AS col_id", "concat('c', id) AS name", "'numeric' AS type")
+    some = spark.range(3).selectExpr("'small' AS table_id", "CAST(id AS INT) AS col_id", "concat('c', id) AS name", "if(id = 0, 'text', 'numeric') AS type")
+    wanted = {"x": ("numeric",), "y": ("numeric",), "z": templates.ANY_TYPE}
+    got = assign.drawn(wide.unionByName(some), wanted, 1500).collect()  # 8 * 10**9 assignments, and 2
+    by = {t: {(r.x_id, r.y_id, r.z_id) for r in got if r.table_id == t} for t in ("wide", "small")}
+    assert len(got) == 1502 and len(by["wide"]) == 1500 and by["small"] == {(1, 2, 0), (2, 1, 0)}
+    assert all(len(set(t)) == 3 for t in by["wide"]) and all(r.x == f"c{r.x_id}" for r in got)
+    counts = [sum(t[k] // 200 == b for t in by["wide"]) for k in range(3) for b in range(10)]
+    assert sum((n - 150) ** 2 / 150 for n in counts) < 60  # 27 degrees of freedom
+    assert {tuple(r) for r in assign.drawn(wide, wanted, 1500).collect()} == {tuple(r) for r in got if r.table_id == "wide"} != {tuple(r) for r in assign.drawn(wide, wanted, 1500, seed=1).collect()}
+    pools = spark.createDataFrame([("wide", f"c{i}", ["1", "2", "3"][: i % 4]) for i in range(2000)], "table_id string, name string, values array<string>")
+    picked = assign.drawn(wide, {"a": ("numeric",), "b": ("numeric",)}, 50, pools, ("low_val", "high_val"), "b").collect()
+    assert len({tuple(r) for r in picked}) == 50 and all(r.low_val <= r.high_val and int(r.high_val) <= r.b_id % 4 for r in picked)
+    many = assign.drawn(wide, {f"v{k}": ("numeric",) for k in range(8)}, 20)  # more than 2 ** 62
+    assert many.distinct().count() == 20
+    assert assign.drawn(some.where("col_id = 0"), {"x": ("text",), "y": ("text",)}, 5).count() == 0
