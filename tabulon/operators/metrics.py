@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from ..work import small, written
+
 # --- one prediction ---
 
 
@@ -48,13 +51,49 @@ def upper_median(c: Column) -> Column:
     return F.element_at(v, F.floor(F.size(v) / 2).cast("int") + 1)
 
 
-def exact_upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The same for groups of any size: counts by value, then a running sum; no group is gathered."""
-    by = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    run = by.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
-    mid = F.floor(F.col("all") / 2) + 1
-    return run.where((F.col("upto") >= mid) & (F.col("upto") - F.col("n") < mid)).select(*keys, F.col(value).alias("upper_median"))
+def exact_upper_median(df: DataFrame, keys: list[str], value: str, most_rows: int = 100_000, splits: int = 200) -> DataFrame:
+    """The same for groups of any size; nulls don't count.
+
+    Groups of more than `most_rows` rows are narrowed first: of `splits` approximate percentiles the ones round the wanted
+    rank are taken, rows below are counted, and only rows between go on, until few are left or one value is. Sketches and
+    counts add up before their shuffle, so no task holds a group. Of few rows, counts by value have a running sum.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    sizes = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.floor(F.col("_n") / 2) + 1), "median")
+    kind = rows.schema["_v"].dataType
+    state = sizes.select(*keys, "_n", "_k", F.lit(None).cast(kind).alias("_lo"), F.lit(None).cast(kind).alias("_hi"), F.lit(None).cast(kind).alias("_found"))
+    settled = [state.where(F.col("_n") <= most_rows)]
+    state = state.where(F.col("_n") > most_rows)
+
+    def inside(of: DataFrame) -> DataFrame:
+        """Rows of the groups between their bounds, with the group's state."""
+        named = of.select(*(F.col(c).alias(f"_of_{c}") for c in keys), "_n", "_k", "_lo", "_hi")
+        same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys), F.lit(True))
+        above, below = F.col("_v") > F.col("_lo"), F.col("_v") < F.col("_hi")
+        return rows.join(small(named, 100_000), same & F.coalesce(above, F.lit(True)) & F.coalesce(below, F.lit(True))).select(*keys, "_v", "_n", "_k")
+
+    while not state.isEmpty():
+        at = [i / splits for i in range(splits + 1)]
+        points = inside(state).groupBy(*keys).agg(F.percentile_approx("_v", at, 20 * splits).alias("_q"), F.first("_n").alias("_n"), F.first("_k").alias("_k"))
+        place = F.floor(F.col("_k") * splits / F.col("_n")).cast("int")
+        edge = points.select(*keys, "_n", "_k", F.get("_q", F.greatest(place - 1, F.lit(0))).alias("_lo"), F.get("_q", F.least(place + 2, F.lit(splits))).alias("_hi"))
+        edge = written(edge, "median")
+        of = edge.select(*(F.col(c).alias(f"_of_{c}") for c in keys), F.col("_lo").alias("_a"), F.col("_hi").alias("_z"))
+        same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys), F.lit(True))
+        v = F.col("_v")
+        counted = inside(state).join(small(of, 100_000), same).groupBy(*keys).agg(F.first("_k").alias("_k"), F.first("_a").alias("_lo"), F.first("_z").alias("_hi"), F.count_if(v < F.col("_a")).alias("_below"), F.count_if(v == F.col("_a")).alias("_low"), F.count_if((v > F.col("_a")) & (v < F.col("_z"))).alias("_n"))
+        k = F.col("_k") - F.col("_below")
+        found = F.when(k <= F.col("_low"), F.col("_lo")).when(k > F.col("_low") + F.col("_n"), F.col("_hi"))
+        state = written(counted.select(*keys, "_n", (k - F.col("_low")).alias("_k"), "_lo", "_hi", found.alias("_found")), "median")
+        done = F.col("_found").isNotNull() | (F.col("_n") <= most_rows)
+        settled.append(state.where(done))
+        state = state.where(~done)
+    end = reduce(DataFrame.unionByName, settled)
+    by = inside(end.where("_found IS NULL")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("n"), F.first("_k").alias("_k"))
+    w = Window.partitionBy(*keys).orderBy("_v")
+    run = by.withColumn("upto", F.sum("n").over(w))
+    few = run.where((F.col("upto") >= F.col("_k")) & (F.col("upto") - F.col("n") < F.col("_k"))).select(*keys, F.col("_v").alias("upper_median"))
+    return few.unionByName(end.where("_found IS NOT NULL").select(*keys, F.col("_found").alias("upper_median")))
 
 
 def perplexity(logprob: Column) -> Column:
@@ -123,53 +162,157 @@ def _numbered(a: Column) -> Column:
     return F.aggregate(F.array_sort(a), start, step, lambda s: s["out"])
 
 
-def bleu(df: DataFrame, prediction: str, reference: str, most: int = 4) -> DataFrame:
-    """Corpus BLEU over white-space tokens: clipped n-gram matches, exponential smoothing of zero counts, brevity penalty."""
+def bleu_counts(df: DataFrame, prediction: str, reference: str, most: int = 4) -> DataFrame:
+    """The rows with what BLEU adds up: hyp and ref words, matches m1.. and n-grams t1.. of each order."""
     from ..functions.text import ngrams, words
 
-    df = df.select(words(F.col(prediction)).alias("_p"), words(F.col(reference)).alias("_r"))  # split once
+    df = df.withColumns({"_p": words(F.col(prediction)), "_r": words(F.col(reference))})  # split once
     p, r = F.col("_p"), F.col("_r")
-    aggs = [F.sum(F.size(p)).alias("_hyp"), F.sum(F.size(r)).alias("_ref")]
+    out = {"hyp": F.size(p), "ref": F.size(r)}
     for n in range(1, most + 1):
         a, b = ngrams(p, n), ngrams(r, n)
-        aggs += [F.sum(_clipped(a, b)).alias(f"m{n}"), F.sum(F.size(a)).alias(f"t{n}")]
+        out |= {f"m{n}": _clipped(a, b), f"t{n}": F.size(a)}
+    return df.select(*(c for c in df.columns if c not in ("_p", "_r")), *(c.alias(k) for k, c in out.items()))
+
+
+def bleu_of_counts(most: int = 4) -> Column:
+    """BLEU of added-up counts: exponential smoothing of zero counts, brevity penalty."""
     logs, zeros = [], F.lit(0)
     for n in range(1, most + 1):
         m, t = F.col(f"m{n}"), F.col(f"t{n}")
         zeros = zeros + (m == 0).cast("int")
         logs.append(F.log(F.when(m == 0, F.lit(100.0) / (F.pow(F.lit(2.0), zeros) * F.greatest(t, F.lit(1)))).otherwise(F.lit(100.0) * m / t)))
-    brevity = F.when(F.col("_hyp") < F.col("_ref"), F.exp(1 - F.col("_ref") / F.col("_hyp"))).otherwise(1.0)
-    return df.agg(*aggs).select((brevity * F.exp(reduce(lambda x, y: x + y, logs) / most)).alias("bleu"))
+    brevity = F.when(F.col("hyp") < F.col("ref"), F.exp(1 - F.col("ref") / F.col("hyp"))).otherwise(1.0)
+    return brevity * F.exp(reduce(lambda x, y: x + y, logs) / most)
 
 
-def chrf(df: DataFrame, prediction: str, reference: str, most: int = 6, beta: float = 2.0) -> DataFrame:
-    """Corpus chrF: character n-gram F-score, white space left out, averaged over orders that occur."""
+def _added(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.agg(*(F.sum(c).alias(c) for c in names))
+
+
+def bleu(df: DataFrame, prediction: str, reference: str, most: int = 4) -> DataFrame:
+    """Corpus BLEU over white-space tokens: clipped n-gram matches, exponential smoothing of zero counts, brevity penalty."""
+    counts = bleu_counts(df.select(prediction, reference), prediction, reference, most)
+    return _added(counts, bleu_names(most)).select(bleu_of_counts(most).alias("bleu"))
+
+
+def bleu_names(most: int = 4) -> list[str]:
+    return ["hyp", "ref", *(f"{x}{n}" for n in range(1, most + 1) for x in "mt")]
+
+
+def chrf_counts(df: DataFrame, prediction: str, reference: str, most: int = 6) -> DataFrame:
+    """The rows with what chrF adds up: matches m1.., and character n-grams of both texts a1.., b1.. of each order."""
     text = lambda c: F.regexp_replace(c, r"\s+", "")
 
     def grams(c: Column, n: int) -> Column:
         k = F.length(c) - n + 1
         return F.when(k >= 1, F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-    df = df.select(text(F.col(prediction)).alias("_p"), text(F.col(reference)).alias("_r"))
-    p, r, aggs = F.col("_p"), F.col("_r"), []
+    df = df.withColumns({"_p": text(F.col(prediction)), "_r": text(F.col(reference))})
+    p, r, out = F.col("_p"), F.col("_r"), {}
     for n in range(1, most + 1):
         a, b = grams(p, n), grams(r, n)
-        aggs += [F.sum(_clipped(a, b)).alias(f"m{n}"), F.sum(F.size(a)).alias(f"a{n}"), F.sum(F.size(b)).alias(f"b{n}")]
-    one = df.agg(*aggs)
+        out |= {f"m{n}": _clipped(a, b), f"a{n}": F.size(a), f"b{n}": F.size(b)}
+    return df.select(*(c for c in df.columns if c not in ("_p", "_r")), *(c.alias(k) for k, c in out.items()))
+
+
+def chrf_of_counts(most: int = 6, beta: float = 2.0) -> Column:
+    """chrF of added-up counts, averaged over orders that occur in both texts."""
     precision = [F.try_divide(F.col(f"m{n}"), F.col(f"a{n}")) for n in range(1, most + 1)]
     recall = [F.try_divide(F.col(f"m{n}"), F.col(f"b{n}")) for n in range(1, most + 1)]
     both = F.filter(F.array(*(F.struct(p.alias("p"), r.alias("r")) for p, r in zip(precision, recall, strict=True))), lambda x: x["p"].isNotNull() & x["r"].isNotNull())
     mean = lambda k: F.aggregate(both, F.lit(0.0), lambda s, x: s + x[k]) / F.greatest(F.size(both), F.lit(1))
     p, r = mean("p"), mean("r")
-    return one.select((100 * F.coalesce(F.try_divide((1 + beta**2) * p * r, beta**2 * p + r), F.lit(0.0))).alias("chrf"))
+    return 100 * F.coalesce(F.try_divide((1 + beta**2) * p * r, beta**2 * p + r), F.lit(0.0))
+
+
+def chrf_names(most: int = 6) -> list[str]:
+    return [f"{x}{n}" for n in range(1, most + 1) for x in "mab"]
 
 
-def word_error_edits(p: str, r: str) -> int:
-    """Edits between word sequences (no shifts): a row of the table at a time, inserted words by a running minimum."""
-    a, b = (p or "").split(), (r or "").split()
+def chrf(df: DataFrame, prediction: str, reference: str, most: int = 6, beta: float = 2.0) -> DataFrame:
+    """Corpus chrF: character n-gram F-score, white space left out, averaged over orders that occur."""
+    counts = chrf_counts(df.select(prediction, reference), prediction, reference, most)
+    return _added(counts, chrf_names(most)).select(chrf_of_counts(most, beta).alias("chrf"))
+
+
+def _numbered_words(p: str | None, r: str | None, case: bool) -> list[np.ndarray]:
     numbers: dict[str, int] = {}
-    x, y = (np.array([numbers.setdefault(w, len(numbers)) for w in s], dtype=np.int64) for s in (a, b))
-    steps = np.arange(len(b) + 1)
+    fold = (lambda t: t) if case else str.lower
+    return [np.array([numbers.setdefault(w, len(numbers)) for w in fold(t or "").split()], dtype=np.int64) for t in (p, r)]
+
+
+def _edit_rows(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Rows of the edit table of x against y; words inserted along a row by a running minimum."""
+    steps = np.arange(len(y) + 1)
+    rows = [steps.copy()]
+    for word in x:
+        new = rows[-1] + 1
+        np.minimum(new[1:], rows[-1][:-1] + (y != word), out=new[1:])
+        rows.append(np.minimum.accumulate(new - steps) + steps)
+    return rows
+
+
+def _aligned(x: np.ndarray, y: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Edits, which words of x and of y are part of one, and the place in x where each word of y stands."""
+    rows = _edit_rows(x, y)
+    i, j = len(x), len(y)
+    wrong_x, wrong_y, place = np.ones(i, bool), np.ones(j, bool), np.zeros(j, np.int64)
+    while i or j:
+        if i and j and rows[i][j] == rows[i - 1][j - 1] + (x[i - 1] != y[j - 1]):
+            i, j = i - 1, j - 1
+            wrong_x[i] = wrong_y[j] = x[i] != y[j]
+            place[j] = i
+        elif j and rows[i][j] == rows[i][j - 1] + 1:
+            j -= 1
+            place[j] = i
+        else:
+            i -= 1
+    return int(rows[-1][-1]), wrong_x, wrong_y, place
+
+
+def shifted_edits(p: str | None, r: str | None, most_words: int = 10, most_distance: int = 50, most_tries: int = 1000, most_cells: int = 4_000_000, case: bool = False) -> int:
+    """Edits between word sequences where moving a block of words counts one.
+
+    As long as a move leaves fewer edits, the one that leaves fewest is made (of equal ones the longest block, then the
+    first). A block has up to `most_words` words, equals a block of the reference up to `most_distance` places away, holds a
+    word in error on both sides, and goes to where that block stands. Sequences whose table has more than
+    `most_cells` cells count no moves.
+    """
+    x, y = _numbered_words(p, r, case)
+    if len(x) * len(y) > most_cells:
+        return word_error_edits(p, r, case)
+    moves = 0
+    while True:
+        edits, wrong_x, wrong_y, place = _aligned(x, y)
+        if not edits:
+            return moves
+        best, tries = None, 0
+        for i in range(len(x)):
+            for j in np.flatnonzero(y == x[i]):
+                if abs(i - j) > most_distance:
+                    continue
+                n = 0
+                while n < most_words and i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+                    n += 1
+                    at = int(place[j])
+                    if i <= at <= i + n or not wrong_x[i : i + n].any() or not wrong_y[j : j + n].any() or tries >= most_tries:
+                        continue
+                    tries += 1
+                    rest = np.delete(x, slice(i, i + n))
+                    moved = np.insert(rest, at if at < i else at - n, x[i : i + n])
+                    key = (edits - int(_edit_rows(moved, y)[-1][-1]), n, -i, -at)
+                    if best is None or key > best[0]:
+                        best = key, moved
+        if best is None or best[0][0] <= 0:
+            return moves + edits
+        x, moves = best[1], moves + 1
+
+
+def word_error_edits(p: str | None, r: str | None, case: bool = True) -> int:
+    """Edits between word sequences (no moves), a row of the table at a time."""
+    x, y = _numbered_words(p, r, case)
+    steps = np.arange(len(y) + 1)
     row = steps.copy()
     for word in x:
         new = row + 1
@@ -178,11 +321,12 @@ def word_error_edits(p: str, r: str) -> int:
     return int(row[-1])
 
 
-def translation_edit_rate(df: DataFrame, prediction: str, reference: str) -> DataFrame:
-    """Corpus edit rate in percent of reference words; edits without block shifts (an upper bound of the rate with them)."""
+def translation_edit_rate(df: DataFrame, prediction: str, reference: str, shifts: bool = True, case: bool = False) -> DataFrame:
+    """Corpus edit rate in percent of reference words; a moved block of words is one edit, unless `shifts` is off."""
+
     @F.pandas_udf(LongType())
     def edits(p: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([word_error_edits(x, y) for x, y in zip(p, r, strict=True)])
+        return pd.Series([shifted_edits(x, y, case=case) if shifts else word_error_edits(x, y, case) for x, y in zip(p, r, strict=True)])
 
     from ..functions.text import words
 
@@ -193,13 +337,13 @@ def translation_edit_rate(df: DataFrame, prediction: str, reference: str) -> Dat
 
 
 def bootstrap_stderr(df: DataFrame, value: str, statistic: Callable[[np.ndarray], float] = np.mean, iterations: int = 1000, chunk: int = 100, seed: int = 1234, most_rows: int = 1_000_000) -> float:
-    """Standard deviation of a statistic over resamples; for the mean of large data use `poisson_bootstrap`.
+    """Standard deviation of any statistic of few values over resamples; what is worked out from sums goes to `bootstrap`.
 
     Resampling needs all values at once, so more than `most_rows` rows are refused.
     """
     rows = df.select(F.col(value).cast("double")).limit(most_rows + 1).toPandas().iloc[:, 0].to_numpy()
     if len(rows) > most_rows:
-        raise ValueError("too many rows for resampling; use poisson_bootstrap")
+        raise ValueError("too many rows for resampling here; use bootstrap")
     out = []
     for c in range(-(-iterations // chunk)):
         rng = np.random.default_rng(seed + c)
@@ -207,14 +351,83 @@ def bootstrap_stderr(df: DataFrame, value: str, statistic: Callable[[np.ndarray]
     return float(np.std(out, ddof=1))
 
 
+def _resampled(batches: Iterator[pa.RecordBatch], names: list[str], iterations: int) -> Iterator[pa.RecordBatch]:
+    """A task's sums in every resample: one row for each."""
+    edges = np.cumsum([np.exp(-1) / float(np.prod(range(1, k + 1))) for k in range(12)])
+    steps = np.arange(1, iterations + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sums, any_rows = np.zeros((iterations, len(names))), False
+    for batch in batches:
+        values = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1) if batch.num_rows else np.zeros((0, len(names)))
+        h = batch.column("_h").to_numpy().view(np.uint64)
+        for a in range(0, len(h), 1024):
+            z = h[a : a + 1024, None] + steps
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            times = np.searchsorted(edges, ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53, side="right")
+            sums += times.T @ np.nan_to_num(values[a : a + 1024])
+            any_rows = True
+    if any_rows:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(iterations), pa.int64()), *(pa.array(sums[:, k]) for k in range(len(names)))], names=["i", *names])
+
+
+def resamples(df: DataFrame, statistics: list[str], identity: str, iterations: int = 200, seed: int = 1234) -> DataFrame:
+    """(i, sums of the statistics): in each resample a row counts a Poisson(1) number of times, by a hash of its identity.
+
+    A task adds up all resamples of its rows and sends one row for each, so nothing grows with the rows; a null adds nothing.
+    """
+    kinds = ", ".join(f"{c} double" for c in statistics)
+    rows = df.select(F.xxhash64(F.lit(seed), F.col(identity)).alias("_h"), *(F.col(c).cast("double").alias(c) for c in statistics))
+    parts = rows.mapInArrow(lambda it: _resampled(it, statistics, iterations), f"i long, {kinds}")
+    return parts.groupBy("i").agg(*(F.sum(c).alias(c) for c in statistics))
+
+
+def bootstrap(df: DataFrame, statistics: list[str], value: Column, identity: str, iterations: int = 200, seed: int = 1234) -> DataFrame:
+    """(value, stderr) of a number that is worked out from sums of `statistics`: of all rows, and its deviation over resamples. No rows go to the driver."""
+    whole = _added(df.select(*(F.col(c).cast("double").alias(c) for c in statistics)), statistics).select(value.alias("value"))
+    spread = resamples(df, statistics, identity, iterations, seed).select(value.alias("m")).agg(F.stddev_samp("m").alias("stderr"))
+    return whole.crossJoin(spread)  # one row each
+
+
 def poisson_bootstrap(df: DataFrame, value: str, identity: str, iterations: int = 200, seed: int = 1234) -> DataFrame:
-    """stderr of the mean over resamples in which each row counts a Poisson(1) number of times: one aggregate."""
-    u = lambda i: F.pmod(F.xxhash64(F.lit(seed), i, F.col(identity)), F.lit(1 << 30)) / float(1 << 30)
-    edges = np.cumsum([np.exp(-1) / float(np.prod(range(1, k + 1))) for k in range(9)])
-    times = lambda i: reduce(lambda a, e: a + (u(i) >= float(e)).cast("int"), edges, F.lit(0))
-    rows = df.select(identity, F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("i"))
-    means = rows.withColumn("w", times(F.col("i"))).groupBy("i").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
-    return means.agg(F.stddev_samp("m").alias("stderr"))
+    """stderr of the mean over resamples."""
+    counted = df.select(identity, F.col(value).cast("double").alias("v"), F.when(F.col(value).isNotNull(), 1.0).otherwise(0.0).alias("n"))
+    return bootstrap(counted, ["v", "n"], F.col("v") / F.col("n"), identity, iterations, seed).select("stderr")
+
+
+def confusion_counts(df: DataFrame, prediction: str, target: str) -> DataFrame:
+    """The rows with tp, fp, fn, tn: what f1 and mcc add up."""
+    p, t = F.col(prediction), F.col(target)
+    return df.withColumns({k: ((p == a) & (t == b)).cast("double") for k, (a, b) in {"tp": (1, 1), "fp": (1, 0), "fn": (0, 1), "tn": (0, 0)}.items()})
+
+
+def f1_of_counts() -> Column:
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0))
+
+
+def matthews_of_counts() -> Column:
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    return F.coalesce(F.try_divide(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))), F.lit(0.0))
+
+
+#: Numbers that are worked out from sums over rows: columns that are added up for a prediction and a target, their names, and the number.
+OF_SUMS: dict[str, tuple[Callable[[DataFrame, str, str], DataFrame], list[str], Callable[[], Column]]] = {
+    "f1": (confusion_counts, ["tp", "fp", "fn", "tn"], f1_of_counts),
+    "mcc": (confusion_counts, ["tp", "fp", "fn", "tn"], matthews_of_counts),
+    "bleu": (bleu_counts, bleu_names(), bleu_of_counts),
+    "chrf": (chrf_counts, chrf_names(), chrf_of_counts),
+}
+
+
+def metric_stderr(df: DataFrame, metric: str, prediction: str, target: str, identity: str, iterations: int = 200, seed: int = 1234) -> DataFrame:
+    """(value, stderr) of a metric: by the formula where `STDERR` has one, by resampling where `OF_SUMS` has its sums."""
+    if metric in STDERR:
+        right = exact_match(F.col(prediction), F.col(target)).cast("double")
+        return df.agg(F.avg(right).alias("value"), STDERR[metric](right).alias("stderr"))
+    if metric not in OF_SUMS:
+        raise ValueError(f"no standard error is known for {metric}")
+    counts, names, value = OF_SUMS[metric]
+    return bootstrap(counts(df.select(identity, prediction, target), prediction, target), names, value(), identity, iterations, seed)
 
 
 def pooled_stderr(stderr: Column, n: Column) -> Column:

@@ -536,7 +536,7 @@ def abs_distance(spark, d):
 
 @query("upper_median", "SELECT event_type, list_sort(list(value))[count(*) // 2 + 1] AS upper_median FROM events GROUP BY 1")
 def upper_median(spark, d):
-    return M.exact_upper_median(table(spark, d, "events"), ["event_type"], "value")
+    return M.exact_upper_median(table(spark, d, "events"), ["event_type"], "value", most_rows=500)
 
 
 @query("grouped_mean_count", "SELECT user_id, event_type, round(avg(value), 6) AS value_mean, count(value) AS value_count FROM events WHERE event_type <> 'click' GROUP BY 1, 2")
@@ -657,10 +657,63 @@ def all_correct(spark, d):
     return M.all_correct(table(spark, d, "events").withColumn("c", (F.col("value") > 1).cast("int")), ["user_id"], "c")
 
 
-@query("bleu_identity", "SELECT 100.0::DOUBLE AS bleu, 100.0::DOUBLE AS chrf")
-def bleu_identity(spark, d):
-    b = table(spark, d, "benchmark").select("text", F.col("text").alias("ref"))
-    return M.bleu(b, "text", "ref").select(F.round("bleu", 6).alias("bleu")).crossJoin(M.chrf(b, "text", "ref").select(F.round("chrf", 6).alias("chrf")))
+def _text_scores_sql() -> str:
+    """BLEU of four orders and chrF of six, counted by value."""
+    counted = lambda name, of, n, length, gram: f"""{name}{n} AS (SELECT coalesce(sum(least(p, r)), 0) AS m, coalesce(sum(p), 0) AS p, coalesce(sum(r), 0) AS r FROM (
+        SELECT id, g, count(*) FILTER (side = 'p') AS p, count(*) FILTER (side = 'r') AS r FROM (
+            SELECT id, side, {gram} AS g FROM (SELECT *, unnest(range(1, {length} - {n} + 2)) AS i FROM {of})) GROUP BY id, g))"""
+    bleu = [counted("w", "words", n, "len(w)", f"array_to_string(list_slice(w, i, i + {n} - 1), ' ')") for n in range(1, 5)]
+    chars = [counted("c", "chars", n, "length(t)", f"substr(t, i, {n})") for n in range(1, 7)]
+    precision = " + ".join(f"(SELECT ln(100.0 * m / p) FROM w{n})" for n in range(1, 5))
+    mean = lambda side: " + ".join(f"(SELECT m / {side} FROM c{n})" for n in range(1, 7))
+    return f"""WITH texts AS (SELECT item_id AS id, 'p' AS side, replace(text, 'e', 'a ') AS t FROM benchmark UNION ALL SELECT item_id, 'r', text FROM benchmark),
+        words AS (SELECT id, side, list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '') AS w FROM texts), chars AS (SELECT id, side, regexp_replace(t, '\\s+', '', 'g') AS t FROM texts),
+        {', '.join(bleu + chars)}, size AS (SELECT sum(len(w)) FILTER (side = 'p') AS p, sum(len(w)) FILTER (side = 'r') AS r FROM words), f AS (SELECT ({mean('p')}) / 6 AS p, ({mean('r')}) / 6 AS r)
+        SELECT round((SELECT CASE WHEN p < r THEN exp(1 - r / p) ELSE 1 END FROM size) * exp(({precision}) / 4), 6) AS bleu, (SELECT round(100 * 5 * p * r / (4 * p + r), 6) FROM f) AS chrf"""
+
+
+@query("text_scores", _text_scores_sql())
+def text_scores(spark, d):
+    """Texts with letters changed and words cut, against the texts."""
+    b = table(spark, d, "benchmark").select(F.replace("text", F.lit("e"), F.lit("a ")).alias("said"), "text")
+    return M.bleu(b, "said", "text").select(F.round("bleu", 6).alias("bleu")).crossJoin(M.chrf(b, "said", "text").select(F.round("chrf", 6).alias("chrf")))  # one row each
+
+
+@query(
+    "edit_rate",
+    """SELECT round(100.0 * sum(CASE WHEN n < 2 OR len(list_distinct(w)) = 1 THEN 0 WHEN n <= 51 THEN 1 ELSE 2 END) / sum(n), 6) AS ter
+       FROM (SELECT w, len(w) AS n FROM (SELECT list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM conversations))""",
+)
+def edit_rate(spark, d):
+    """Texts with their first word at the end: a move of 50 places at most is one edit, a longer one two."""
+    w = T.words(F.col("text"))
+    turned = F.concat_ws(" ", F.concat(F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), F.slice(w, 1, 1)))
+    return M.translation_edit_rate(table(spark, d, "conversations").select(turned.alias("said"), "text"), "said", "text").select(F.round("ter", 6).alias("ter"))
+
+
+@query(
+    "resampled_scores",
+    """WITH c AS (SELECT sum((quality = 1 AND toxic = 1)::INT)::DOUBLE AS tp, sum((quality = 1 AND toxic = 0)::INT)::DOUBLE AS fp, sum((quality = 0 AND toxic = 1)::INT)::DOUBLE AS fn, sum((quality = 0 AND toxic = 0)::INT)::DOUBLE AS tn FROM labels)
+       SELECT 'f1' AS metric, round(2 * tp / (2 * tp + fp + fn), 8) AS value, TRUE AS near FROM c
+       UNION ALL SELECT 'mcc', round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 8), TRUE FROM c""",
+)
+def resampled_scores(spark, d):
+    """f1 and mcc of a guess, with standard errors of 300 resamples within a quarter of those of linear propagation."""
+    rows = table(spark, d, "labels")
+    c = M.confusion_counts(rows, "quality", "toxic").agg(*(F.sum(x).alias(x) for x in ("tp", "fp", "fn", "tn")))
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    whole = 2 * tp + fp + fn
+    mcc = M.matthews_of_counts()
+    # slopes of mcc: its logarithm's derivatives in each count
+    num, parts = tp * tn - fp * fn, {"tp": tn, "tn": tp, "fp": -fn, "fn": -fp}
+    sums = {"tp": (tp + fp, tp + fn), "fp": (tp + fp, tn + fp), "fn": (tp + fn, tn + fn), "tn": (tn + fp, tn + fn)}
+    slope = {k: mcc * (parts[k] / num - 0.5 * (1 / sums[k][0] + 1 / sums[k][1])) for k in parts}
+    plain = c.select(F.sqrt(tp * (2 * (fp + fn) / whole**2) ** 2 + (fp + fn) * (2 * tp / whole**2) ** 2).alias("f1"), F.sqrt(sum((F.col(k) * v * v for k, v in slope.items()), F.lit(0.0))).alias("mcc"))
+    out = []
+    for metric in ("f1", "mcc"):
+        got = M.metric_stderr(rows, metric, "quality", "toxic", "doc_id", iterations=300).crossJoin(plain)  # one row each
+        out.append(got.select(F.lit(metric).alias("metric"), F.round("value", 8).alias("value"), (F.abs(F.col("stderr") / F.col(metric) - 1) < 0.25).alias("near")))
+    return out[0].unionByName(out[1])
 
 
 @query("poisson_bootstrap", "SELECT count(*) AS n, round(stddev_samp(toxic) / sqrt(count(*)), 8) AS plain, TRUE AS near FROM labels")

@@ -266,3 +266,82 @@ def test_stream(spark, tmp_path):
     W.run_once(W.windowed(stream, "1 day", late="0 seconds"), str(tmp_path / "out"), str(tmp_path / "ck"))
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("start").collect()
     assert got and all(r.n == 24 for r in got) and got[0].max == 23.0
+
+
+def test_edits_with_moves():
+    cases = [
+        ("b c a", "a b c", 1), ("a b c d", "c d a b", 1), ("d c b a", "a b c d", 3), ("a b", "a b", 0), ("x a b c", "a b c y", 2), ("THE cat", "the Cat", 0),
+        ("saudi arabia denied this week information published in the american new york times", "this week the saudis denied information published in the new york times", 4),
+        (None, "a b", 2), ("a", "", 1), ("a a a b", "b a a a", 1),
+    ]
+    for p, r, edits in cases:
+        assert M.shifted_edits(p, r) == edits, (p, r)
+    assert M.shifted_edits("THE cat", "the Cat", case=True) == 2 and M.shifted_edits("b c a", "a b c", most_cells=1) == 2
+    assert M.shifted_edits("a " + "w " * 40 + "x", "w " * 40 + "x a", most_distance=20) == 2
+
+    def least(a, b):  # any moves of blocks that both have, then edits
+        seen, todo, best, moves = {tuple(a)}, [tuple(a)], M.word_error_edits(" ".join(a), " ".join(b)), 0
+        while todo and moves < best:
+            moves, new = moves + 1, []
+            for t in todo:
+                for i in range(len(t)):
+                    for k in range(i + 1, len(t) + 1):
+                        rest = t[:i] + t[k:]
+                        for j in range(len(rest) + 1):
+                            u = rest[:j] + t[i:k] + rest[j:]
+                            if u not in seen:
+                                seen.add(u)
+                                new.append(u)
+                                best = min(best, moves + M.word_error_edits(" ".join(u), " ".join(b)))
+            todo = new
+        return best
+
+    rng, same = random.Random(8), 0
+    for _ in range(120):
+        a, b = (rng.choices("abcd", k=rng.randrange(1, 6)) for _ in "ab")
+        got, plain, want = M.shifted_edits(" ".join(a), " ".join(b)), M.word_error_edits(" ".join(a), " ".join(b)), least(a, b)
+        assert want <= got <= plain
+        same += got == want
+    assert same >= 110
+
+
+def test_resampled_statistics(spark):
+    rng = random.Random(2)
+    rows = [(i, int(rng.random() < 0.4), int(rng.random() < 0.5), " ".join(rng.choices("abcdef", k=9))) for i in range(400)]
+    rows = [(i, p, t, w, w.replace("a", "b") if i % 3 else w, None if i % 5 == 0 else float(t)) for i, p, t, w in rows]
+    df = spark.createDataFrame(rows, "id int, p int, t int, w string, said string, v double").repartition(5)
+    times = M.resamples(df.withColumn("one", F.lit(1.0)), ["one", "v"], "id", 300).agg(F.avg("one").alias("m"), F.var_samp("one").alias("s"), F.count("*").alias("n")).first()
+    assert times.n == 300 and abs(times.m - 400) < 5 and 300 < times.s < 520  # Poisson: mean and variance are the number of rows
+    value, err = M.metric_stderr(df, "f1", "p", "t", "id").first()
+    again = M.metric_stderr(df.repartition(2), "f1", "p", "t", "id").first()
+    assert value == pytest.approx(df.select(M.f1(F.col("p"), F.col("t")).alias("x")).first().x) and again == pytest.approx((value, err))
+    import numpy as np
+
+    r = np.array([(x[1], x[2]) for x in rows])
+    gen, values = np.random.default_rng(1), []
+    for _ in range(400):
+        s = r[gen.integers(0, 400, 400)]
+        values.append(2 * (s[:, 0] & s[:, 1]).sum() / s.sum())
+    assert err == pytest.approx(np.std(values), rel=0.25)
+    for metric in ("bleu", "chrf", "mcc"):
+        value, err = M.metric_stderr(df, metric, "said" if metric != "mcc" else "p", "w" if metric != "mcc" else "t", "id", 60).first()
+        assert err > 0
+        if metric == "bleu":
+            assert value == pytest.approx(M.bleu(df, "said", "w").first()[0])
+    null = [x[5] for x in rows if x[5] is not None]
+    assert M.poisson_bootstrap(df, "v", "id", 300).first()[0] == pytest.approx(np.std(null, ddof=1) / len(null) ** 0.5, rel=0.25)
+    assert M.metric_stderr(df, "mean", "said", "w", "id").first().value < 1
+    with pytest.raises(ValueError):
+        M.metric_stderr(df, "nothing", "p", "t", "id")
+
+
+def test_median_of_large_groups(spark):
+    rng = random.Random(4)
+    groups = {"all": [rng.random() for _ in range(5000)], "ties": [7.0] * 3000 + [rng.random() for _ in range(1000)] + [9.0] * 900, "even": [float(i) for i in range(4000)], "few": [3.0, 1.0], "same": [2.0] * 2500, None: [-1.0, 5.0, 1e300] * 700, "two": [1.0] * 1500 + [2.0] * 1500}
+    rows = [(k, x) for k, v in groups.items() for x in v] + [("few", None), ("null", None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    want = {k: sorted(v)[len(v) // 2] for k, v in groups.items()}
+    for most in (100, 10_000):
+        assert {r.k: r.upper_median for r in M.exact_upper_median(df, ["k"], "v", most_rows=most).collect()} == want
+    assert M.exact_upper_median(df.where("k = 'all'"), [], "v", most_rows=50).first()[0] == want["all"]
