@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_blanks, ngrams, normalised, words
+from ..work import small, written
 
 
 def cleaned(df: DataFrame, text: str = "text") -> DataFrame:
@@ -83,9 +84,18 @@ def _prints(df: DataFrame, text: str, n: int, *keep: str) -> DataFrame:
     return hashes.select(*keep, F.posexplode(F.when(F.size("_a") >= n, prints)).alias("place", "_g")).select(*keep, "place", "_g.a", "_g.b")
 
 
+#: Different n-grams of the items up to which they are broadcast (16 bytes each): the documents' n-grams then meet them where they are.
+FEW_GRAMS = 1_000_000
+
+
+def _known(items: DataFrame, text: str, n: int, *keep: str, few: int | None = None) -> DataFrame:
+    """The items' different n-gram hashes with the kept columns, written once; broadcast if a count says they are few, else for a merge join."""
+    return small(written(_prints(items, text, n, *keep).drop("place").distinct(), "ngrams"), FEW_GRAMS if few is None else few)
+
+
 def overlap(docs: DataFrame, items: DataFrame, n: int = 13, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
     """Distinct (doc_id, item_id) pairs that share a word n-gram: an equi-join on 128 bits of hashes."""
-    return _prints(docs, text, n, doc_id).join(_prints(items, text, n, item_id).drop("place").distinct(), ["a", "b"]).select(doc_id, item_id).distinct()
+    return _prints(docs, text, n, doc_id).join(_known(items, text, n, item_id), ["a", "b"]).select(doc_id, item_id).distinct()
 
 
 def contaminant_ngrams(items: DataFrame, n: int = 13, text: str = "text") -> DataFrame:
@@ -94,7 +104,7 @@ def contaminant_ngrams(items: DataFrame, n: int = 13, text: str = "text") -> Dat
 
 def _hits(docs: DataFrame, items: DataFrame, n: int, text: str, doc_id: str) -> DataFrame:
     """doc_id, place: n-grams of the documents that occur in the items."""
-    return _prints(docs, text, n, doc_id).join(_prints(items, text, n).select("a", "b").distinct(), ["a", "b"]).select(doc_id, "place")
+    return _prints(docs, text, n, doc_id).join(_known(items, text, n), ["a", "b"]).select(doc_id, "place")
 
 
 def hit_counts(docs: DataFrame, items: DataFrame, n: int = 13, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -132,29 +142,34 @@ def clean_parts(text: str, hits: list[tuple[int, int]], window: int = 200, least
     return [*out, rest] if len(rest) >= least else out
 
 
+def _kept_ranges(spans: Column, size: Column, window: int, least: int) -> Column:
+    """(start, stop) of what `clean_parts` keeps, as a Column: each span's cut ends where the next part begins."""
+    after = lambda s: F.least(size, s["stop"] + window)
+    before = F.transform(spans, lambda s, i: F.struct(F.when(i > 0, after(F.get(spans, i - 1))).otherwise(0).alias("start"), (s["start"] - window).alias("stop")))
+    rest = F.when(F.size(spans) > 0, after(F.element_at(spans, -1)) + 1).otherwise(0)
+    last = F.filter(F.array(F.struct(rest.alias("start"), size.alias("stop"))), lambda s: s["stop"] - s["start"] >= least)
+    return F.concat(F.filter(before, lambda s: s["stop"] - s["start"] > least), last)
+
+
 def decontaminated(docs: DataFrame, items: DataFrame, n: int = 13, window: int = 200, least: int = 200, most_hits: int = 10, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, hits, part, text: cleaned parts of each document; documents with too many hits give no part.
 
-    Hits come from a join of n-gram hashes, so no set of n-grams is held by a task; the n-grams' texts are made
-    for documents with hits only, and clean documents skip Python's cutting.
+    Hits come from a join of n-gram hashes. A hit's characters are found from the lengths of the words up to it, and the
+    windows round hits are cut between neighbours, all in Columns: only a document's hits, at most `most_hits`, are worked on.
     """
-    found = _hits(docs, items, n, text, doc_id).groupBy(doc_id).agg(F.collect_set("place").alias("_places"))
-    split = docs.select(doc_id, text).join(found, doc_id, "left").withColumn("_w", F.when(F.col("_places").isNotNull(), words(normalised(F.col(text)))))
-    grams = F.transform("_places", lambda i: F.array_join(F.slice("_w", i + 1, F.lit(n)), " "))
-    marked = split.select(doc_id, text, F.when(F.size("_w") >= n, grams).alias("grams"))  # used twice, words stay a column of their own
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for i, t, g in zip(b[doc_id], b[text], b["grams"], strict=True):
-                bad = set() if g is None else set(g)
-                hits = [(x, y) for w, x, y in word_spans(t or "", n) if w in bad] if bad else []
-                for k, part in enumerate(clean_parts(t or "", hits, window, least, most_hits) or []):
-                    out.append((i, len(hits), k, part))
-            yield pd.DataFrame(out, columns=[doc_id, "hits", "part", "text"])
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return marked.mapInPandas(cut, f"{doc_id} {kind}, hits long, part int, text string")
+    found = _hits(docs, items, n, text, doc_id).groupBy(doc_id).agg(F.count(F.lit(1)).alias("hits"), F.array_sort(F.collect_set("place")).alias("_places"))
+    split = docs.select(doc_id, F.coalesce(text, F.lit("")).alias("text")).join(found, doc_id, "left").where(F.coalesce("hits", F.lit(0)) <= most_hits)
+    dirty = F.col("_places").isNotNull()
+    pieces = split.withColumn("_words", F.when(dirty, F.regexp_extract_all("text", F.lit(r"\s*\S+"), F.lit(0))))  # blanks belong to the word after them
+    counts = F.filter(F.transform("_words", lambda w, i: F.when(F.trim(normalised(F.regexp_replace(w, r"\s", ""))) != "", i)), lambda i: i.isNotNull())
+    numbered = pieces.withColumn("_own", counts)  # a word of punctuation alone has no number
+    stop = lambda i: F.length(F.array_join(F.slice("_words", F.lit(1), i + 1), ""))
+    first = lambda p: F.get("_own", p)
+    span = lambda p: F.struct((stop(first(p)) - F.length(F.regexp_replace(F.get("_words", first(p)), r"^\s+", ""))).alias("start"), stop(first(p + n - 1)).alias("stop"))
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+    spans = numbered.select(doc_id, "text", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), F.when(dirty, F.transform("_places", span)).otherwise(none).alias("_spans"))
+    ranges = spans.select(doc_id, "hits", "text", F.posexplode(_kept_ranges(F.col("_spans"), F.length("text"), window, least)).alias("part", "_r"))
+    return ranges.select(doc_id, "hits", "part", F.substring("text", F.col("_r.start") + 1, F.col("_r.stop") - F.col("_r.start")).alias("text"))
 
 
 def token_counts(c: Column) -> tuple[Column, Column]:

@@ -835,12 +835,6 @@ def ngram_overlap_items(spark, d):
     return C.overlap(table(spark, d, "documents"), table(spark, d, "benchmark")).groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
 
 
-@query("decontam_clean")
-def decontam_clean(spark, d):
-    ship(spark)
-    return C.decontaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
-
-
 _BENCHMARK_GRAMS = f"""(SELECT DISTINCT unnest(list_transform(range(1, length(w) - 11), lambda i: array_to_string(w[i : i + 12], ' '))) AS g FROM {_GRAMS.replace("<k>", "item_id").replace("<t>", "benchmark")})"""
 
 
@@ -853,6 +847,27 @@ def decontam_hits(spark, d):
     return C.hit_counts(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+_WORD_ENDS = r"""(SELECT doc_id, lead(stop, 12) OVER (PARTITION BY doc_id ORDER BY k) AS stop, stop - length(ltrim(piece, e' \t\n\r\f\v')) AS start, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM (
+    SELECT doc_id, k, piece, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\s*\S+')) AS piece, generate_subscripts(regexp_extract_all(text, '\s*\S+'), 1) AS k FROM documents))
+    WHERE regexp_matches(piece, '[^\s!-/:-@\[-`{-~]'))"""
+
+
+@query(
+    "decontam_clean",
+    f"""WITH ends AS MATERIALIZED {_WORD_ENDS}, hits AS MATERIALIZED (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(list_transform(range(1, length(w) - 11), lambda i: array_to_string(w[i : i + 12], ' '))) AS g, unnest(range(1, length(w) - 11)) AS i
+            FROM {_GRAMS.replace("<k>", "doc_id").replace("<t>", "documents")}) JOIN {_BENCHMARK_GRAMS} USING (g)),
+        counted AS (SELECT d.doc_id, d.text, length(d.text) AS size, count(i) AS hits FROM documents d LEFT JOIN hits USING (doc_id) GROUP BY ALL),
+        spans AS (SELECT doc_id, text, size, counted.hits, start, stop, lag(stop) OVER (PARTITION BY doc_id ORDER BY start) AS before, row_number() OVER (PARTITION BY doc_id ORDER BY start DESC) AS back
+            FROM hits JOIN ends USING (doc_id, i) JOIN counted USING (doc_id)),
+        ranges AS (SELECT doc_id, text, hits, CASE WHEN before IS NULL THEN 0 ELSE least(size, before + 200) END AS a, start - 200 AS z FROM spans WHERE start - 200 - CASE WHEN before IS NULL THEN 0 ELSE least(size, before + 200) END > 200
+            UNION ALL SELECT doc_id, text, hits, least(size, stop + 200) + 1, size FROM spans WHERE back = 1 AND size - least(size, stop + 200) - 1 >= 200
+            UNION ALL SELECT doc_id, text, hits, 0, size FROM counted WHERE hits = 0 AND size >= 200)
+        SELECT doc_id, hits, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS INTEGER) AS part, substr(text, CAST(a + 1 AS BIGINT), CAST(z - a AS BIGINT)) AS text FROM ranges WHERE hits <= 10""",
+)
+def decontam_clean(spark, d):
+    return C.decontaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 _WORD_NUMBER = r"(SELECT doc_id, length(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n FROM documents)"
 
 
