@@ -2,6 +2,8 @@
 
 rows(table_id, row_id, cells array<string>), questions(qid, table_id, op, shape, agg_idx, agg_idx2, cond_idx, cmp, val).
 Columns count from 0; cond_idx null: no condition. A question's shape names the expression over its columns.
+Questions may have further conditions, all of which a row has to meet: also array<struct<shape, idx, idx2, cmp, val>>
+compares an expression over two columns with a value.
 """
 
 from __future__ import annotations
@@ -45,6 +47,29 @@ def hits(semantics: str = "typed") -> Column:
     return F.when(F.col("cond_idx").isNull(), True).otherwise(F.coalesce(test, F.lit(False)))
 
 
+#: Type of `also`, the further conditions of a question.
+ALSO = "array<struct<shape:string,idx:int,idx2:int,cmp:string,val:string>>"
+
+
+def meets_all(semantics: str = "typed") -> Column:
+    """Whether a row meets all further conditions of its question: expressions by value, single columns as `hits` compares them."""
+    number = to_number if semantics == "typed" else _prefix_number
+
+    def meets(c: Column) -> Column:
+        text, other = F.try_element_at(F.col("cells"), c["idx"] + 1), F.try_element_at(F.col("cells"), c["idx2"] + 1)
+        left = reduce(lambda rest, s: F.when(c["shape"] == s, SHAPES[s](number(text), number(other))).otherwise(rest), SHAPES, F.lit(None).cast("double"))
+        right, plain = number(c["val"]), c["shape"] == "single"
+        as_text = plain & (F.lit(semantics != "typed") | left.isNull() | right.isNull())
+        order = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+        same = F.when(as_text, text == c["val"]).otherwise(left == right)
+        test = F.when(c["cmp"] == "=", same).when(c["cmp"] == "!=", ~same)
+        for op, f in order.items():
+            test = test.when(c["cmp"] == op, F.when(plain & F.lit(semantics != "typed"), f(text, c["val"])).otherwise(f(left, right)))
+        return F.coalesce(test, F.lit(False))
+
+    return F.forall(F.coalesce("also", F.array().cast(ALSO)), meets)
+
+
 def values(semantics: str = "typed") -> Column:
     number = to_number if semantics == "typed" else _prefix_number
     a, b = number(_cell("agg_idx")), number(_cell("agg_idx2"))
@@ -68,7 +93,8 @@ def matched(rows: DataFrame, questions: DataFrame, semantics: str = "typed", spr
     by_value = rows.join(columns, "table_id").withColumn("_key", _key(_cell("cond_idx"), semantics)).join(equal, ["table_id", "cond_idx", "_key"])
     others = questions.where(~F.coalesce(asked, F.lit(False))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     by_table = rows.withColumn("_part", F.pmod(F.xxhash64("row_id"), F.lit(spread)).cast("int")).join(others, ["table_id", "_part"]).where(hits(semantics))
-    return by_value.select(*rows.columns, *q).unionByName(by_table.select(*rows.columns, *q))
+    out = by_value.select(*rows.columns, *q).unionByName(by_table.select(*rows.columns, *q))
+    return out.where(meets_all(semantics)) if "also" in q else out
 
 
 def answer(rows: DataFrame, questions: DataFrame, semantics: str = "typed") -> DataFrame:

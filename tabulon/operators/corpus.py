@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_blanks, ngrams, normalised, words
@@ -98,6 +99,55 @@ def overlap(docs: DataFrame, items: DataFrame, n: int = 13, text: str = "text",
     return _prints(docs, text, n, doc_id).join(_known(items, text, n, item_id), ["a", "b"]).select(doc_id, item_id).distinct()
 
 
+class ContaminantIndex:
+    """Items' n-gram hashes as a bucketed table that stays, and a bit map of them to look up documents' n-grams in first.
+
+    The table lies under `path` and is clustered by its hashes, so a join with it shuffles only the documents' n-grams,
+    and of these only the ones whose bit is set. The bit map has a bit for each hash modulo its size: at least `spread`
+    bits an n-gram of the index, up to 2 ** `most_bits` bits (2 ** 30: 128 MB), which is what is broadcast. It is made again
+    only when items were added. Items are added by appending; items added twice count once.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, n: int = 13, buckets: int = 64, item_id: str = "item_id", kind: str = "bigint", spread: int = 64, most_bits: int = 30):
+        self.spark, self.path, self.n, self.item_id, self.spread, self.most_bits = spark, path.rstrip("/"), n, item_id, spread, most_bits
+        self.name = f"ngrams_{hashlib.sha256(self.path.encode()).hexdigest()[:16]}"
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (a BIGINT, b BIGINT, `{item_id}` {kind}) USING parquet CLUSTERED BY (a, b) SORTED BY (a, b) INTO {buckets} BUCKETS LOCATION '{self.path}/grams'")
+        self._bits: tuple[DataFrame, int] | None = None
+
+    def add(self, items: DataFrame, text: str = "text") -> None:
+        """Append items' n-grams; nothing that is there is read or written again."""
+        grams = _prints(items, text, self.n, self.item_id).select("a", "b", self.item_id).distinct()
+        grams.write.insertInto(self.name)
+        self._bits = None
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def bits(self) -> tuple[DataFrame, int]:
+        """(bucket, bitmap) rows of 32,768 bits each, and the number of bits."""
+        if self._bits is None:
+            width = 15
+            while width < self.most_bits and (1 << width) < self.spread * self.table().count():
+                width += 1
+            place = F.pmod("a", F.lit(1 << width)) + 1
+            rows = self.table().groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap"))
+            self._bits = written(rows, "ngram-bits"), 1 << width
+        return self._bits
+
+    def candidates(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        """(doc_id, place, a, b): the documents' n-grams whose bit is set; no shuffle."""
+        rows, size = self.bits()
+        place = F.pmod("a", F.lit(size)) + 1
+        prints = _prints(docs, text, self.n, doc_id).withColumns({"bucket": F.bitmap_bucket_number(place), "bit": F.bitmap_bit_position(place).cast("int")})
+        byte = F.conv(F.hex(F.substring("bitmap", F.call_function("div", F.col("bit"), F.lit(8)).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        found = prints.join(F.broadcast(rows), "bucket")
+        return found.where(F.call_function("shiftright", byte, F.col("bit") % 8).bitwiseAND(1) == 1).select(doc_id, "place", "a", "b")
+
+    def overlap(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        """Distinct (doc_id, item_id) pairs that share an n-gram."""
+        return self.candidates(docs, doc_id, text).join(self.table().hint("merge"), ["a", "b"]).select(doc_id, self.item_id).distinct()
+
+
 def contaminant_ngrams(items: DataFrame, n: int = 13, text: str = "text") -> DataFrame:
     return items.select(words(normalised(F.col(text))).alias("_w")).select(F.explode(ngrams(F.col("_w"), n)).alias("ngram")).distinct()
 

@@ -17,33 +17,54 @@ from ..operators.normalize import column_types
 from ..operators.report import with_counts
 from ..operators.sampling import equal_cutoff
 from .assign import assignments, columns_of, questions
-from .ast import Col, Template, variables
+from .ast import Cmp, Col, Expr, Lit, Template, variables
 from .templates import EXPRESSIONS, template_hash
 
 KEY = ("nl_question", "sql_query", "table_id")
-_PLAN = "op, shape, agg_idx, agg_idx2, cond_idx, cmp, val".split(", ")
+_PLAN = "op, shape, agg_idx, agg_idx2, cond_idx, cmp, val, also".split(", ")
 
 
-def shape_of(t: Template) -> str | None:
-    """The shape under which `answer` knows a template's expression; None if it doesn't."""
-    sql = t.expr.sql()
-    shape = next((n for n, (e, _) in EXPRESSIONS.items() if e.sql() == sql), None)
+def _unnamed(e: Expr) -> str:
+    """An expression's text with its variables numbered in order."""
+    out = e.sql()
+    for i, v in enumerate(variables(out)):
+        out = out.replace("{" + v + "}", f"{{{i}}}")
+    return out
+
+
+def shape_of(e: Template | Expr) -> str | None:
+    """The shape under which `answer` knows an expression (of a template), whatever its variables are called; None if it doesn't."""
+    sql = _unnamed(e.expr if isinstance(e, Template) else e)
+    shape = next((n for n, (known, _) in EXPRESSIONS.items() if _unnamed(known) == sql), None)
     return "single" if shape == "basic" else shape
 
 
 def plan_columns(t: Template) -> dict[str, Column]:
-    """Columns that `answer` reads, from a template's assignments. The template has one plain condition at most."""
-    shape = shape_of(t)
-    if shape is None or len(t.where) > 1 or any(not isinstance(c.left, Col) for c in t.where):
-        raise ValueError("answers need a known expression and at most one condition on a column")
-    own = [F.col(f"{v}_id").cast("int") for v in variables(t.expr.sql())]
+    """Columns that `answer` reads, from a template's assignments: the first condition on a column, and all others as further ones."""
     null = F.lit(None)
-    out = {"shape": F.lit(shape), "agg_idx": own[0], "agg_idx2": own[1] if len(own) > 1 else null.cast("int")}
-    if not t.where:
+
+    def side(e: Expr) -> tuple[Column, Column, Column]:
+        shape = shape_of(e)
+        if shape is None:
+            raise ValueError(f"answers don't know the expression {e.sql()}")
+        own = [F.col(f"{v}_id").cast("int") for v in variables(e.sql())]
+        return F.lit(shape), own[0], own[1] if len(own) > 1 else null.cast("int")
+
+    def value(c: Cmp) -> Column:
+        names = variables(c.right.sql())
+        if not isinstance(c.right, Lit) or len(names) > 1:
+            raise ValueError("conditions compare with one value")
+        return F.col(names[0]) if names else F.lit(str(c.right.value))
+
+    shape, first, second = side(t.expr)
+    out = {"shape": shape, "agg_idx": first, "agg_idx2": second}
+    plain = next((c for c in t.where if isinstance(c.left, Col)), None)
+    also = [c for c in t.where if c is not plain]
+    terms = [F.struct(*(x.alias(n) for n, x in zip(("shape", "idx", "idx2"), side(c.left), strict=True)), F.lit(c.op).alias("cmp"), value(c).alias("val")) for c in also]
+    out["also"] = (F.array(*terms) if terms else F.array()).cast(Q.ALSO)
+    if plain is None:
         return out | {"cond_idx": null.cast("int"), "cmp": null.cast("string"), "val": null.cast("string")}
-    c = t.where[0]
-    left, right = variables(c.left.sql())[0], variables(c.right.sql())[0]
-    return out | {"cond_idx": F.col(f"{left}_id").cast("int"), "cmp": F.lit(c.op), "val": F.col(right)}
+    return out | {"cond_idx": side(plain.left)[1], "cmp": F.lit(plain.op), "val": value(plain)}
 
 
 def asked(cells: DataFrame, templates: list[Template], most: int = 10, strategy: str = "random", seed: int = 0) -> DataFrame:

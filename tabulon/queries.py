@@ -830,6 +830,18 @@ def ngram_overlap_docs(spark, d):
     return C.overlap(table(spark, d, "documents"), table(spark, d, "benchmark")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("items"))
 
 
+@query("contaminant_index", f"SELECT doc_id, item_id FROM {_HITS}")
+def contaminant_index(spark, d):
+    """Items added in two parts to an index that stays; documents' n-grams are looked up in its bit map before they are shuffled."""
+    from .work import new_path
+
+    items = table(spark, d, "benchmark")
+    index = C.ContaminantIndex(spark, new_path(spark, "contaminants"))
+    for part in (0, 1):
+        index.add(items.where(F.pmod("item_id", F.lit(2)) == part))
+    return index.overlap(table(spark, d, "documents"))
+
+
 @query("ngram_overlap_items", f"SELECT item_id, count(*) AS docs FROM {_HITS} GROUP BY 1")
 def ngram_overlap_items(spark, d):
     return C.overlap(table(spark, d, "documents"), table(spark, d, "benchmark")).groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
@@ -1164,3 +1176,19 @@ def model_sql_answers(spark, d):
     out = sql_answers(rows, headers, orders.select(F.col("o_orderkey").alias("qid"), F.lit("orders").alias("table_id"), text.alias("text")))
     word = F.col("qid") % 7 == 1
     return out.select(F.col("qid").alias("o_orderkey"), F.when(word, F.col("answer")).otherwise("").alias("answer"), F.round(F.when(~word, F.col("answer").try_cast("double")), 6).alias("number"))
+
+
+@query(
+    "conditions_together",
+    """SELECT 'r' || lo AS qid, round(sum(p_retailprice), 2) AS number, count(*) AS n_rows FROM (SELECT DISTINCT p_size AS lo FROM part) JOIN part ON p_size >= lo AND p_size <= lo + 9 GROUP BY lo
+       UNION ALL SELECT 'd' || t, count(c_acctbal), count(*) FROM (SELECT DISTINCT c_nationkey * 300 AS t FROM customer) JOIN customer ON c_acctbal - c_custkey >= t AND c_mktsegment <> 'BUILDING' GROUP BY t""",
+)
+def conditions_together(spark, d):
+    """Ranges of part sizes, and a difference of two columns together with a text: every size and nation asks."""
+    also = lambda shape, i, j, cmp, val: F.array(F.struct(F.lit(shape).alias("shape"), F.lit(i).alias("idx"), F.lit(j).cast("int").alias("idx2"), F.lit(cmp).alias("cmp"), val.cast("string").alias("val")))
+    ask = lambda qid, t, op, agg, cond, cmp, val, more: [qid.alias("qid"), F.lit(t).alias("table_id"), F.lit(op).alias("op"), F.lit("single").alias("shape"), F.lit(agg).alias("agg_idx"), F.lit(None).cast("int").alias("agg_idx2"), F.lit(cond).cast("int").alias("cond_idx"), F.lit(cmp).alias("cmp"), val.cast("string").alias("val"), more.alias("also")]
+    size, least = F.col("p_size"), F.col("c_nationkey") * 300
+    ranges = table(spark, d, "part").select("p_size").distinct().select(*ask(F.concat(F.lit("r"), size), "part", "sum", 5, 4, ">=", size, also("single", 4, None, "<=", size + 9)))
+    apart = table(spark, d, "customer").select("c_nationkey").distinct().select(*ask(F.concat(F.lit("d"), least), "customer", "count", 3, 4, "!=", F.lit("BUILDING"), also("difference", 3, 0, ">=", least)))
+    out = Q.answer(_rows(spark, d), ranges.unionByName(apart))
+    return out.where("n_rows > 0").select("qid", F.round("number", 2).alias("number"), "n_rows")

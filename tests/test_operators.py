@@ -345,3 +345,38 @@ def test_median_of_large_groups(spark):
     for most in (100, 10_000):
         assert {r.k: r.upper_median for r in M.exact_upper_median(df, ["k"], "v", most_rows=most).collect()} == want
     assert M.exact_upper_median(df.where("k = 'all'"), [], "v", most_rows=50).first()[0] == want["all"]
+
+
+def test_contaminant_index(spark, tmp_path):
+    rng = random.Random(1)
+    say = lambda k: " ".join(rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(k))
+    items = [(i, say(30)) for i in range(12)]
+    docs = [(i, say(60) + " " + rng.choice(items)[1] * (i % 4 == 0) + " " + say(20)) for i in range(80)] + [(100, None), (101, "")]
+    d, it = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id long, text string")
+    index = C.ContaminantIndex(spark, str(tmp_path / "index"), n=5, buckets=4)
+    assert index.overlap(d).count() == 0
+    index.add(it.where("item_id < 6"))
+    first = {tuple(r) for r in index.overlap(d).collect()}
+    index.add(it)  # half of them again
+    both = {tuple(r) for r in index.overlap(d).collect()}
+    assert first < both == {tuple(r) for r in C.overlap(d, it, 5).collect()} and len(both) >= 15
+    hits = C._hits(d, it, 5, "text", "doc_id").count()
+    assert hits <= index.candidates(d).count() <= 2 * hits
+    again = C.ContaminantIndex(spark, str(tmp_path / "index"), n=5, buckets=4)
+    assert {tuple(r) for r in again.overlap(d).collect()} == both
+    plan = index.overlap(d)._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
+
+
+def test_decontaminated_is_what_the_plain_cutter_gives(spark):
+    rng = random.Random(6)
+    say = lambda k: "".join(rng.choice(["Wörd", "a", "b,", " - ", "x\n", "\t", "Y!z"]) + str(rng.randrange(60)) + " " for _ in range(k))
+    items = [say(40) for _ in range(3)]
+    docs = [(i, "".join(say(rng.randrange(80)) + rng.choice(items)[: rng.randrange(60)] for _ in range(rng.randrange(1, 6)))) for i in range(60)] + [(99, None), (98, "")]
+    got = sorted(tuple(r) for r in C.decontaminated(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id int, text string"), 4, 20, 15, 9).collect())
+    bad = {g for t in items for g, _, _ in C.word_spans(t, 4)}
+    want = []
+    for i, t in docs:
+        hits = [(a, z) for g, a, z in C.word_spans(t or "", 4) if g in bad]
+        want += [(i, len(hits), k, p) for k, p in enumerate(C.clean_parts(t or "", hits, 20, 15, 9) or [])]
+    assert got == sorted(want) and len({w[1] for w in want}) > 3
