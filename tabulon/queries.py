@@ -210,10 +210,10 @@ def cell_kinds(spark, d):
     return P.value_counts(v.select(T.cell_kind(F.col("v")).alias("kind")), "kind")
 
 
-@query("header_dedup", "SELECT * FROM (VALUES (1, 'a|A_2|a_3|column_3'), (2, 'x|y|X_2'), (3, 'column_0|b')) t(id, names)")
+@query("header_dedup", "SELECT p_partkey, p_name || '|' || upper(p_name) || '_2|column_2|' || p_brand || '|' || p_name || '_3' AS names FROM part")
 def header_dedup(spark, d):
-    rows = ship(spark).createDataFrame([(1, ["a", "A", "a", ""]), (2, ["x", "y", "X"]), (3, ["", "b"])], "id int, header array<string>")
-    return rows.select("id", F.array_join(N.dedup_header(N.fill_header(F.col("header"))), "|").alias("names"))
+    heads = table(spark, d, "part").select("p_partkey", F.array("p_name", F.upper("p_name"), F.lit(""), "p_brand", "p_name").alias("header"))
+    return heads.select("p_partkey", F.array_join(N.dedup_header(N.fill_header(F.col("header"))), "|").alias("names"))
 
 
 @query("row_hash_dedup", "SELECT min(doc_id) AS doc_id, sha256(text) AS hash FROM documents GROUP BY 2")
@@ -408,9 +408,14 @@ def qa_pair_dedup(spark, d):
     return by.select("conv_id", F.size(S.distinct_pairs(F.transform("p", lambda x: x["role"]), F.transform("p", lambda x: x["text"]))).alias("pairs"))
 
 
-@query("set_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("set_difference", "SELECT n_nationkey, s_suppkey - 1 AS row_id FROM nation JOIN supplier ON s_nationkey <> n_nationkey")
 def set_difference(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").distinct()
+    """Rows of the supplier table that are not of a nation, from those that are."""
+    suppliers = table(spark, d, "supplier")
+    own = suppliers.groupBy("s_nationkey").agg(F.collect_list((F.col("s_suppkey") - 1).cast("int")).alias("rows"))
+    by = table(spark, d, "nation").join(own, F.col("s_nationkey") == F.col("n_nationkey"), "left").crossJoin(suppliers.agg(F.count(F.lit(1)).alias("n")))  # one row
+    rest = Q.complement(F.coalesce("rows", F.array().cast("array<int>")), F.col("n"))
+    return by.select("n_nationkey", F.explode(F.transform(rest, lambda x: x.cast("long"))).alias("row_id"))
 
 
 @query("cutoff_per_table", "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r <= 3")
@@ -776,16 +781,19 @@ def choice_filter(spark, d):
     return R.choice_filter(e).select("event_id", "choice")
 
 
-@query("aggregator_words", "SELECT * FROM (VALUES ('maximum', 'max'), ('greatest', 'max'), ('smallest', 'min'), ('mean', 'avg'), ('sum', 'sum'), ('total', 'unknown'), ('median', 'unknown'), ('value', 'noop')) t(word, aggregator)")
+@query("aggregator_words", "SELECT o_orderkey, ['max', 'max', 'min', 'avg', 'sum', 'unknown', 'unknown', 'noop'][CAST(o_orderkey % 8 AS INTEGER) + 1] AS aggregator FROM orders")
 def aggregator_words(spark, d):
-    w = spark.createDataFrame([(x,) for x in ("maximum", "greatest", "smallest", "mean", "sum", "total", "median", "value")], "word string")
-    return w.select("word", T.aggregator_of(F.col("word")).alias("aggregator"))
+    words = F.array(*map(F.lit, ("maximum", "greatest", "smallest", "mean", "sum", "total", "median", "value")))
+    return table(spark, d, "orders").select("o_orderkey", T.aggregator_of(F.get(words, (F.col("o_orderkey") % 8).cast("int"))).alias("aggregator"))
 
 
-@query("question_classes", "SELECT main, condition, CAST(1 AS BIGINT) AS n FROM (VALUES ('single column'), ('difference'), ('ratio'), ('expression')) m(main), (VALUES ('='), ('!='), ('>'), ('>='), ('<'), ('<='), ('')) c(condition)")
+@query("question_classes", "SELECT p_partkey, ['single column', 'difference', 'ratio', 'expression'][CAST(p_partkey % 28 // 7 AS INTEGER) + 1] AS main, ['=', '!=', '<', '<=', '>', '>=', ''][CAST(p_partkey % 7 AS INTEGER) + 1] AS condition FROM part")
 def question_classes(spark, d):
-    q = spark.createDataFrame([(t.pattern,) for t in templates.standard()], "q string")
-    return q.groupBy(T.main_expression_class(F.col("q")).alias("main"), T.condition_class(F.col("q")).alias("condition")).agg(F.count(F.lit(1)).alias("n"))
+    """A question of one of the standard templates about each part."""
+    q = F.get(F.array(*(F.lit(t.pattern) for t in templates.standard())), (F.col("p_partkey") % 28).cast("int"))
+    for variable, c in {"op": F.lit("maximum"), "col1": F.col("p_brand"), "col2": F.col("p_name"), "condition_col": F.lit("size"), "condition_val": F.col("p_size").cast("string")}.items():
+        q = F.replace(q, F.lit("{" + variable + "}"), c)
+    return table(spark, d, "part").select("p_partkey", T.main_expression_class(q).alias("main"), T.condition_class(q).alias("condition"))
 
 
 # --- texts ---
@@ -914,10 +922,13 @@ def name_structures(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", S.structure_code(name).alias("code"))
 
 
-@query("header_rows", "SELECT * FROM (VALUES (1, TRUE), (2, FALSE), (3, FALSE), (4, TRUE), (5, FALSE)) t(id, data)")
+@query("header_rows", "SELECT s_suppkey, s_suppkey % 2 = 0 AS data FROM supplier")
 def header_rows(spark, d):
-    rows = [(1, ["7", "x"], [["2", "y"], ["3", "z"]]), (2, ["n", "m"], [["2", "3"], ["4", "5"]]), (3, ["a", "abcdefghi"], [["abcdefghi", "a"]]), (4, ["ab", "cde"], [["xy", "uvw"], ["zz", "rst"]]), (5, ["5", "m"], [["x", "3"]])]
-    return spark.createDataFrame(rows, "id int, header array<string>, rows array<array<string>>").select("id", N.header_is_data(F.col("header"), F.col("rows")).alias("data"))
+    """Headers of even suppliers are numbers over numbers; those of odd ones are names."""
+    key, nation = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    header = F.when(F.col("s_suppkey") % 2 == 0, F.array(key, F.lit("x"))).otherwise(F.array(F.lit("key"), F.lit("nation")))
+    rows = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.array(nation, F.lit("y")), F.array(key, F.lit("z")))).otherwise(F.array(F.array(key, nation), F.array(nation, key)))
+    return table(spark, d, "supplier").select("s_suppkey", N.header_is_data(header, rows).alias("data"))
 
 
 @query("enclosed_texts", r"SELECT event_id, regexp_extract(props, '\{(.*)\}', 1) AS inner_text FROM events")
@@ -925,10 +936,11 @@ def enclosed_texts(spark, d):
     return table(spark, d, "events").select("event_id", T.between_markers(F.col("props"), "{", "}").alias("inner_text"))
 
 
-@query("value_kinds", "SELECT o_orderkey, 'int' AS key_kind, 'float' AS price_kind, 'str' AS priority_kind FROM orders")
+@query("value_kinds", "SELECT o_orderkey, ['int', 'float', 'str', 'int', 'float', 'str'][CAST(o_orderkey % 6 AS INTEGER) + 1] AS kind FROM orders")
 def value_kinds(spark, d):
-    kind = lambda c: T.value_kind(F.col(c).cast("string"))
-    return table(spark, d, "orders").select("o_orderkey", kind("o_orderkey").alias("key_kind"), kind("o_totalprice").alias("price_kind"), kind("o_orderpriority").alias("priority_kind"))
+    key, price = F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string")
+    text = F.get(F.array(key, price, F.col("o_orderpriority"), F.concat(F.lit(" -"), key, F.lit(" ")), F.concat(key, F.lit("e1")), F.concat(key, F.lit(" "), price)), (F.col("o_orderkey") % 6).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", T.value_kind(text).alias("kind"))
 
 
 @query("control_characters", "SELECT doc_id, sha256(translate(text, chr(9) || chr(10) || chr(13), '')) AS form FROM documents")
@@ -991,12 +1003,14 @@ def synthesis_plan(spark, d):
     return out.select("table_id", "operator", sql.alias("sql_query"), F.round(F.col("answer").cast("double"), 3).alias("number"), "n_rows")
 
 
-@query("extended_dataset", "SELECT o_custkey AS table_id, CAST(o_orderkey AS VARCHAR) AS nl_question, o_orderpriority AS sql_query FROM orders")
+@query("extended_dataset", "SELECT o_custkey AS table_id, CAST(o_orderkey AS VARCHAR) AS nl_question, o_orderpriority AS sql_query, CASE WHEN o_custkey % 3 = 0 THEN 'old' ELSE 'new' END AS origin FROM orders")
 def extended_dataset(spark, d):
+    """Questions that are there stay as they are; only the others are added."""
     from .plans import synthesis
 
     q = table(spark, d, "orders").select(F.col("o_custkey").alias("table_id"), F.col("o_orderkey").cast("string").alias("nl_question"), F.col("o_orderpriority").alias("sql_query"))
-    return synthesis.extended(q.where("table_id % 3 = 0"), q.where("table_id % 3 <> 1").unionByName(q.where("table_id % 3 = 1")))
+    old = q.where("table_id % 3 = 0").withColumn("origin", F.lit("old"))
+    return synthesis.extended(old, q.withColumn("origin", F.lit("new")))
 
 
 @query("few_shot_first", "SELECT item_id, CASE WHEN item_id = (SELECT min(item_id) FROM benchmark) THEN 1 ELSE 0 END + (SELECT min(item_id) FROM benchmark) AS first_shot, CAST(2 AS INTEGER) AS n FROM benchmark")
@@ -1192,3 +1206,24 @@ def conditions_together(spark, d):
     apart = table(spark, d, "customer").select("c_nationkey").distinct().select(*ask(F.concat(F.lit("d"), least), "customer", "count", 3, 4, "!=", F.lit("BUILDING"), also("difference", 3, 0, ">=", least)))
     out = Q.answer(_rows(spark, d), ranges.unionByName(apart))
     return out.where("n_rows > 0").select("qid", F.round("number", 2).alias("number"), "n_rows")
+
+
+@query("response_cache", "SELECT conv_id, turn, upper(role) || length(text) AS response, CAST(1 AS BIGINT) AS times FROM conversations")
+def response_cache(spark, d):
+    """Two runs over overlapping halves of the turns: the second asks only what is new, and every request is answered once."""
+    from .sources.responses import ResponseCache
+    from .work import new_path
+
+    cache = ResponseCache(spark, new_path(spark, "responses"))
+    turns = table(spark, d, "conversations").withColumns({"method": F.col("role"), "args": F.to_json(F.struct("conv_id", "turn", "text"))})
+    respond = lambda df: df.select("hash", F.concat(F.upper("method"), F.length(F.get_json_object("args", "$.text"))).alias("response"))
+    cache.ask(turns.where("turn < 3"), respond, steps=2)
+    out = cache.ask(turns, respond, steps=2)
+    cache.compact()
+    times = cache.read().groupBy("hash").agg(F.count(F.lit(1)).alias("times"))
+    from .sources.responses import request_hash
+
+    return out.withColumn("hash", request_hash()).join(times, "hash").select("conv_id", "turn", "response", "times")
+
+
+from . import file_queries  # noqa: E402, F401  (registers its queries)

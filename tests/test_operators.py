@@ -380,3 +380,40 @@ def test_decontaminated_is_what_the_plain_cutter_gives(spark):
         hits = [(a, z) for g, a, z in C.word_spans(t or "", 4) if g in bad]
         want += [(i, len(hits), k, p) for k, p in enumerate(C.clean_parts(t or "", hits, 20, 15, 9) or [])]
     assert got == sorted(want) and len({w[1] for w in want}) > 3
+
+
+def test_response_cache(spark, tmp_path):
+    from tabulon.sources.responses import ResponseCache, request_hash
+
+    asked = []
+
+    def respond(df):
+        asked.extend(sorted(r.args for r in df.collect()))
+        return df.withColumn("response", F.upper("args"))
+
+    requests = spark.createDataFrame([(i, "m", f"q{i % 20}") for i in range(50)] + [(99, "m", None)], "id int, method string, args string")
+    one, two = (ResponseCache(spark, str(tmp_path / "cache")) for _ in range(2))
+    first = one.ask(requests.where("id < 10"), respond, steps=3)
+    assert {(r.id, r.response) for r in first.collect()} == {(i, f"Q{i}") for i in range(10)} and sorted(asked) == sorted(f"q{i}" for i in range(10))
+    asked.clear()
+    got = two.ask(requests.where("id < 99"), respond)
+    assert got.columns == ["id", "method", "args", "response"] and {(r.id, r.response) for r in got.collect()} == {(i, f"Q{i % 20}") for i in range(50)}
+    assert sorted(asked) == sorted(f"q{i}" for i in range(10, 20))  # nothing twice
+    asked.clear()
+    # two writers at once, and one that stops in the middle: what was finished counts
+    late = requests.where("id = 3").withColumn("hash", request_hash()).select("hash", F.lit("later").alias("response"))
+    one.put(late)
+    two.put(requests.where("id = 99").withColumn("hash", request_hash()).select("hash", F.lit("null").alias("response")))
+    (tmp_path / "cache" / "parts" / "p-0").mkdir()
+    assert one.read().count() == 21 and one.ask(requests, respond).count() == 51 and asked == []
+    before = {tuple(r) for r in one.read().select("hash", "response").collect()}
+    name = one.compact()
+    assert one.parts() == [name] and {tuple(r) for r in two.read().select("hash", "response").collect()} == before
+    assert two.vacuum() >= 3 and {tuple(r) for r in one.read().select("hash", "response").collect()} == before and one.compact() is None
+
+    def broken(df):
+        raise RuntimeError("stopped")
+
+    with pytest.raises(RuntimeError):
+        one.ask(requests.withColumn("args", F.concat("args", F.lit("!"))), broken)
+    assert one.parts() == [name]
