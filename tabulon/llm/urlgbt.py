@@ -3,7 +3,7 @@
 Rules decide what they fit. The URLs they decide are the labelled ones; from a sample of at most
 `max_rows` of them (in the order of a hash: a documented bound for the fit alone) boosted trees learn to
 tell block from allow by lexical features: lengths, depth, digit ratio, entropy, parameter counts, and
-statistics of the host's and the path's suffixes. The trees judge every URL that no rule fits.
+statistics of the host's and the path's suffixes (for a URL that a rule decides, of other URLs only). The trees judge every URL that no rule fits.
 
 Defined results: a null URL or one without `://` has empty host and path and is judged by the trees on
 those features; if the sample has no label or one label only, that label (or allow) is the verdict.
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small, written
+
 #: (host, path prefix, verdict)
 Rule = tuple[str, str, str]
 
@@ -84,20 +86,24 @@ def lexical(url: str | None, host: str, path: str) -> list[float]:
     ]
 
 
-def with_rates(known: DataFrame, smooth: float = 20, few: int = 100_000) -> DataFrame:
-    """Adds host_suffix_rate, domain_rate, path_suffix_rate: smoothed shares of blocked URLs among all that a rule decides, by suffix.
+def with_rates(known: DataFrame, smooth: float = 20, few: int = 100_000, folds: int = 5) -> DataFrame:
+    """Adds host_suffix_rate, domain_rate, path_suffix_rate: smoothed shares of blocked URLs among those that a rule decides, by suffix.
 
-    All rows are counted. A suffix without ruled URLs has the mean (0.5 if no URL is ruled). Up to `few`
-    suffixes of a kind are broadcast, after a count; more are joined by a shuffle.
+    All rows are counted, in one aggregate. A URL that a rule decides has the rate of the other `folds` - 1 parts
+    of the URLs (dealt by a hash), so its own label and its copies' are not in it. A suffix without such URLs has
+    the mean (0.5 if no URL is ruled). Up to `few` suffixes of a kind are broadcast, after a count; more are joined by a shuffle.
     """
-    block, ruled = F.count_if(F.col("ruled") == "block"), F.count("ruled")
-    n, blocked = known.agg(ruled, block).first()
+    df = known.withColumns(dict(zip(KINDS, suffixes_of(F.col("host"), F.col("path")), strict=True)) | {"fold": F.pmod(F.xxhash64("url"), F.lit(folds))})
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("suffix")) for k in KINDS), F.struct(F.lit("all").alias("kind"), F.lit("").alias("suffix")))
+    ruled = df.where("ruled is not null").select("ruled", "fold", F.explode(kinds).alias("k"))
+    parts = written(ruled.groupBy("k.kind", "k.suffix", "fold").agg(F.count_if(F.col("ruled") == "block").alias("b"), F.count("ruled").alias("n")), "url-rates")
+    n, blocked = parts.where("kind = 'all'").agg(F.sum("n"), F.sum("b")).first()
     mean = blocked / n if n else 0.5
-    df = known.withColumns(dict(zip(KINDS, suffixes_of(F.col("host"), F.col("path")), strict=True)))
+    own = lambda c: F.coalesce(F.try_element_at("parts", F.when(F.col("ruled").isNotNull(), F.col("fold")))[c], F.lit(0))
     for kind in KINDS:
-        by = df.where("ruled is not null").groupBy(kind).agg(((block + smooth * mean) / (ruled + smooth)).alias(f"{kind}_rate"))
-        by = F.broadcast(by) if by.count() <= few else by
-        df = df.join(by, kind, "left").withColumn(f"{kind}_rate", F.coalesce(f"{kind}_rate", F.lit(mean)))
+        by = parts.where(F.col("kind") == kind).groupBy(F.col("suffix").alias(kind)).agg(F.sum("b").alias("b"), F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("b", "n")))).alias("parts"))  # a row for each part
+        rate = (F.col("b") - own("b") + smooth * mean) / (F.col("n") - own("n") + smooth)
+        df = df.join(small(by, few), kind, "left").withColumn(f"{kind}_rate", F.coalesce(rate, F.lit(mean))).drop("b", "n", "parts")
     return df.select(*known.columns, *(f"{kind}_rate" for kind in KINDS))
 
 
@@ -217,7 +223,8 @@ def _judge(batches: Iterator[pa.RecordBatch], model: Trees) -> Iterator[pa.Recor
 
 def judge_urls(pages: DataFrame, rules: list[Rule], id_column: str = "page_id", url: str = "url") -> DataFrame:
     """Per row: id, host, path, rule, verdict, block_score (null where a rule decides)."""
-    known = with_rates(labelled(pages.select(id_column, F.col(url).alias("url")), rules))
+    known = with_rates(labelled(pages.select(F.col(id_column).alias("page_id"), F.col(url).alias("url")), rules))
     model = train(known)
     kind = pages.schema[id_column].dataType.simpleString()
-    return known.mapInArrow(lambda it: _judge(it, model), f"{id_column} {kind}, host string, path string, rule string, verdict string, block_score double")
+    judged = known.mapInArrow(lambda it: _judge(it, model), f"page_id {kind}, host string, path string, rule string, verdict string, block_score double")
+    return judged.withColumnRenamed("page_id", id_column)
