@@ -408,11 +408,11 @@ def qa_pair_dedup(spark, d):
     return by.select("conv_id", F.size(S.distinct_pairs(F.transform("p", lambda x: x["role"]), F.transform("p", lambda x: x["text"]))).alias("pairs"))
 
 
-@query("set_difference", "SELECT n_nationkey, s_suppkey - 1 AS row_id FROM nation JOIN supplier ON s_nationkey <> n_nationkey")
+@query("set_difference", "SELECT n_nationkey, s_suppkey AS row_id FROM nation JOIN supplier ON s_nationkey <> n_nationkey")
 def set_difference(spark, d):
     """Rows of the supplier table that are not of a nation, from those that are."""
     suppliers = table(spark, d, "supplier")
-    own = suppliers.groupBy("s_nationkey").agg(F.collect_list((F.col("s_suppkey") - 1).cast("int")).alias("rows"))
+    own = suppliers.groupBy("s_nationkey").agg(F.collect_list(F.col("s_suppkey").cast("int")).alias("rows"))
     by = table(spark, d, "nation").join(own, F.col("s_nationkey") == F.col("n_nationkey"), "left").crossJoin(suppliers.agg(F.count(F.lit(1)).alias("n")))  # one row
     rest = Q.complement(F.coalesce("rows", F.array().cast("array<int>")), F.col("n"))
     return by.select("n_nationkey", F.explode(F.transform(rest, lambda x: x.cast("long"))).alias("row_id"))
