@@ -120,3 +120,19 @@ def lines_to_documents(spark, d):
     turns = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"[\r\n]+", " ").alias("text"))
     ends = turns.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn")).select("conv_id", "turn", F.lit("\n").alias("text"))
     return C.line_groups(turns.unionByName(ends), "text", "turn", "conv_id").select("conv_id", "text")
+
+
+@query("documents_of_a_stream", r"SELECT CAST(conv_id AS VARCHAR) AS file, string_agg(regexp_replace(text, '[\r\n]+', ' ', 'g'), '' ORDER BY turn) AS text FROM conversations GROUP BY 1")
+def documents_of_a_stream(spark, d):
+    """The same as a stream of files of line records, two files a trigger."""
+    from .streaming.documents import documents_stream
+    from .streaming.windows import event_stream, run_once
+
+    ship(spark)
+    source, sink, state = (new_path(spark, f"stream-{k}") for k in ("in", "out", "state"))
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"[\r\n]+", " ").alias("text"))
+    ends = turns.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn")).select("conv_id", "turn", F.lit("\n").alias("text"))
+    lines = turns.unionByName(ends).select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("line"), "text", F.timestamp_seconds(F.col("turn") + 1_700_000_000).alias("ts"))
+    lines.repartition(4, "line").write.parquet(source)
+    run_once(documents_stream(event_stream(spark, source, lines.schema, 2)), sink, state)
+    return spark.read.parquet(sink).select("file", "text")

@@ -417,3 +417,30 @@ def test_response_cache(spark, tmp_path):
     with pytest.raises(RuntimeError):
         one.ask(requests.withColumn("args", F.concat("args", F.lit("!"))), broken)
     assert one.parts() == [name]
+
+
+def test_documents_of_a_stream(spark, tmp_path):
+    from tabulon.streaming.documents import documents_stream
+    from tabulon.streaming.windows import event_stream, run_once
+
+    rng = random.Random(5)
+    schema = "file string, line long, text string, ts timestamp"
+    rows = [(f"f{i}", k, rng.choice(["a", "b b", "é", "\n", "", None]), k) for i in range(6) for k in range(rng.randrange(1, 25))]
+    frame = lambda r: spark.createDataFrame(r, "file string, line long, text string, s long").select("file", "line", "text", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"))
+    want = {tuple(r) for r in C.line_groups(frame(rows).withColumn("text", F.coalesce("text", F.lit(""))), "text", "line", "file", "+").select("file", "doc", "text").collect()}
+    source, sink, state = (str(tmp_path / k) for k in ("in", "out", "state"))
+
+    def arrive(part):
+        frame(part).coalesce(1).write.mode("append").parquet(source)
+        run_once(documents_stream(event_stream(spark, source, schema), "1 second", 60_000, "+"), sink, state)  # starts again from its state
+
+    late = [r for r in rows if r[1] % 5 == 3]
+    arrive([r for r in rows if r[1] < 10 and r not in late])
+    first = spark.read.schema("file string, doc long, text string").parquet(sink).count()
+    mixed = late + [r for r in rows if r[1] >= 10 and r not in late] + rows[:3]
+    rng.shuffle(mixed)
+    arrive([(f, k, t, 30) for f, k, t, _ in mixed])
+    arrive([("end", 0, "x", 10_000)])
+    arrive([("end", 1, "y", 20_000)])
+    got = [tuple(r) for r in spark.read.parquet(sink).collect()]
+    assert len(got) == len(set(got)) and set(got) - {("end", 0, "x+y")} == want and 0 < first < len(want)
