@@ -13,8 +13,10 @@ Method
     4. Links give components (min-label propagation with pointer jumping). In buckets that then hold
        several, members outside the leading component are compared with the bucket's other members, in
        blocks, on finer signatures. Of the likely pairs across components each member's best one for a
-       component is confirmed, for a few rounds; if some then have others, all likely pairs that are left.
-       So no likely pair across components of a bucket stays untested.
+       component is confirmed, for a few rounds. If some then have others, members with likely partners go
+       to blocks with their full sets, where all these pairs are tested and only links come out: members are
+       sent, never pairs. A pair is taken in the bucket of the first band it shares. So no likely pair
+       across components of a bucket stays untested.
 
 A pair at the threshold 0.75 shares none of 32 bands of 3 rows with probability (1 - 0.75 ** 3) ** 32
 = 2.4e-8, and is refused by the estimate with probability below 1e-7.
@@ -61,8 +63,9 @@ class NearDup:
     fine_refuse: float = 0.665
     #: Rounds in which a member meets only the best of each other component of its buckets; then it meets all that are likely.
     rounds: int = 2
-    #: Members of a bucket that meet as many others in one go.
+    #: Members of a bucket that meet as many others in one go; and where their full sets are at hand.
     block: int = 1024
+    exact_block: int = 512
 
 
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,16 +183,20 @@ def _sets(batches: Iterator[pa.RecordBatch], p: NearDup) -> Iterator[pa.RecordBa
             )
 
 
+def _close(s: np.ndarray, t: np.ndarray, p: NearDup) -> bool:
+    """Exact test of den * |S & T| >= num * |S | T| on sorted sets."""
+    both = np.concatenate([s, t])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common > 0 and p.den * common >= p.num * (len(both) - common)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], p: NearDup) -> Iterator[pa.RecordBatch]:
-    """Exact test of den * |A & B| >= num * |A | B| on sorted sets."""
+    """Pairs whose sets are close."""
     for batch in batches:
         keep = []
         for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-            s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.concatenate([s, t])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            keep.append(common > 0 and p.den * common >= p.num * (len(both) - common))
+            keep.append(_close(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), p))
         out = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
         if out.num_rows:
             yield out
@@ -272,61 +279,24 @@ def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return own.join(lead.select("key", F.col("top.component").alias("lead"), "m_all", (F.col("m_all") - F.col("top.w")).alias("m_out")).hint("merge"), "key")
 
 
-_CROSS = "key long, ob int, ib int, outside boolean, doc_id long, component long, lead long, n long, fine array<long>"
-
-
-def _blocks(tagged: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
-    """Open buckets, dealt in blocks of their members outside the lead against blocks of all members."""
-    rows = tagged.join(sets.select("doc_id", "n", "fine").hint("merge"), "doc_id")
-    count = lambda m: F.ceil(F.col(m) / F.lit(p.block)).cast("int")
+def _blocks(tagged: DataFrame, sets: DataFrame, block: int, carry: list[str]) -> DataFrame:
+    """Open buckets, dealt in blocks of their members outside the lead against blocks of all members, with the carried columns of `sets`."""
+    rows = tagged.join(sets.select("doc_id", *carry).hint("merge"), "doc_id")
+    count = lambda m: F.ceil(F.col(m) / F.lit(block)).cast("int")
     own = lambda m, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), count(m)).cast("int")
     others = lambda m: F.explode(F.sequence(F.lit(0), count(m) - 1))
-    rest = ["doc_id", "component", "lead", "n", "fine"]
+    rest = ["doc_id", "component", "lead", *carry]
     out = rows.where("component <> lead").select("key", own("m_out", 1).alias("ob"), others("m_all").alias("ib"), F.lit(True).alias("outside"), *rest)
     within = rows.select("key", others("m_out").alias("ob"), own("m_all", 2).alias("ib"), F.lit(False).alias("outside"), *rest)
     return out.unionByName(within).repartition("key", "ob", "ib").sortWithinPartitions("key", "ob", "ib")
 
 
-def _cross(batches: Iterator[pa.RecordBatch], p: NearDup, every: bool) -> Iterator[pa.RecordBatch]:
-    """Likely pairs across components from blocks; unless `every`, a member's best one for each other component (`more`: it has others)."""
-
-    def found(block: pa.Table) -> pa.RecordBatch | None:
-        col = {c: block.column(c).to_numpy() for c in ("outside", "doc_id", "component", "lead", "n")}
-        sig = block.column("fine").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(block.num_rows, -1)
-        o, i = np.flatnonzero(col["outside"]), np.flatnonzero(~col["outside"])
-        out = []
-        step = max(1, (8 << 20) // max(1, len(i) * sig.shape[1] * 8))
-        for c in range(0, len(o), step):
-            x = o[c : c + step]
-            same = ~(sig[x][:, None, :] ^ sig[i][None, :, :])
-            same &= same >> np.uint64(1)
-            same &= np.uint64(0x5555555555555555)
-            est = ((np.bitwise_count(same).sum(axis=2, dtype=np.int64) - (sig.shape[1] * 32 - p.fine)) / p.fine - 0.25) / 0.75
-            a, b = col["doc_id"][x][:, None], col["doc_id"][i][None, :]
-            ca, cb = col["component"][x][:, None], col["component"][i][None, :]
-            na, nb = col["n"][x][:, None], col["n"][i][None, :]
-            ok = (est >= p.fine_refuse) & (ca != cb) & ((cb == col["lead"][i][None, :]) | (a < b)) & (np.minimum(na, nb) * p.den >= np.maximum(na, nb) * p.num)
-            u, v = np.nonzero(ok)
-            if not len(u):
-                continue
-            score, comp = est[u, v], col["component"][i][v]
-            order = np.lexsort((col["doc_id"][i][v], -score, comp, u))
-            u, v, comp = u[order], v[order], comp[order]
-            first = np.ones(len(u), bool)
-            first[1:] = (u[1:] != u[:-1]) | (comp[1:] != comp[:-1])
-            last = np.append(first[1:], True)
-            more = first & ~last
-            pick = np.ones(len(u), bool) if every else first
-            out.append((col["doc_id"][x][u[pick]], col["doc_id"][i][v[pick]], more[pick]))
-        if not out:
-            return None
-        a, b, more = (np.concatenate(z) for z in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more)], names=["a", "b", "more"])
-
+def _each_block(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
+    """What `of` makes of each block (a table) of a partition sorted by (key, ob, ib)."""
     held: list[pa.RecordBatch] = []
 
     def settle() -> Iterator[pa.RecordBatch]:
-        if held and (got := found(pa.Table.from_batches(held))) is not None:
+        if held and (got := of(pa.Table.from_batches(held))) is not None:
             yield got
 
     now = None
@@ -343,6 +313,100 @@ def _cross(batches: Iterator[pa.RecordBatch], p: NearDup, every: bool) -> Iterat
     yield from settle()
 
 
+def _likely(block: pa.Table, p: NearDup) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of likely partners across components, outside members first, and the pairs' estimates; some outside members at a time."""
+    col = {c: block.column(c).to_numpy() for c in ("outside", "doc_id", "component", "lead", "n")}
+    sig = block.column("fine").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(block.num_rows, -1)
+    o, i = np.flatnonzero(col["outside"]), np.flatnonzero(~col["outside"])
+    step = max(1, (8 << 20) // max(1, len(i) * sig.shape[1] * 8))
+    for c in range(0, len(o), step):
+        x = o[c : c + step]
+        same = ~(sig[x][:, None, :] ^ sig[i][None, :, :])
+        same &= same >> np.uint64(1)
+        same &= np.uint64(0x5555555555555555)
+        est = ((np.bitwise_count(same).sum(axis=2, dtype=np.int64) - (sig.shape[1] * 32 - p.fine)) / p.fine - 0.25) / 0.75
+        a, b = col["doc_id"][x][:, None], col["doc_id"][i][None, :]
+        ca, cb = col["component"][x][:, None], col["component"][i][None, :]
+        na, nb = col["n"][x][:, None], col["n"][i][None, :]
+        ok = (est >= p.fine_refuse) & (ca != cb) & ((cb == col["lead"][i][None, :]) | (a < b)) & (np.minimum(na, nb) * p.den >= np.maximum(na, nb) * p.num)
+        u, v = np.nonzero(ok)
+        if len(u):
+            yield x[u], i[v], est[u, v]
+
+
+def _cross(batches: Iterator[pa.RecordBatch], p: NearDup) -> Iterator[pa.RecordBatch]:
+    """A member's likeliest partner in each other component of a block (`more`: it has others there)."""
+
+    def found(block: pa.Table) -> pa.RecordBatch | None:
+        ids, component, out = block.column("doc_id").to_numpy(), block.column("component").to_numpy(), []
+        for u, v, est in _likely(block, p):
+            order = np.lexsort((ids[v], -est, component[v], u))
+            u, v = u[order], v[order]
+            first = np.ones(len(u), bool)
+            first[1:] = (u[1:] != u[:-1]) | (component[v][1:] != component[v][:-1])
+            more = first & ~np.append(first[1:], True)
+            out.append((ids[u[first]], ids[v[first]], more[first]))
+        if not out:
+            return None
+        a, b, more = (np.concatenate(z) for z in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more)], names=["a", "b", "more"])
+
+    yield from _each_block(batches, found)
+
+
+def _shared_first(block: pa.Table, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Pairs of rows whose first shared band is this block's bucket."""
+    bands, key = block.column("bands").combine_chunks().flatten().to_numpy().reshape(block.num_rows, -1), block.column("key")[0].as_py()
+    first = (bands[u] == bands[v]).argmax(axis=1)
+    return bands[u, first] == key
+
+
+def _wanted(batches: Iterator[pa.RecordBatch], p: NearDup) -> Iterator[pa.RecordBatch]:
+    """Members of a block with a likely partner there, for pairs that this bucket is to test."""
+
+    def found(block: pa.Table) -> pa.RecordBatch | None:
+        rows = [np.unique(np.concatenate([u[mine], v[mine]])) for u, v, _ in _likely(block, p) if (mine := _shared_first(block, u, v)).any()]
+        if not rows:
+            return None
+        t = block.take(pa.array(np.unique(np.concatenate(rows)))).combine_chunks()
+        return pa.RecordBatch.from_arrays([t.column(c).combine_chunks() for c in ("key", "doc_id", "component", "lead")], names=["key", "doc_id", "component", "lead"])
+
+    yield from _each_block(batches, found)
+
+
+def _tested(batches: Iterator[pa.RecordBatch], p: NearDup) -> Iterator[pa.RecordBatch]:
+    """Links of a block, found on full sets: one for a member and another component is enough."""
+
+    def found(block: pa.Table) -> pa.RecordBatch | None:
+        ids, component, full, out = block.column("doc_id").to_numpy(), block.column("component").to_numpy(), block.column("set"), []
+        for u, v, est in _likely(block, p):
+            mine = _shared_first(block, u, v)
+            u, v, est = u[mine], v[mine], est[mine]
+            done: set[tuple[int, int]] = set()
+            for k in np.lexsort((-est, u)).tolist():
+                x, y = int(u[k]), int(v[k])
+                if (x, int(component[y])) in done:
+                    continue
+                s, t = (np.frombuffer(full[r].as_buffer(), np.uint64) for r in (x, y))
+                if _close(s, t, p):
+                    done.add((x, int(component[y])))
+                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"]) if out else None
+
+    yield from _each_block(batches, found)
+
+
+def _last_links(still: DataFrame, labels: DataFrame, sets: DataFrame, bands: DataFrame, p: NearDup) -> DataFrame:
+    """Links among all likely pairs across components of open buckets: members with such a pair meet with their full sets."""
+    banded = written(sets.select("doc_id", "n", "fine").join(bands.hint("merge"), "doc_id"), "neardup-bands")
+    wanted = _blocks(_open(still, labels), banded, p.block, ["n", "fine", "bands"]).mapInArrow(lean(lambda it: _wanted(it, p)), "key long, doc_id long, component long, lead long")
+    wanted = written(wanted.distinct(), "neardup-wanted")
+    sizes = wanted.groupBy("key").agg(F.count(F.lit(1)).alias("m_all"), F.count_if(F.col("component") != F.col("lead")).alias("m_out"))
+    full = sets.join(banded.select("doc_id", "bands").hint("merge"), "doc_id")
+    blocks = _blocks(wanted.join(sizes.hint("merge"), "key"), full, p.exact_block, ["n", "fine", "bands", "set"])
+    return written(blocks.mapInArrow(lean(lambda it: _tested(it, p)), "a long, b long").distinct(), "neardup-links")
+
+
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (see the module's text)."""
     spark = docs.sparkSession
@@ -373,12 +437,11 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     sets = written(docs.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(lean(lambda it: _sets(it, p)), _SETS), "neardup-sets")
     free_shuffles(spark)
     links = _links(sets, pairs, p, "neardup-links")
-    tested, labels = pairs, components(links)
+    tested, labels, more = pairs, components(links), True
     # likely pairs across components of a bucket: a member's best ones, for a few rounds; what then is left, whole.
     # `more` is read before tested pairs go: a member whose best one was refused may still have others.
-    turn, every = 0, p.rounds == 0
-    while True:
-        likely = _blocks(_open(still, labels), sets, p).mapInArrow(lean(lambda it, every=every: _cross(it, p, every)), "a long, b long, more boolean")
+    for _ in range(p.rounds):
+        likely = _blocks(_open(still, labels), sets, p.block, ["n", "fine"]).mapInArrow(lean(lambda it: _cross(it, p)), "a long, b long, more boolean")
         likely = written(likely.groupBy("a", "b").agg(F.max("more").alias("more")), "neardup-likely")
         more = likely.agg(F.max("more")).first()[0]
         new = written(likely.select("a", "b").join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "neardup-new")
@@ -391,10 +454,14 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
                 labels = components(links)
             tested = tested.unionByName(new)
         drop_written(likely)
-        if every or not more:
+        if none or not more:
             break
-        turn += 1
-        every = none or turn >= p.rounds
+    if more:
+        bands = full.select("doc_id", "bands").join(needed.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("bands").alias("bands"))
+        found = _last_links(still, labels, sets, bands, p)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = components(links)
     drop_written(members, stars, pairs, still, sets, links, tested)
     classes = reps.join(labels.select(F.col("doc_id").alias("class_id"), F.col("component").alias("component_id")), "class_id", "left").select("d0", "d1", "n_shingles", F.coalesce("component_id", "class_id").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles", "d0", "d1").join(classes.hint("merge"), ["d0", "d1", "n_shingles"], "left")
