@@ -155,6 +155,21 @@ def _assign(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(tree.leaf_of(_matrix(batch.column("v"))), pa.int64())], names=["vec_id", "v", "leaf"])
 
 
+def sampled(rows: DataFrame, n: int) -> np.ndarray:
+    """The first `n` vectors in the order of their ids' hashes. Hash ranges are counted first, so that only the ranges that hold
+    them are sorted, on an executor; the driver gets `n` rows, however many parts the table has."""
+    rows = rows.select(F.xxhash64("vec_id").alias("h"), "vec_id", "v")
+    part = F.shiftright("h", 48)
+    counts = rows.groupBy(part.alias("part")).count().toArrow().sort_by("part")  # at most 2 ** 16
+    if not counts.num_rows:
+        return np.zeros((0, 1))
+    last = min(int(np.searchsorted(np.cumsum(counts.column("count").to_numpy()), n)), counts.num_rows - 1)
+    first = written(rows.where(part <= counts.column("part")[last].as_py()).orderBy("h", "vec_id").limit(n), "knn-sample")
+    got = first.toArrow().sort_by([("h", "ascending"), ("vec_id", "ascending")])
+    drop_written(first)
+    return _matrix(got.column("v").combine_chunks())
+
+
 def _visits(batches: Iterator[pa.RecordBatch], tree: Tree, most: int, held: dict[int, int], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bins = [tree.best_bins(q, most, held, least) for q in _matrix(batch.column("v"))]
@@ -198,13 +213,19 @@ def _truth(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, k:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "vec_id", "score"])
 
 
+def _true_leaves(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> list:
+    """(query_id, leaf) of the true neighbours of a few queries: k rows a query are broadcast, never the table's leaves."""
+    truth = _ranked(rows.select("vec_id", "v").mapInArrow(lambda it: _truth(it, ids, q, k), _FOUND), k)
+    return rows.select("vec_id", "leaf").distinct().join(F.broadcast(truth), "vec_id").select("query_id", "leaf").collect()
+
+
 def calibrated(rows: DataFrame, queries: DataFrame, tree: Tree, p: Search) -> tuple[int, float]:
     """Leaf visits that reach `recall` on sample queries against brute force, and the recall there."""
     some = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.calibrate).collect()
     if not some:
         return 1, 1.0
     ids, q = np.array([r["vec_id"] for r in some]), np.array([r["v"] for r in some])
-    truth = _ranked(rows.select("vec_id", "v").mapInArrow(lambda it: _truth(it, ids, q, p.k), _FOUND), p.k).join(rows.select("vec_id", "leaf").distinct(), "vec_id").select("query_id", "leaf").collect()
+    truth = _true_leaves(rows, ids, q, p.k)
     place = {i: {leaf: n for n, leaf in enumerate(tree.best_bins(x, tree.leaves))} for i, x in zip(ids.tolist(), q, strict=True)}
     visits = sorted(place[r["query_id"]].get(r["leaf"], tree.leaves) + 1 for r in truth)
     need = visits[min(len(visits), max(1, int(np.ceil(p.recall * len(visits))))) - 1] if visits else 1
@@ -220,8 +241,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_column: str = "vec_id",
 
 def _neighbours(rows: DataFrame, is_query, p: Search) -> DataFrame:
     """Neighbours among vectors of one length."""
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(p.sample_rows).collect()
-    tree = Tree(np.array([r[0] for r in sample]), p)
+    tree = Tree(sampled(rows, p.sample_rows), p)
     placed = written(rows.mapInArrow(lambda it: _assign(it, tree), "vec_id long, v array<double>, leaf long"), "knn-leaves")
     queries = placed.where(is_query).select("vec_id", "v")
     most, _ = calibrated(placed, queries, tree, p)
@@ -232,6 +252,8 @@ def _neighbours(rows: DataFrame, is_query, p: Search) -> DataFrame:
     visits = written(visits, "knn-visits")
     # queries that visit a leaf are dealt likewise, so neither side of a group grows with the table
     sizes = sizes.drop("n").join(visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(p.block_rows)).alias("turns")), "leaf")
+    # the side to broadcast is named: visits repeat a query's vector, so their files look far smaller than their rows are
+    sizes = F.broadcast(sizes)
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     blocks = placed.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block"), each("turns").alias("turn"), "vec_id", "v")
     visits = visits.join(sizes, "leaf").select("leaf", each("blocks").alias("block"), F.pmod(F.xxhash64("query_id", F.lit(1)), F.col("turns")).alias("turn"), "query_id", "q")
@@ -256,8 +278,7 @@ def recall_report(vectors: DataFrame, is_query, id_column: str = "vec_id", vecto
     rows = usable(vectors, id_column, vector)
     width = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()  # the most frequent length
     rows = rows.where(F.size("v") == (width["n"] if width else 0))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(p.sample_rows).collect()
-    tree = Tree(np.array([r[0] for r in sample]), p)
+    tree = Tree(sampled(rows, p.sample_rows), p)
     placed = written(rows.mapInArrow(lambda it: _assign(it, tree), "vec_id long, v array<double>, leaf long"), "knn-leaves")
     queries = placed.where(is_query).select("vec_id", "v")
     most, _ = calibrated(placed, queries, tree, p)
@@ -268,7 +289,7 @@ def recall_report(vectors: DataFrame, is_query, id_column: str = "vec_id", vecto
         return Report(0, 1.0, tree.leaves, most, 0.0)
     ids, q = np.array([r["vec_id"] for r in some]), np.array([r["v"] for r in some])
     bins = {i: set(tree.best_bins(x, most, held, p.k + 1)) for i, x in zip(ids.tolist(), q, strict=True)}
-    truth = _ranked(placed.select("vec_id", "v").mapInArrow(lambda it: _truth(it, ids, q, p.k), _FOUND), p.k).join(placed.select("vec_id", "leaf").distinct(), "vec_id").select("query_id", "leaf").collect()
+    truth = _true_leaves(placed, ids, q, p.k)
     drop_written(placed)
     hit = sum(r["leaf"] in bins[r["query_id"]] for r in truth)
     return Report(len(some), hit / max(1, len(truth)), tree.leaves, most, float(np.mean([sum(held.get(b, 0) for b in x) for x in bins.values()])) / max(1, total))

@@ -271,6 +271,25 @@ def test_search_gives_outliers_all_their_candidates(spark):
     assert {r.vec_id for r in few} == {*range(1996, 2006)} - {2001}
 
 
+def test_search_keeps_tables_off_the_driver(spark, capsys):
+    import re
+
+    ship(spark)
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(3000, 8)))], "vec_id long, embedding array<double>").repartition(6)
+    got = kmtree.nearest_neighbours(df, "vec_id % 20 = 0", p=kmtree.Search(sample_rows=500))
+    capsys.readouterr()
+    got.explain("formatted")
+    sent = re.findall(r"\) BroadcastExchange\s+Input \[\d+\]: \[([^\]]*)\]", capsys.readouterr().out)
+    assert sent and not any(re.search(r"\b(v|q)#", columns) for columns in sent), sent  # neither side's vectors are broadcast
+    assert got.count() == 1500
+    rows = kmtree.usable(df.unionByName(df.where("vec_id < 9")), "vec_id", "embedding")  # repeated ids share a hash
+    for n in (1, 500, 3009, 5000):
+        want = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).collect()]
+        assert np.array_equal(kmtree.sampled(rows, n), np.array(want))
+    assert len(kmtree.sampled(rows.limit(0), 5)) == 0
+
+
 # --- WARC ---
 
 PAGE = "<!DOCTYPE html><html lang='fr'><head><title>A &amp; b</title><style>p{}</style></head><body><!-- no --><script>var t='</p>';</script><h1>Head</h1><p>one <b>two</b><br>three &lt;x&gt;<a href='/l?a=1&amp;b=2'>link</a></body></html>"
