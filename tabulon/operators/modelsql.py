@@ -19,7 +19,7 @@ import contextlib
 import json
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.errors import PySparkException
@@ -27,13 +27,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import to_number
-from ..work import new_path, written
+from ..work import new_path, small, written
 from .answering import _SQL_TOKEN
 
 AGGREGATES = frozenset("min max avg sum count stddev variance median".split())
 FUNCTIONS = frozenset("abs round floor ceil coalesce nullif length lower upper trim ltrim rtrim substr substring replace concat mod power sqrt greatest least cast".split())
 _WORDS = frozenset("and or not in is null like between case when then else end as distinct double integer int bigint string true false".split())
 _COMPARE = frozenset("= < > <= >= <> !=".split())
+#: A table of headers or asked columns with at most so many rows is broadcast.
+_SMALL = 10_000
+_END, _TOKEN, _PLAIN = re.compile(r";|```"), re.compile(_SQL_TOKEN), re.compile(r"[\d.]+")
 
 
 def _split(tokens: list[str], at: str) -> list[list[str]]:
@@ -48,13 +51,17 @@ def _split(tokens: list[str], at: str) -> list[list[str]]:
     return out
 
 
-def clauses(text: str) -> dict[str, list[str]] | None:
+def _tokens(text: str) -> list[str] | None:
+    """Tokens up to the first `;` or code fence, without spaces; None if there is anything else."""
+    text = _END.split(text, 1)[0].strip()
+    tokens = _TOKEN.findall(text)
+    return [t for t in tokens if not t.isspace()] if "".join(tokens) == text else None
+
+
+def clauses(tokens: list[str] | None) -> dict[str, list[str]] | None:
     """Tokens of the select, from, where, order and limit clauses of a single SELECT; None for any other text."""
-    text = re.split(r";|```", text)[0].strip()
-    tokens = [m.group() for m in re.finditer(_SQL_TOKEN, text)]
-    if "".join(tokens) != text:
+    if tokens is None:
         return None
-    tokens = [t for t in tokens if t.strip()]
     out, now, depth = {}, None, 0
     for t in tokens:
         low = t.lower()
@@ -140,7 +147,11 @@ class _Shape:
 
 def shape_of(text: str | None, names: list[str] | None, numeric: list[bool] | None) -> tuple[str, list[int], list[str], int | None, str | None] | None:
     """(shape, columns, values, equality's column, its value) of a text over a table; None if it can't be answered."""
-    c = clauses(text or "")
+    return _parsed(_tokens(text or ""), names, numeric)
+
+
+def _parsed(tokens: list[str] | None, names: list[str] | None, numeric: list[bool] | None) -> tuple[str, list[int], list[str], int | None, str | None] | None:
+    c = clauses(tokens)
     if c is None or not names:
         return None
     source = [t for t in c["from"] if t.lower() != "as"]
@@ -175,12 +186,64 @@ def shape_of(text: str | None, names: list[str] | None, numeric: list[bool] | No
     return json.dumps([aggregate, select, where, [] if aggregate else order]), s.columns, s.values, *(equal or (None, None))
 
 
+@lru_cache(4096)
+def _header(head: str) -> tuple[list[str] | None, list[bool] | None]:
+    found = json.loads(head)
+    return found.get("names"), found.get("numeric")
+
+
+def _value(token: str) -> str:
+    return token[1:-1].replace("''", "'") if token[0] == "'" else token
+
+
+@lru_cache(4096)
+def _template(tokens: tuple[str, ...], at: tuple[int, ...], head: str) -> tuple | None:
+    """(parse, which value each of its values is, which value its equality's is) of texts that differ only in the compared values `at`.
+
+    They are read with marks in their places. Unless each mark comes out once among the values and nowhere else, this is
+    None, and such texts are read one by one.
+    """
+    marked, marks = list(tokens), []
+    for n, i in enumerate(at):
+        marked[i] = f"'\x01{n}\x01'" if tokens[i] == "'" else f"{n}.70320901"
+        marks.append(_value(marked[i]))
+    got = _parsed(marked, *_header(head))
+    if got is None:
+        return (None, [], None)
+    shape, columns, values, _, value = got
+    if any(values.count(m) != 1 or m in shape or json.dumps(m)[1:-1] in shape for m in marks):
+        return None
+    return got, [marks.index(v) if v in marks else None for v in values], marks.index(value) if value in marks else None
+
+
+def read(text: str | None, head: str | None) -> tuple:
+    """`shape_of`, or all null, of a text over a table with a header (JSON of names and numeric); texts alike but for compared values are parsed once."""
+    tokens = _tokens(text or "")
+    if not tokens or head is None:
+        return _NO_SHAPE
+    whole, at, before = tokens.copy(), [], ""
+    for i, t in enumerate(tokens):
+        if before in _COMPARE and (t[0] == "'" or _PLAIN.fullmatch(t) and t != ".") and whole[i + 1 : i + 2] != ["."]:
+            tokens[i] = "'" if t[0] == "'" else "0"
+            at.append(i)
+        before = t
+    found = _template(tuple(tokens), tuple(at), head)
+    if found is None:
+        return _parsed(whole, *_header(head)) or _NO_SHAPE
+    got, places, equal = found
+    if got is None:
+        return _NO_SHAPE
+    mine = [_value(whole[i]) for i in at]
+    return got[0], got[1], [v if n is None else mine[n] for v, n in zip(got[2], places, strict=True)], got[3], got[4] if equal is None else mine[equal]
+
+
+_NO_SHAPE = (None, [], [], None, None)
 _READ = "qid {qid}, table_id {table_id}, shape string, cols array<int>, vals array<string>, eq_col int, eq_val string"
 
 
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [shape_of(t, n, k) or (None, [], [], None, None) for t, n, k in zip(*(b.column(c).to_pylist() for c in ("text", "names", "numeric")), strict=True)]
+        found = list(map(read, b.column("text").to_pylist(), b.column("head").to_pylist()))
         kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32(), pa.string())
         yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("table_id"), *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds))], names=["qid", "table_id", "shape", "cols", "vals", "eq_col", "eq_val"])
 
@@ -211,19 +274,20 @@ def _answer(found: DataFrame, shape: list) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(*keys, "row_id"))).where("r = 1").select("qid", F.col("a").alias("answer"))
 
 
-def _keyed(c: Column, numeric: Column) -> Column:
-    return F.when(numeric, F.concat(F.lit("n"), (to_number(c) + 0.0).cast("string"))).otherwise(F.concat(F.lit("t"), c))
+def _keyed(c: Column, number: Column, numeric: Column) -> Column:
+    return F.when(numeric, F.concat(F.lit("n"), (number + 0.0).cast("string"))).otherwise(F.concat(F.lit("t"), c))
 
 
 def sql_answers(rows: DataFrame, headers: DataFrame, texts: DataFrame, spread: int = 16, together: int = 50) -> DataFrame:
     """(qid, answer) of texts (qid, table_id, text) over rows (table_id, row_id, cells) with headers (table_id, names, numeric).
 
-    Rows without an equality to join by are dealt to `spread` parts of their table. The driver holds the
-    different shapes; `together` of them go in one plan.
+    Texts that differ only in compared values are parsed once a task. Rows without an equality to join by are dealt to
+    `spread` parts of their table. The driver holds the different shapes; `together` of them go in one plan.
     """
     spark = rows.sparkSession
     kinds = {c: texts.schema[c].dataType.simpleString() for c in ("qid", "table_id")}
-    asked = texts.select("qid", "table_id", "text").join(headers.select("table_id", "names", "numeric"), "table_id", "left").select("qid", "table_id", "text", "names", "numeric")
+    heads = headers.select("table_id", F.to_json(F.struct("names", "numeric")).alias("head"))
+    asked = texts.select("qid", "table_id", "text").join(small(heads, _SMALL), "table_id", "left").select("qid", "table_id", "text", "head")
     asked = written(asked.mapInArrow(_shapes, _READ.format(**kinds)), "sql-asked")
     shapes = [r["shape"] for r in asked.where("shape IS NOT NULL").groupBy("shape").count().orderBy(F.desc("count"), "shape").collect()]
     with _lenient(spark):
@@ -242,18 +306,26 @@ def sql_answers(rows: DataFrame, headers: DataFrame, texts: DataFrame, spread: i
             return asked.select("qid", F.lit("").alias("answer"))
         number = spark.createDataFrame([(s, i, empty.get(s)) for s, (i, _) in good.items()], "shape string, _s int, none string")
         q = asked.join(F.broadcast(number), "shape")
-        numeric = headers.select("table_id", "numeric")
-        flagged = rows.join(numeric, "table_id").select("table_id", "row_id", "cells", "numeric")
-        kept = ["qid", "row_id", "cells", "cols", "vals", "_s"]
-        by_value = q.where("eq_col IS NOT NULL").join(numeric, "table_id").withColumn("_k", _keyed(F.col("eq_val"), F.get("numeric", F.col("eq_col")))).drop("numeric")
-        columns = by_value.select("table_id", "eq_col").distinct()
-        a = flagged.join(columns, "table_id").withColumn("_k", _keyed(F.get("cells", F.col("eq_col")), F.get("numeric", F.col("eq_col")))).join(by_value, ["table_id", "eq_col", "_k"]).select(*kept)
-        dealt = q.where("eq_col IS NULL").withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-        b = flagged.withColumn("_p", F.pmod(F.xxhash64("row_id"), F.lit(spread)).cast("int")).join(dealt, ["table_id", "_p"]).select(*kept)
-        met = a.unionByName(b).withColumn("_t", F.transform("cols", lambda i: F.get("cells", i))).select("qid", "row_id", "_s", "_t", F.transform("_t", to_number).alias("_n"), F.col("vals").alias("_v"))
+        numeric = small(headers.select("table_id", "numeric"), _SMALL)
+        # a row's numbers are read once, not by each question that it meets; shapes ask for them in numeric columns only
+        numbers = F.transform("cells", lambda c, i: F.when(F.get("numeric", i), to_number(c)))
+        flagged = rows.join(numeric, "table_id").select("table_id", "row_id", "cells", "numeric", numbers.alias("numbers"))
+        kept = ["qid", "row_id", "cells", "numbers", "cols", "vals", "_s"]
+        # questions compress well, so their files say little of their size: neither they nor the rows are ever broadcast
+        by_value = q.where("eq_col IS NOT NULL").join(numeric, "table_id").withColumn("_k", _keyed(F.col("eq_val"), to_number(F.col("eq_val")), F.get("numeric", F.col("eq_col")))).drop("numeric")
+        columns = small(q.where("eq_col IS NOT NULL").select("table_id", "eq_col").distinct(), _SMALL)
+        keyed = flagged.join(columns, "table_id").withColumn("_k", _keyed(F.get("cells", F.col("eq_col")), F.get("numbers", F.col("eq_col")), F.get("numeric", F.col("eq_col")))).drop("numeric")
+        met = keyed.join(by_value.hint("merge"), ["table_id", "eq_col", "_k"]).select(*kept)
+        dealt = q.where("eq_col IS NULL")
+        if not dealt.isEmpty():  # only then rows go to the parts of their tables
+            dealt = dealt.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+            met = met.unionByName(flagged.withColumn("_p", F.pmod(F.xxhash64("row_id"), F.lit(spread)).cast("int")).join(dealt.hint("merge"), ["table_id", "_p"]).select(*kept))
+        place = lambda cells: F.transform("cols", lambda i: F.get(cells, i))
+        met = met.select("qid", "row_id", "_s", place("cells").alias("_t"), place("numbers").alias("_n"), F.col("vals").alias("_v"))
         conditions = " ".join(f"WHEN {i} THEN {shape[2]}" for i, shape in good.values() if shape[2])
         if conditions:
             met = met.where(F.expr(f"CASE _s {conditions} ELSE true END"))
+        met = met.drop("_v")  # values are in conditions only
         path = new_path(spark, "sql-met")
         met.write.option("compression", "zstd").partitionBy("_s").parquet(path)
         found = spark.read.schema(met.schema).parquet(path)
@@ -262,4 +334,4 @@ def sql_answers(rows: DataFrame, headers: DataFrame, texts: DataFrame, spread: i
             part = reduce(DataFrame.unionByName, parts[k : k + together])
             every.append(part if len(parts) <= together else written(part, "sql-answers"))
         answers = reduce(DataFrame.unionByName, every)
-        return asked.join(F.broadcast(number), "shape", "left").join(answers.withColumn("hit", F.lit(True)), "qid", "left").select("qid", F.coalesce(F.when(F.col("hit"), F.col("answer")).otherwise(F.col("none")), F.lit("")).alias("answer"))
+        return asked.join(F.broadcast(number), "shape", "left").join(answers.withColumn("hit", F.lit(True)).hint("merge"), "qid", "left").select("qid", F.coalesce(F.when(F.col("hit"), F.col("answer")).otherwise(F.col("none")), F.lit("")).alias("answer"))

@@ -290,3 +290,50 @@ def test_presets_are_answered(spark, name):
             assert (r.answer is None) == (not got or got[0][0] is None), r
         else:
             assert float(r.answer) == pytest.approx(float(got[0][0])), r
+
+
+def test_model_sql_is_parsed_once_for_texts_alike(monkeypatch):
+    import json
+
+    import pyarrow as pa
+    from tabulon.operators import modelsql as S
+
+    names, numeric = ["Name", "a b", "t", "5"], [False, True, False, True]
+    head = json.dumps({"names": names, "numeric": numeric})
+    values = ["7", "1.5", ".5", "1e3", "1.", "5.t", "'x'", "'it''s'", "'a = 5'", "'a;b'", "''", "'\x010\x01'", "0.70320901", '"x"', '"\x010\x01"', '"t"', "-3", "Name", "'or'", "'and'", "."]
+    forms = [
+        "select max(\"a b\") from t where Name = {0}", "select t from d where {0} = Name and \"a b\" > {1}", "select Name = {0} from t", "select Name from t where \"a b\" = {0} or t <> {1} limit 1", "select Name from 5 where t = {0} and \"a b\" = {1}",
+        "select * from t where t in ({0}, {1})", "select Name from t where not (t like {0}) and \"a b\" = {1} order by t desc limit {0}", "select t from t where \"a b\" between {0} and {1} and Name = {1};x", "select x from t where a = {0}", "drop table {0}", "select \"5\" from t where \"5\" = {0} and 5 = {1}",
+    ]
+    for f in forms:
+        for v in values:
+            for w in values:
+                text = f.format(v, w)
+                assert S.read(text, head) == (S.shape_of(text, names, numeric) or (None, [], [], None, None)), text
+    assert S.read("select t from t", None) == S.read(None, head) == S.read("", head) == (None, [], [], None, None)
+    calls, clauses = [], S.clauses
+    monkeypatch.setattr(S, "clauses", lambda tokens: calls.append(1) or clauses(tokens))
+    texts = [f"SELECT avg(\"a b\") FROM q WHERE Name = 'n{i}' AND \"a b\" > {i}.5" for i in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"qid": list(range(1000)), "table_id": ["q"] * 1000, "text": texts, "head": [head] * 1000})
+    (got,) = S._shapes(iter([batch]))
+    assert len(calls) == 1 and got.column("vals").to_pylist() == [[f"n{i}", f"{i}.5"] for i in range(1000)] and set(got.column("eq_val").to_pylist()) == {f"n{i}" for i in range(1000)}
+
+
+def test_model_sql_questions_stay_off_the_driver(spark, monkeypatch):
+    import re
+
+    from pyspark.sql import DataFrameWriter
+    from tabulon.operators import modelsql as S
+
+    rows = spark.range(400).selectExpr("'a' AS table_id", "id AS row_id", "array(CAST(id % 40 AS STRING), CAST(id AS STRING)) AS cells")
+    heads = spark.createDataFrame([("a", ["k", "v"], [True, True])], "table_id string, names array<string>, numeric array<boolean>")
+    texts = spark.range(80).selectExpr("id AS qid", "'a' AS table_id", "concat('select max(v) from a where ', if(id < 40, 'k = ', 'k >= '), CAST(id % 40 AS STRING)) AS text")
+    plans, parquet = [], DataFrameWriter.parquet
+    plan = lambda df: plans.append(df._jdf.queryExecution().toString())
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, **more: plan(self._df) or parquet(self, path, **more))
+    out = S.sql_answers(rows, heads, texts)
+    plan(out)
+    assert len(plans) >= 3
+    sent = re.findall(r"BroadcastExchange[^\n]*\n[^\n]*", "\n".join(plans))
+    assert not any("qid#" in x for x in sent), sent
+    assert {r.qid: r.answer for r in out.collect()} == {i: f"{360 + i}.0" if i < 40 else "399.0" for i in range(80)}
